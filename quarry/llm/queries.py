@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, line_dedup, mixing
+from . import chat_format, license_scan, line_dedup, mixing, ngram_jaccard
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_license_scan, op5_line_dedup, op6_chat_format, op8_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_ngram_jaccard, op3_license_scan, op5_line_dedup, op6_chat_format, op8_mixing)}
 
 _HTML_LINES = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
   '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>', '', 'gis'),
@@ -39,6 +43,17 @@ _HTML_LINES = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_repla
   '<[^>]*>', '', 'g'), '[ \t\r]*\n\s*', chr(10), 'g'), ' ' || chr(9) || chr(13) || chr(10))"""
 
 ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS raw FROM documents),
+l AS (SELECT doc_id, list_transform(raw, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM w),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i+4], ' ') END AS g
+  FROM (SELECT doc_id, ws, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [1] ELSE range(1, len(ws) - 3) END) AS i FROM l)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b FROM (SELECT a.doc_id AS x_id, b.doc_id AS y_id, count(*) AS common FROM s a JOIN s b USING (g)
+    WHERE a.doc_id <> b.doc_id GROUP BY 1, 2) c JOIN n x ON x.doc_id = x_id JOIN n y ON y.doc_id = y_id WHERE 100 * common >= 80 * (x.n + y.n - common)),
+r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY 1) m USING (doc_id)""",
     "op3_license_scan": license_scan.oracle(),
     "op5_line_dedup": rf"""
 WITH p AS (SELECT page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '') AS host, {_HTML_LINES} AS text FROM pages),
