@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, line_dedup, mixing, ngram_jaccard
+import public_tokenizers
+
+from . import bpe, chat_format, hash_forest, language_id, license_scan, line_dedup, mixing, ngram_jaccard, topk_search
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -21,6 +27,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text lines of every page, without its host's boilerplate."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", line_dedup.html_lines(F.col("html")).alias("text"))
@@ -35,7 +45,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_ngram_jaccard, op3_license_scan, op5_line_dedup, op6_chat_format, op8_mixing)}
+def op9_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk_search, op2_ngram_jaccard, op3_license_scan, op4_language_id, op5_line_dedup, op6_chat_format, op8_mixing, op9_hash_forest, op10_bpe)}
 
 _HTML_LINES = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
   '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>', '', 'gis'),
@@ -43,6 +62,12 @@ _HTML_LINES = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_repla
   '<[^>]*>', '', 'g'), '[ \t\r]*\n\s*', chr(10), 'g'), ' ' || chr(9) || chr(13) || chr(10))"""
 
 ORACLES: dict[str, str] = {
+    "op1_topk_search": """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score
+  FROM e q JOIN e x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
     "op2_ngram_jaccard": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS raw FROM documents),
 l AS (SELECT doc_id, list_transform(raw, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM w),
