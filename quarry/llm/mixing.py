@@ -3,7 +3,8 @@
 Each document of a source is due the same real number of copies, target / source size. The whole part is taken at
 once; the fractional parts are rounded by the pivotal method: two documents meet, words move from one to the other
 at random until one of them has a whole number of copies, and the other meets the next. Moves keep the sum of words,
-so the words taken from a source miss its target by less than one document.
+so the words taken from a source miss its target by less than one document. The last document of a source is
+rounded against up to four others of its group, which leaves a few words.
 
 Documents meet inside leaves of bounded size; every leaf leaves at most one document undecided, and those meet
 again in groups of FAN_IN up a reduction tree until one per source is left. No leaf or group grows with the data:
@@ -12,6 +13,8 @@ a source with a third of all rows merely has more leaves.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -45,12 +48,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: in
     by_ratio = Window.orderBy(F.col("_cap") / F.col("_w"), "_n")
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     rest = by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    w = w.withColumn("_level", (F.sum("source_size").over(everything.orderBy("_n")) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(rest))
-    w = w.withColumn("_open", F.col("_cap") > F.col("_w") * F.col("_level"))
-    # The first source that stays under its cap fixes the level of all from there on.
-    w = w.withColumn("_level", F.first(F.when(F.col("_open"), F.col("_level")), ignorenulls=True).over(everything.orderBy("_cap", "_n")))
-    target = F.when(F.col("_open"), F.col("_w") * F.col("_level")).otherwise(F.col("_cap"))
+    whole = by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = F.sum(F.col("source_size").cast("double")).over(whole) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
+    w = w.withColumns({"_level": left / F.sum("_w").over(rest), "_pos": F.row_number().over(by_ratio)})
+    # The first source that stays under its cap sets the level, and all after it stay under theirs.
+    opens = F.when(F.col("_cap") > F.col("_w") * F.col("_level"), F.struct("_pos", "_level"))
+    w = w.withColumn("_first", F.min(opens).over(whole))
+    target = F.when(F.col("_pos") >= F.col("_first._pos"), F.col("_w") * F.col("_first._level")).otherwise(F.col("_cap"))
     return w.select(*sizes.columns, target.alias("target"))
 
 
@@ -83,16 +87,30 @@ def _meet(size: np.ndarray, part: np.ndarray, u: np.ndarray) -> tuple[np.ndarray
     return whole, at
 
 
-def _round_group(last: bool):
+def _close(size: np.ndarray, part: np.ndarray, whole: np.ndarray, flips: int = 4) -> None:
+    """Takes back what rounding a source's last document is off by, through up to `flips` documents of its group."""
+    off = (size * whole).sum() - (size * part).sum()
+    for _ in range(flips):
+        can = (part > 1e-12) & (whole == int(off > 0))
+        gain = np.where(can, np.abs(off) - np.abs(np.abs(off) - size), 0.0)
+        j = int(gain.argmax())
+        if gain[j] <= 0:
+            return
+        whole[j] = 1 - whole[j]
+        off += size[j] * (2 * whole[j] - 1)
+
+
+def _round_group(last: bool, level: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["mark", "doc_id", "size"], kind="stable").reset_index(drop=True)
         part = rows["part"].to_numpy(float, copy=True)
-        u = (rows["mark"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)).astype(float) / 2**53
+        u = (rows["mark"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * level) >> np.uint64(11)).astype(float) / 2**53
         whole, at = _meet(rows["size"].to_numpy(float), part, u)
         done = np.ones(len(rows), bool)
         if at >= 0:
             if last:  # the one document that ends between copies
                 whole[at] = int(u[at] < part[at])
+                _close(rows["size"].to_numpy(float), rows["part"].to_numpy(float), whole)
             else:
                 done[at] = False
         return rows.assign(part=np.where(done, 0.0, part), copies=rows["copies"] + np.where(done, whole, 0), done=done)
@@ -125,9 +143,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     open_ = due.where((F.col("part") > 1e-12) & (F.col("size") > 0))
     ends, most = [settled], (rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0)
     nodes = -(-most // leaf)
-    while True:
+    for level in count():
         last = nodes <= 1
-        open_ = open_.groupBy("source", "node").applyInPandas(_round_group(last), due.schema)
+        open_ = open_.groupBy("source", "node").applyInPandas(_round_group(last, level), due.schema)
         if last:
             ends.append(open_)
             break
