@@ -245,29 +245,32 @@ def _encoded(path: str, pattern: str, digests: bool) -> Callable[[Iterator[pa.Re
         for batch in batches:
             for i in range(0, len(batch), 1000):
                 part = batch.slice(i, 1000)
-                n, a, b, tokens = [], [], [], []
-                for ids in encode_texts(part.column("_text").to_pylist(), path, pattern):
+                n, a, b, tokens, same = [], [], [], [], []
+                texts = part.column("_text").to_pylist()
+                for text, ids in zip(texts, encode_texts(texts, path, pattern), strict=True):
                     n.append(len(ids))
                     if digests:
-                        a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                         b.append(hashlib.sha256(vocabulary.decode(ids)).hexdigest())
+                        a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     else:
                         tokens.append(ids)
+                        same.append(vocabulary.decode(ids) == (text or "").encode("utf-8"))
                 columns = {x: part.column(x) for x in part.schema.names if x != "_text"} | {"n_tokens": pa.array(n, pa.int64())}
-                columns |= {"ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())} if digests else {"tokens": pa.array(tokens, pa.list_(pa.int32()))}
+                columns |= {"ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())} if digests else {"tokens": pa.array(tokens, pa.list_(pa.int32())), "round_trip": pa.array(same, pa.bool_())}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all by default) with `tokens` (array<int>) and `n_tokens` (long) of the whole text.
+    """The columns `keep` (all by default) with `n_tokens` (long) and `tokens` (array<int>) of the whole text, and `round_trip`
+    (boolean), whether they decode to its bytes.
 
     path: a file of base64 byte strings and ranks, at the same place on all executors; every byte has to be in it.
     No special tokens. Null and empty texts have no tokens. No row meets another, so there is no shuffle. A column
     of docs named like a new one gives way to it; empty input gives an empty result.
     """
-    return _run(docs, path, pattern, text_col, keep, False, "tokens array<int>")
+    return _run(docs, path, pattern, text_col, keep, False, "tokens array<int>, round_trip boolean")
 
 
 def bpe_digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -115,12 +115,12 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     return Model(found)
 
 
-def _predicted(model, ambiguous: float):
+def _predicted(model, ambiguous: float, text: str, drop: set[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
             letters = batch.column("_letter").to_numpy(zero_copy_only=False)
-            for i, j, buf, offs in slices(batch.column("_text")):
+            for i, j, buf, offs in slices(batch.column(text)):
                 n_docs = j - i
                 lang, score, unsure = [UNKNOWN] * n_docs, np.zeros(n_docs), np.ones(n_docs, bool)
                 known = letters[i:j] & (len(m.languages) > 0)
@@ -136,8 +136,8 @@ def _predicted(model, ambiguous: float):
                     best, p, lead = m.decode(margins)
                     for d in np.flatnonzero(known):
                         lang[d], score[d], unsure[d] = m.languages[best[d]], p[d], lead[d] < ambiguous
-                own = [batch.column(c).slice(i, n_docs) for c in batch.schema.names if c not in ("_text", "_letter")]
-                names = [c for c in batch.schema.names if c not in ("_text", "_letter")]
+                names = [c for c in batch.schema.names if c not in drop]
+                own = [batch.column(c).slice(i, n_docs) for c in names]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(lang), pa.array(score), pa.array(unsure)], names=[*names, "lang_pred", "score", "ambiguous"])
 
     return run
@@ -152,9 +152,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     new = {"lang_pred", "score", "ambiguous", "_text", "_letter"}
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*kept, F.col(text_col).alias("_text"), letter.alias("_letter"))
+    text = text_col if text_col in kept else "_text"
+    rows = docs.select(*kept, *([F.col(text_col).alias("_text")] if text == "_text" else []), letter.alias("_letter"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept] + ["lang_pred string", "score double", "ambiguous boolean"])
-    return rows.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model), ambiguous), schema)
+    return rows.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model), ambiguous, text, {"_text", "_letter"}), schema)
 
 
 def held_out(id_: Column) -> Column:

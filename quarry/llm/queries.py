@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat_format, hash_forest, language_id, license_scan, line_dedup, mixing, ngram_jaccard, topk_search
-from .common import table
+from . import bpe, chat_format, hash_forest, language_id, license_scan, line_dedup, mixing, ngram_jaccard, token_counts, topk_search
+from .common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,19 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
 
+#: The first id that the vocabulary leaves free.
+END_OF_TEXT = 50256
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, counted in flat files that hold nothing but ids and separators."""
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    folder = fresh_path(spark, "tokens")
+    manifest = token_counts.write_token_files(table(spark, sf_dir, "documents"), folder, lambda texts: bpe.encode_texts(texts, path, pattern), END_OF_TEXT)
+    counts = token_counts.token_counts(spark, folder, END_OF_TEXT)
+    return manifest.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -54,7 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk_search, op2_ngram_jaccard, op3_license_scan, op4_language_id, op5_line_dedup, op6_chat_format, op8_mixing, op9_hash_forest, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk_search, op2_ngram_jaccard, op3_license_scan, op4_language_id, op5_line_dedup, op6_chat_format, op7_token_counts, op8_mixing, op9_hash_forest, op10_bpe)}
 
 _HTML_LINES = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
   '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>', '', 'gis'),
