@@ -52,6 +52,7 @@ def boilerplate_lines(
     totals = rows.where("_host is not null").groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     keys = F.array_distinct(F.transform(F.filter(lines_of(F.col("_text")), lambda x: line_key(x) != ""), lambda x: F.struct(*digest(line_key(x)))))
     lines = rows.where("_host is not null and _text is not null").select("_id", "_host", F.explode(keys).alias("k")).select("_id", "_host", "k.*")
+    lines = written(lines, "lines")  # read for the counts, and again for the pages that hold a line to drop
     counts = lines.groupBy("_host", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     drop = counts.where(F.col("n") >= min_pages).join(totals, "_host").where(F.col("n") > F.lit(max_ratio) * F.col("_pages"))
     return lines, drop.select("_host", "h1", "h2", "n", "_pages")
