@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import content_type, doc_id, image_urls_in, normalized_formula, normalized_table, tokens
+from quarry.functions.text import content_type, doc_id, image_urls_in, normalized_formula, normalized_table
 
 # Sizes and separators of the splitters, limits of the merge and of stored texts.
 CHUNK, OVERLAP, PARENT, PARENT_OVERLAP = 512, 64, 2048, 128
 SEPARATORS = ("\n\n", "\n", "。", ".", "；", ";", "，", ",", " ")
 SHORT, MERGED_MAX, STORED_MAX, EMBED_MAX, MIN_TEXT = 200, 800, 65000, 6000, 10
 DIM = 64
+WORDS = re.compile(r"\w+")
 
 
 def split_text(text: str, size: int = CHUNK, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
@@ -65,10 +69,17 @@ def parent_child(docs: DataFrame) -> DataFrame:
 
 def hashed_embedding(text: Column, dim: int = DIM) -> Column:
     """The default embedder: normalised counts of token hashes. Long texts are cut to EMBED_MAX characters."""
-    slots = F.transform(tokens(F.left(text, F.lit(EMBED_MAX))), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float"))
+
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> np.ndarray:
+            slots = [zlib.crc32(w.encode()) % dim for w in WORDS.findall((t or "").lower())]
+            v = np.bincount(slots, minlength=dim).astype(np.float32) if slots else np.zeros(dim, np.float32)
+            return v / max(float(np.sqrt((v * v).sum())), 1e-12)
+
+        return texts.map(one)
+
+    return embed(F.left(text, F.lit(EMBED_MAX)))
 
 
 def semantic_chunks(docs: DataFrame, percentile: float = 0.3) -> DataFrame:
