@@ -56,7 +56,7 @@ def write_token_files(docs: DataFrame, folder: str, encode: Callable[[list[str]]
     return written(rows.mapInArrow(run, "file string, ordinal long, doc_id long"), "token-manifest")
 
 
-def _searched(end: int, dtype: str):
+def _searched(end: int, dtype: str, block_bytes: int):
     width = np.dtype(dtype).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,30 +64,31 @@ def _searched(end: int, dtype: str):
             for path, block, size in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "size")), strict=True):
                 system, at = _open(path)
                 with system.open_input_file(at) as f:
-                    ids = np.frombuffer(f.read_at(size, block * BLOCK_BYTES), dtype)
-                ends = np.flatnonzero(ids == end) + block * (BLOCK_BYTES // width)
+                    ids = np.frombuffer(f.read_at(size, block * block_bytes), dtype)
+                ends = np.flatnonzero(ids == end) + block * (block_bytes // width)
                 first, last = (int(ends[0]), int(ends[-1])) if len(ends) else (None, None)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([path]), pa.array([block], pa.int64()), pa.array([len(ends)], pa.int64()), pa.array([first], pa.int64()), pa.array([last], pa.int64()),
-                    pa.array([block * (BLOCK_BYTES // width) + len(ids)], pa.int64()), pa.array([np.diff(ends) - 1], pa.list_(pa.int64())),
+                    pa.array([block * (block_bytes // width) + len(ids)], pa.int64()), pa.array([np.diff(ends) - 1], pa.list_(pa.int64())),
                 ], names=["path", "block", "ends", "first", "last", "stop", "inner"])
 
     return run
 
 
-def token_counts(spark: SparkSession, folder: str, end: int, dtype: str = "<u2") -> DataFrame:
+def token_counts(spark: SparkSession, folder: str, end: int, dtype: str = "<u2", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(file, ordinal, n_tokens, closed) of every document in the token files of a folder.
 
     ordinal counts a file's documents from 0; the separator is no token of a document.
     Tokens after the last separator are a document with closed = false. Bytes too few for a token at the end of a file
-    are ignored. Empty files hold no documents; a folder without token files gives an empty result.
+    are ignored. block_bytes is a multiple of the width of an id.
+    Empty files hold no documents; a folder without token files gives an empty result.
     """
     width = np.dtype(dtype).itemsize
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder).select("path", (F.col("length") - F.col("length") % width).alias("length")).where("length > 0")
-    last = F.ceil(F.col("length") / BLOCK_BYTES) - 1
+    last = F.ceil(F.col("length") / block_bytes) - 1
     blocks = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
-    blocks = blocks.select("path", "block", F.least(F.lit(BLOCK_BYTES), F.col("length") - F.col("block") * BLOCK_BYTES).cast("long").alias("size")).repartition("path", "block")
-    found = blocks.mapInArrow(_searched(end, dtype), "path string, block long, ends long, first long, last long, stop long, inner array<bigint>")
+    blocks = blocks.select("path", "block", F.least(F.lit(block_bytes), F.col("length") - F.col("block") * block_bytes).cast("long").alias("size")).repartition("path", "block")
+    found = blocks.mapInArrow(_searched(end, dtype, block_bytes), "path string, block long, ends long, first long, last long, stop long, inner array<bigint>")
     found = written(found, "token-blocks")
 
     # The prefix scan, over rows without the lengths.
