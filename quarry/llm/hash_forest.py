@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, written
 from .vectors import BLOCK, TILE, best_of, common_length, finite, matrix, packed, ranked, unpack
 
-TREES, DEPTH = 32, 48
+TREES, DEPTH = 16, 48
 #: Vectors that a query looks at in each tree before ascending.
 START = 64
 #: Least chance of a neighbour as far as the k-th so far to be met.
@@ -69,8 +69,8 @@ def _rows(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for row in batch.to_pylist():
             qs, q = unpack(row["ids"], row["data"])
-            ids, x = unpack(row["x_ids"], row["x_data"])
-            yield row, qs, q, np.frombuffer(row["string"], np.int64), ids, x, np.frombuffer(row["x_string"], np.int64)
+            ids, x = unpack(row["x_ids"], row["x_data"], row["x_kind"])
+            yield row, qs, q, np.frombuffer(row["string"], np.int64), ids, x.astype(np.float64), np.frombuffer(row["x_string"], np.int64)
 
 
 def _result(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -148,10 +148,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     vectors the best score counts. Every row is in the index; nothing is fitted. Empty input gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
+    # Floats are kept as they are, in half the space; all sums are of doubles.
+    kind, width_of = ("float", "<f4") if dict(vectors.dtypes)[vec_col] == "array<float>" else ("double", "<f8")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda x: x.cast(kind)).alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & finite(F.col("v")) & F.exists("v", lambda x: x != 0))
     rows = written(common_length(rows), "vectors")
-    size = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    size = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, most, width = rows.agg(F.count(F.lit(1)), F.max(size), F.max(F.size("v"))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -159,19 +161,19 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     bits = int(min(depth // 2, max(0, np.ceil(np.log2(n / (2 * BLOCK))))))
     parts = max(shuffle_partitions(spark), n * trees // (16 * BLOCK))
 
-    hashed = "tree int, vec_id long, cell long, string long, v array<double>"
-    index = packed(rows.mapInArrow(_hashed(planes, most, trees, depth, bits, False), hashed), ["tree", "cell"], ["string"], parts)
-    index = written(index.select("tree", "cell", F.col("ids").alias("x_ids"), F.col("data").alias("x_data"), F.col("string").alias("x_string")), "forest")
+    hashed = f"tree int, vec_id long, cell long, string long, v array<{kind}>"
+    index = packed(rows.mapInArrow(_hashed(planes, most, trees, depth, bits, False), hashed), ["tree", "cell"], ["string"], parts, BLOCK, width_of)
+    index = written(index.select("tree", "cell", F.col("ids").alias("x_ids"), F.col("data").alias("x_data"), F.col("string").alias("x_string"), F.lit(width_of).alias("x_kind")), "forest")
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = asked.mapInArrow(_hashed(planes, most, trees, depth, bits, True), hashed).withColumnRenamed("vec_id", "query_id")
     asked = written(asked, "queries")
 
     first = _tiles(asked.withColumns({"length": F.lit(0).cast("long"), "least": F.lit(0.0)})).join(index, ["tree", "cell"])
-    start = ranked(first.select("ids", "string", "data", "x_ids", "x_string", "x_data").mapInArrow(_descend(k, depth, START), _FOUND), k)
+    start = ranked(first.select("ids", "string", "data", "x_ids", "x_string", "x_data", "x_kind").mapInArrow(_descend(k, depth, START), _FOUND), k)
     start = written(start, "start")
     # How alike the k-th so far is, and the longest prefix that neighbours as near share often enough.
     kth = start.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    norm = F.sqrt(size)
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("least") / (F.col("norm") * float(np.sqrt(most)))))
     share = 1 - F.acos(cosine) / F.pi()
     one_tree = 1 - (1 - sure) ** (1 / trees)
@@ -185,5 +187,5 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     cells = F.sequence(from_, from_ + F.call_function("shiftleft", F.lit(1).cast("long"), wide) - 1)
     again = again.withColumn("cell", F.explode(cells))
     meet = _tiles(again).join(index, ["tree", "cell"])
-    rest = meet.select("ids", "string", "data", "length", "least", "x_ids", "x_string", "x_data").mapInArrow(_ascend(k, depth), _FOUND)
+    rest = meet.select("ids", "string", "data", "length", "least", "x_ids", "x_string", "x_data", "x_kind").mapInArrow(_ascend(k, depth), _FOUND)
     return ranked(rest.unionByName(start.select("query_id", "vec_id", "score")), k)
