@@ -10,7 +10,7 @@ Documents with equal shingle sets are one node from the start. The other steps:
 3. Bound. A document and a block of another group that share a prefix token are candidates. A block's token union is
    kept as a bitmap of hashed columns; bits that the document has and the union lacks are tokens it lacks, which
    bounds their overlap from above. Blocks where the bound is below 80 % of the document's tokens stay closed.
-4. Opening. The document is compared exactly with the members of the blocks left.
+4. Opening. The document is compared with the members of the blocks left: by their own bitmaps, then exactly.
 
 Links inside a group need no further comparison, as the result is a document's component: a group of copies of any
 size costs a comparison a document, not one a pair. Common tokens come last in the token order, so a passage that
@@ -38,11 +38,17 @@ PERCENT = 80
 #: MinHash keys of a document, and values in a key.
 KEYS, ROWS = 3, 3
 #: Documents in a block of a group, on average.
-BLOCK = 64
+BLOCK = 256
+#: Documents that meet a block at once, and members of a block that each is compared with first.
+TILE, LIKELIEST = 512, 2
 #: Columns of a bitmap.
 BITS = 4096
 #: A token is common when it is in so many documents; of the common ones, so many are told to all tasks (3 MB).
 COMMON, COMMON_KEPT = 16, 200_000
+#: Tokens that a task counts together when it looks for common ones.
+POOL = 2_000_000
+#: Pairs up to this number (8 MB) are sent to all tasks for the first half of a comparison; more are joined.
+PAIRS_SENT = 500_000
 #: Size of the filter that tells tasks which documents are needed (1 MB); beyond its capacity it only lets more pass.
 FILTER_BITS = 1 << 23
 
@@ -101,7 +107,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pool.append(tokens[offs[d] : offs[d + 1]])
             key_offs = np.arange(j - i + 1) * KEYS
             yield row(batch.column("id").slice(i, j - i), pa.array(n.astype(np.int32)), pa.array(sigs, pa.binary()), _lists(keys.ravel(), key_offs), pa.nulls(j - i, pa.list_(pa.int64())), pa.nulls(j - i, pa.list_(pa.int64())))
-            if sum(map(len, pool)) > 4_000_000:
+            if sum(map(len, pool)) > POOL:
                 yield from flush()
     yield from flush()
 
@@ -154,15 +160,16 @@ def _fetch(needed, bitmaps: bool):
 
 def _links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            ok = np.zeros(len(left), bool)
-            for x, (p, q) in enumerate(zip(left, right, strict=True)):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
-                    both = np.intersect1d(p, q, assume_unique=True).size
-                    ok[x] = 100 * both >= percent * (len(p) + len(q) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+        for whole in batches:
+            for i in range(0, len(whole), 500):
+                batch = whole.slice(i, 500)
+                ok = np.zeros(len(batch), bool)
+                for x, (p, q) in enumerate(zip(batch.column("left"), batch.column("right"), strict=True)):
+                    p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                    if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
+                        both = np.intersect1d(p, q, assume_unique=True).size
+                        ok[x] = 100 * both >= percent * (len(p) + len(q) - both)
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return run
 
@@ -189,6 +196,36 @@ def _open_blocks(percent: int):
     return run
 
 
+def _alike(asking: DataFrame, members: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """(q, id, group): members of a block that may link to a document as far as their bitmaps tell, or the `most`
+    likeliest of each block. Documents meet a block in tiles of about TILE, however many ask."""
+    tiles = asking.groupBy("group", "block").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    left = asking.join(tiles, ["group", "block"]).withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), "q"), F.col("tiles")).cast("int"))
+    right = members.join(tiles, ["group", "block"]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    keys = ["group", "block", "tile"]
+
+    def compare(qs: pa.Table, ms: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        if qs.num_rows and ms.num_rows:
+            member = np.frombuffer(b"".join(ms.column("data").to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            ids, size = ms.column("id").to_numpy(), ms.column("n").to_numpy().astype(np.int64)
+            for q, n, data in zip(qs.column("q").to_pylist(), qs.column("n").to_pylist(), qs.column("data").to_pylist(), strict=True):
+                own = np.frombuffer(data, np.uint8)
+                bound = np.minimum(n - np.bitwise_count(own & ~member).sum(axis=1, dtype=np.int64), size - np.bitwise_count(member & ~own).sum(axis=1, dtype=np.int64))
+                may = np.flatnonzero((100 + percent) * bound >= percent * (n + size))
+                if most is not None and len(may) > most:
+                    may = may[np.lexsort((ids[may], -bound[may] / (n + size[may] - bound[may])))[:most]]
+                out.append((np.full(len(may), q, np.int64), ids[may]))
+        q, i = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+        group = qs.column("group")[0].as_py() if qs.num_rows else None
+        return pa.table({"q": pa.array(q), "id": pa.array(i), "group": pa.array([group] * len(q), pa.int64())})
+
+    # toDF gives the columns identities of their own: both sides come from the same tables.
+    asked = left.select(*keys, "q", "n", "data").toDF(*keys, "q", "n", "data")
+    told = right.select(*keys, "id", "n", "data").toDF(*keys, "id", "n", "data")
+    return asked.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInArrow(compare, "q long, id long, group long")
+
+
 class _Documents:
     """The input, read again for the sets, prefixes or bitmaps that a step needs rather than kept with all of them."""
 
@@ -208,10 +245,15 @@ class _Documents:
         return found.join(ids, "id", "left_semi")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, source: _Documents, percent: int) -> DataFrame:
+    """The pairs (a, b) that link. Sets are written once; the sets of a travel to those of b, of which there are fewer."""
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = written(source.data_of(ends), "sets")
+    few = pairs.count() <= PAIRS_SENT
+    sent = F.broadcast if few else (lambda df: df)
     left = sets.select(F.col("id").alias("a"), F.col("data").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("data").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_links(percent), "a long, b long")
+    right = sets.join(sent(pairs.select(F.col("b").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("b"), F.col("data").alias("right"))
+    return left.join(sent(pairs), "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_links(percent), "a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -233,8 +275,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = nodes.select("id", F.posexplode("keys").alias("k", "key"))
     first = keyed.groupBy("k", "key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     near = written(keyed.join(first, ["k", "key"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "near")
-    ends = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-    links = written(_verified(near, source.data_of(ends), percent), "links")
+    links = written(_verified(near, source, percent), "links")
     groups = written(connected_components(links), "groups")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = nodes.select("id", "n", "sig").join(groups, "id", "left").join(sizes, "component", "left")
@@ -265,13 +306,23 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bounds = could.join(bitmaps.withColumnRenamed("id", "q"), "q").join(unions, ["group", "block"]).where(fits)
     opened = written(bounds.select("q", "n", "group", "block", "data", "union").mapInArrow(_open_blocks(percent), "q long, group long, block int"), "opened")
 
-    # 4: exact comparison with the members of the blocks left.
-    pairs = opened.join(members, ["group", "block"]).select(F.col("q").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
-    if not pairs.isEmpty():
-        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        links = links.unionByName(_verified(pairs, source.data_of(ends), percent))
-        groups = written(connected_components(links), "components")
+    # 4: exact comparison with members of the blocks left. One link joins a document to a group, so the likeliest
+    # members come first, and the others only for documents that these do not link.
+    asking = opened.join(bitmaps.withColumnRenamed("id", "q"), "q").join(nodes.select(F.col("id").alias("q"), "n"), "q")
+    inner = members.join(opened.select("group", "block").distinct(), ["group", "block"]).select("id", "n", "group", "block").join(bitmaps, "id")
+    tried = written(_alike(asking, inner, percent, most=LIKELIEST), "likeliest")
+    later: DataFrame | None = None
+    for pairs in (tried, None):
+        if pairs is None:
+            rest = asking.join(tried.select("q", "group").distinct(), ["q", "group"], "left_semi").join(later, ["q", "group"], "left_anti")
+            pairs = written(_alike(rest, inner, percent, most=None).join(tried.select("q", "id"), ["q", "id"], "left_anti"), "others")
+        pairs = pairs.select(F.col("q").alias("a"), F.col("id").alias("b"), "group")
+        if pairs.isEmpty():
+            break
+        found = written(_verified(pairs.select("a", "b"), source, percent), "links")
+        links = links.unionByName(found)
+        later = found.join(pairs, ["a", "b"]).select(F.col("a").alias("q"), "group").distinct()
+    groups = written(connected_components(links), "components")
     component = F.coalesce("component", "node")
     named = nodes.select("sig", F.col("id").alias("node")).join(groups.withColumnRenamed("id", "node"), "node", "left").select("sig", component.alias("component"))
     out = features.where("sig is not null").join(named, "sig", "left")
