@@ -21,27 +21,30 @@ def _seconds(ts: str = "ts"):
 def limited(hits: DataFrame, key: str, most: int = MAX_REQUESTS, window: float = WINDOW_S) -> DataFrame:
     """hits (key, id, ts) with `allowed`: at most `most` accepted hits in (ts - window, ts]; rejected ones do not count.
 
-    A pause of a window forgets everything, so a key's hits are cut at pauses and replayed run by run: a busy key is
-    many groups.
+    A pause of a window forgets everything, so a key's hits are cut at pauses and replayed run by run. Runs are dealt
+    to buckets by hash, so a busy key is spread out and a quiet one costs no group of its own.
     """
     order = Window.partitionBy(key).orderBy("_t", "id")
     timed = hits.select(key, "id", "ts", _seconds().alias("_t"))
     run = F.sum(F.when(F.col("_t") - F.lag("_t").over(order) < window, 0).otherwise(1)).over(order)
 
     def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_t", "id"], kind="stable")
+        rows = rows.sort_values(["_at", "_run", "_t", "id"], kind="stable")
         held: list[float] = []
-        allowed = []
-        for t in rows["_t"]:
-            held = [x for x in held if x > t - window]
+        allowed, now = [], None
+        for at, r, t in zip(rows["_at"], rows["_run"], rows["_t"], strict=True):
+            held = [x for x in held if x > t - window] if (at, r) == now else []
+            now = (at, r)
             allowed.append(len(held) < most)
             if allowed[-1]:
                 held.append(t)
-        return rows.assign(allowed=allowed).drop(columns=["_t", "_run"])
+        return rows.assign(allowed=allowed).drop(columns=["_t", "_run", "_at", "_bucket"])
 
     kind = dict(hits.dtypes)
     schema = f"{key} {kind[key]}, id {kind['id']}, ts {kind['ts']}, allowed boolean"
-    return timed.withColumn("_run", run).groupBy(key, "_run").applyInPandas(replay, schema)
+    buckets = 4 * int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = timed.withColumn("_run", run).withColumn("_at", F.xxhash64(key, F.lit("key")))
+    return runs.withColumn("_bucket", F.pmod(F.xxhash64("_at", "_run"), F.lit(buckets))).groupBy("_bucket").applyInPandas(replay, schema)
 
 
 def hits_in_window(hits: DataFrame, key: str, window: int = int(WINDOW_S)) -> DataFrame:
