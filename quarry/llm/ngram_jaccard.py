@@ -5,10 +5,11 @@ Documents with equal shingle sets are one node from the start. The other steps:
 1. Grouping. MinHash keys bring similar documents together; each is compared, exactly, with the first document of
    its keys. What is linked so is one group. Groups are kept in blocks of about BLOCK documents.
 2. Token-group matrix. If two documents link, the rarest fifth of the one's tokens meets that of the other, whatever
-   the order of tokens is, as long as there is one. So each document enters that prefix only, and the matrix has a
-   row for each token and block of a group. Tokens seen in one group only are dropped at once.
-3. Bound. A document and a block of another group that share a prefix token are candidates. A block's token union is
-   kept as a bitmap of hashed columns; bits that the document has and the union lacks are tokens it lacks, which
+   the order of tokens is, as long as there is one; with k tokens more each, they share k there. So each document
+   enters that prefix only, and the matrix has a row for each token and block of a group. Tokens seen in one group
+   only are dropped at once.
+3. Bound. A document and a block of another group that share k prefix tokens are candidates. A block's token union
+   is kept as a bitmap of hashed columns; bits that the document has and the union lacks are tokens it lacks, which
    bounds their overlap from above. Blocks where the bound is below 80 % of the document's tokens stay closed.
 4. Opening. The document is compared with the members of the blocks left: by their own bitmaps, then exactly.
 
@@ -38,9 +39,11 @@ PERCENT = 80
 #: MinHash keys of a document, and values in a key.
 KEYS, ROWS = 3, 3
 #: Documents in a block of a group, on average.
-BLOCK = 256
+BLOCK = 512
 #: Documents that meet a block at once, and members of a block that each is compared with first.
 TILE, LIKELIEST = 512, 2
+#: A prefix has an eighth of the tokens more than it takes to share one, so linked documents share an eighth in it.
+SPARE = 8
 #: Columns of a bitmap.
 BITS = 4096
 #: A token is common when it is in so many documents; of the common ones, so many are told to all tasks (3 MB).
@@ -117,6 +120,11 @@ def _needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
+def _spare(n):
+    """The k of a set of n tokens; never more than it has to share with one it links to."""
+    return n // SPARE
+
+
 def _prefixes(common, percent: int):
     """common: broadcast of (sorted tokens, class 1, 2, ... of each)."""
 
@@ -125,7 +133,7 @@ def _prefixes(common, percent: int):
         for batch in batches:
             for i, j, tokens, offs in _sets(batch):
                 n = np.diff(offs)
-                length = np.where(n > 0, n - _needed(n, percent) + 1, 0)
+                length = np.where(n > 0, n - _needed(n, percent) + np.maximum(1, np.minimum(_spare(n), _needed(n, percent))), 0)
                 doc = np.repeat(np.arange(j - i), n)
                 if len(known) and len(tokens):
                     at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
@@ -296,8 +304,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = shared.groupBy("token", "group", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     fits = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
     asked = shared.select("token", F.col("id").alias("q"), "n", F.col("group").alias("own"))
-    could = asked.join(rows, "token").where((F.col("own") > F.col("group")) & fits).select("q", "n", "group", "block").distinct()
-    could = written(could, "candidates")
+    met = asked.join(rows, "token").where((F.col("own") > F.col("group")) & fits).groupBy("q", "n", "group", "block")
+    met = met.agg(F.count(F.lit(1)).alias("shared"))
+    # k of the smaller set; with a percentage that low, what they have to share at least.
+    smallest = members.groupBy("group", "block").agg(F.min("n").alias("smallest"))
+    k = F.floor(F.least("n", "smallest") * min(1 / SPARE, percent / 100))
+    could = written(met.join(smallest, ["group", "block"]).where(F.col("shared") >= k).select("q", "n", "group", "block"), "candidates")
     blocks = could.select("group", "block").distinct()
     inside = members.join(blocks, ["group", "block"]).select("id", "n", "group", "block")
     asked_for = could.select(F.col("q").alias("id")).unionByName(inside.select("id")).distinct()
