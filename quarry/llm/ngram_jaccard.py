@@ -3,17 +3,20 @@
 Documents with equal shingle sets are one node from the start. The other steps:
 
 1. Grouping. MinHash keys bring similar documents together; each is compared, exactly, with the first document of
-   its keys. What is linked so is one group. Groups are kept in blocks of about BLOCK documents.
+   its keys. What is linked so is one component. A component of half a block or more is a group; smaller ones that
+   share their most frequent key are a group together, linked or not, so that documents which resemble one text
+   without linking do not meet one by one. Groups are kept in blocks of about BLOCK documents.
 2. Token-group matrix. If two documents link, the rarest fifth of the one's tokens meets that of the other, whatever
    the order of tokens is, as long as there is one; with k tokens more each, they share k there. So each document
-   enters that prefix only, and the matrix has a row for each token and block of a group. Tokens seen in one group
-   only are dropped at once.
-3. Bound. A document and a block of another group that share k prefix tokens are candidates. A block's token union
+   enters that prefix only, and the matrix has a row for each token and block of a group. Tokens seen in one
+   component only are dropped at once.
+3. Bound. A document and a block with a smaller component that share k prefix tokens are candidates. A block's token union
    is kept as a bitmap of hashed columns; bits that the document has and the union lacks are tokens it lacks, which
    bounds their overlap from above. Blocks where the bound is below 80 % of the document's tokens stay closed.
-4. Opening. The document is compared with the members of the blocks left: by their own bitmaps, then exactly.
+4. Opening. The document is compared with members of smaller components in the blocks left: by their own bitmaps,
+   then exactly.
 
-Links inside a group need no further comparison, as the result is a document's component: a group of copies of any
+Links inside a component need no further comparison, as the result is a document's component: a group of copies of any
 size costs a comparison a document, not one a pair. Common tokens come last in the token order, so a passage that
 many documents share is in no prefix but where nearly all of a document is common. The order only decides what is
 compared, never the result, which is exact up to collisions of 64-bit token hashes.
@@ -205,33 +208,37 @@ def _open_blocks(percent: int):
 
 
 def _alike(asking: DataFrame, members: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """(q, id, group): members of a block that may link to a document as far as their bitmaps tell, or the `most`
-    likeliest of each block. Documents meet a block in tiles of about TILE, however many ask."""
+    """(q, id, component, group): members of a block that may link to a document as far as their bitmaps tell, or the
+    `most` likeliest of each component in it. Only components smaller than the document's own count, so that a pair
+    of components meets from one side. Documents meet a block in tiles of about TILE, however many ask."""
     tiles = asking.groupBy("group", "block").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     left = asking.join(tiles, ["group", "block"]).withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), "q"), F.col("tiles")).cast("int"))
     right = members.join(tiles, ["group", "block"]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     keys = ["group", "block", "tile"]
 
     def compare(qs: pa.Table, ms: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if qs.num_rows and ms.num_rows:
             member = np.frombuffer(b"".join(ms.column("data").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-            ids, size = ms.column("id").to_numpy(), ms.column("n").to_numpy().astype(np.int64)
-            for q, n, data in zip(qs.column("q").to_pylist(), qs.column("n").to_pylist(), qs.column("data").to_pylist(), strict=True):
-                own = np.frombuffer(data, np.uint8)
-                bound = np.minimum(n - np.bitwise_count(own & ~member).sum(axis=1, dtype=np.int64), size - np.bitwise_count(member & ~own).sum(axis=1, dtype=np.int64))
-                may = np.flatnonzero((100 + percent) * bound >= percent * (n + size))
+            ids, size, component = (ms.column(c).to_numpy().astype(np.int64) for c in ("id", "n", "component"))
+            for q, n, own, data in zip(*(qs.column(c).to_pylist() for c in ("q", "n", "own", "data")), strict=True):
+                bits = np.frombuffer(data, np.uint8)
+                bound = np.minimum(n - np.bitwise_count(bits & ~member).sum(axis=1, dtype=np.int64), size - np.bitwise_count(member & ~bits).sum(axis=1, dtype=np.int64))
+                may = np.flatnonzero(((100 + percent) * bound >= percent * (n + size)) & (component < own))
                 if most is not None and len(may) > most:
-                    may = may[np.lexsort((ids[may], -bound[may] / (n + size[may] - bound[may])))[:most]]
-                out.append((np.full(len(may), q, np.int64), ids[may]))
-        q, i = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+                    may = may[np.lexsort((ids[may], -bound[may] / (n + size[may] - bound[may]), component[may]))]
+                    at = np.arange(len(may))
+                    new = np.append(True, np.diff(component[may]) != 0)
+                    may = may[at - np.maximum.accumulate(np.where(new, at, 0)) < most]
+                out.append((np.full(len(may), q, np.int64), ids[may], component[may]))
+        q, i, c = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
         group = qs.column("group")[0].as_py() if qs.num_rows else None
-        return pa.table({"q": pa.array(q), "id": pa.array(i), "group": pa.array([group] * len(q), pa.int64())})
+        return pa.table({"q": pa.array(q), "id": pa.array(i), "component": pa.array(c), "group": pa.array([group] * len(q), pa.int64())})
 
     # toDF gives the columns identities of their own: both sides come from the same tables.
-    asked = left.select(*keys, "q", "n", "data").toDF(*keys, "q", "n", "data")
-    told = right.select(*keys, "id", "n", "data").toDF(*keys, "id", "n", "data")
-    return asked.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInArrow(compare, "q long, id long, group long")
+    asked = left.select(*keys, "q", "n", "own", "data").toDF(*keys, "q", "n", "own", "data")
+    told = right.select(*keys, "id", "n", "component", "data").toDF(*keys, "id", "n", "component", "data")
+    return asked.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInArrow(compare, "q long, id long, component long, group long")
 
 
 class _Documents:
@@ -281,30 +288,36 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # 1: groups.
     keyed = nodes.select("id", F.posexplode("keys").alias("k", "key"))
-    first = keyed.groupBy("k", "key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    near = written(keyed.join(first, ["k", "key"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "near")
+    first = keyed.groupBy("k", "key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    together = written(keyed.join(first, ["k", "key"]).select("id", "b", "c"), "together")
+    near = written(together.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "near")
     links = written(_verified(near, source, percent), "links")
-    groups = written(connected_components(links), "groups")
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = nodes.select("id", "n", "sig").join(groups, "id", "left").join(sizes, "component", "left")
-    block = F.pmod(F.xxhash64(F.lit("block"), "id"), F.ceil(F.coalesce(F.col("size"), F.lit(1)) / BLOCK)).cast("int")
-    members = written(members.select("id", "n", "sig", F.coalesce("component", "id").alias("group"), block.alias("block")), "members")
-
-    # 2: tokens that several groups have in their prefixes.
+    components = written(connected_components(links), "components")
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    busiest = together.groupBy(F.col("id").alias("component")).agg(F.max_by("b", F.struct("c", "b")).alias("near"))
+    grouped = nodes.select("id", "n", "sig").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    grouped = grouped.join(sizes, "component", "left").join(busiest, "component", "left")
+    group = F.when(F.col("size") * 2 >= BLOCK, F.col("component")).otherwise(F.coalesce("near", "component"))
+    grouped = written(grouped.select("id", "n", "sig", "component", group.alias("group")), "grouped")
+    blocks = grouped.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1")
+    block = F.pmod(F.xxhash64(F.lit("block"), "id"), F.coalesce(F.col("blocks"), F.lit(1))).cast("int")
+    members = written(grouped.join(blocks, "group", "left").select("id", "n", "sig", "component", "group", block.alias("block")), "members")
+
+    # 2: tokens that several components have in their prefixes.
     seen = features.where("sig is null").select(F.inline(F.arrays_zip("common", "seen"))).groupBy("common").agg(F.sum("seen").alias("c"))
     often = seen.where(F.col("c") >= COMMON).orderBy(F.desc("c"), "common").limit(COMMON_KEPT).toPandas()
     order = np.argsort(often["common"].to_numpy(np.int64).view(np.uint64))
     common = spark.sparkContext.broadcast((often["common"].to_numpy(np.int64).view(np.uint64)[order], 1 + np.log2(often["c"].to_numpy(float)[order]).astype(np.int64)))
     prefixes = source.rows.where("id is not null").mapInArrow(_prefixes(common, percent), "id long, sig binary, prefix array<bigint>")
-    entries = prefixes.join(members, ["id", "sig"]).select(F.explode("prefix").alias("token"), "id", "group")
-    shared = _in_several_groups(entries)
-    shared = written(shared.join(members.select("id", "n", "block"), "id"), "matrix")
+    entries = prefixes.join(members, ["id", "sig"]).select(F.explode("prefix").alias("token"), "id", "component")
+    shared = _in_several_components(entries)
+    shared = written(shared.join(members.select("id", "n", "group", "block"), "id"), "matrix")
 
-    # 3: documents against blocks of other groups. Of two groups, the one with the larger id sends its documents.
-    rows = shared.groupBy("token", "group", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    # 3: documents against blocks. Of two components, the one with the larger id sends its documents.
+    rows = shared.groupBy("token", "group", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"))
     fits = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
-    asked = shared.select("token", F.col("id").alias("q"), "n", F.col("group").alias("own"))
-    met = asked.join(rows, "token").where((F.col("own") > F.col("group")) & fits).groupBy("q", "n", "group", "block")
+    asked = shared.select("token", F.col("id").alias("q"), "n", F.col("component").alias("own"))
+    met = asked.join(rows, "token").where((F.col("own") > F.col("low")) & fits).groupBy("q", "n", "group", "block")
     met = met.agg(F.count(F.lit(1)).alias("shared"))
     # k of the smaller set; with a percentage that low, what they have to share at least.
     smallest = members.groupBy("group", "block").agg(F.min("n").alias("smallest"))
@@ -318,31 +331,32 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bounds = could.join(bitmaps.withColumnRenamed("id", "q"), "q").join(unions, ["group", "block"]).where(fits)
     opened = written(bounds.select("q", "n", "group", "block", "data", "union").mapInArrow(_open_blocks(percent), "q long, group long, block int"), "opened")
 
-    # 4: exact comparison with members of the blocks left. One link joins a document to a group, so the likeliest
+    # 4: exact comparison with members of the blocks left. One link joins a document to a component, so its likeliest
     # members come first, and the others only for documents that these do not link.
-    asking = opened.join(bitmaps.withColumnRenamed("id", "q"), "q").join(nodes.select(F.col("id").alias("q"), "n"), "q")
-    inner = members.join(opened.select("group", "block").distinct(), ["group", "block"]).select("id", "n", "group", "block").join(bitmaps, "id")
+    asking = opened.join(bitmaps.withColumnRenamed("id", "q"), "q").join(members.select(F.col("id").alias("q"), "n", F.col("component").alias("own")), "q")
+    inner = members.join(opened.select("group", "block").distinct(), ["group", "block"]).select("id", "n", "component", "group", "block").join(bitmaps, "id")
     tried = written(_alike(asking, inner, percent, most=LIKELIEST), "likeliest")
     later: DataFrame | None = None
     for pairs in (tried, None):
         if pairs is None:
-            rest = asking.join(tried.select("q", "group").distinct(), ["q", "group"], "left_semi").join(later, ["q", "group"], "left_anti")
-            pairs = written(_alike(rest, inner, percent, most=None).join(tried.select("q", "id"), ["q", "id"], "left_anti"), "others")
-        pairs = pairs.select(F.col("q").alias("a"), F.col("id").alias("b"), "group")
+            open_yet = tried.join(later, ["q", "component"], "left_anti").select("q", "group").distinct()
+            rest = _alike(asking.join(open_yet, ["q", "group"], "left_semi"), inner, percent, most=None)
+            pairs = written(rest.join(tried.select("q", "id"), ["q", "id"], "left_anti").join(later, ["q", "component"], "left_anti"), "others")
+        pairs = pairs.select(F.col("q").alias("a"), F.col("id").alias("b"), "component")
         if pairs.isEmpty():
             break
         found = written(_verified(pairs.select("a", "b"), source, percent), "links")
         links = links.unionByName(found)
-        later = found.join(pairs, ["a", "b"]).select(F.col("a").alias("q"), "group").distinct()
-    groups = written(connected_components(links), "components")
+        later = found.join(pairs, ["a", "b"]).select(F.col("a").alias("q"), "component").distinct()
+    groups = written(connected_components(links), "classes")
     component = F.coalesce("component", "node")
     named = nodes.select("sig", F.col("id").alias("node")).join(groups.withColumnRenamed("id", "node"), "node", "left").select("sig", component.alias("component"))
     out = features.where("sig is not null").join(named, "sig", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
-def _in_several_groups(entries: DataFrame) -> DataFrame:
-    """Entries (token, id, group) of the tokens that more than one group has; one shuffle of the entries."""
+def _in_several_components(entries: DataFrame) -> DataFrame:
+    """Entries (token, id, component) of the tokens that more than one component has; one shuffle of the entries."""
     of_token = Window.partitionBy("token")
-    wide = entries.withColumns({"low": F.min("group").over(of_token), "high": F.max("group").over(of_token)})
-    return wide.where("low < high").select("token", "id", "group")
+    wide = entries.withColumns({"low": F.min("component").over(of_token), "high": F.max("component").over(of_token)})
+    return wide.where("low < high").select("token", "id", "component")
