@@ -293,13 +293,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = written(together.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "near")
     links = written(_verified(near, source, percent), "links")
     components = written(connected_components(links), "components")
-    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = written(components.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
     busiest = together.groupBy(F.col("id").alias("component")).agg(F.max_by("b", F.struct("c", "b")).alias("near"))
     grouped = nodes.select("id", "n", "sig").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     grouped = grouped.join(sizes, "component", "left").join(busiest, "component", "left")
     group = F.when(F.col("size") * 2 >= BLOCK, F.col("component")).otherwise(F.coalesce("near", "component"))
     grouped = written(grouped.select("id", "n", "sig", "component", group.alias("group")), "grouped")
-    blocks = grouped.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1")
+    # Written, so that the join with them is a stage of its own and Spark can split a large group's partition.
+    blocks = written(grouped.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1"), "blocks")
     block = F.pmod(F.xxhash64(F.lit("block"), "id"), F.coalesce(F.col("blocks"), F.lit(1))).cast("int")
     members = written(grouped.join(blocks, "group", "left").select("id", "n", "sig", "component", "group", block.alias("block")), "members")
 
