@@ -44,3 +44,9 @@ def test_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(q.QUERIES) - set(q.ORACLES)))
 def test_runs(spark, name):
     assert q.QUERIES[name](spark, SF).count() > 0
+
+
+def test_relational_queries_give_all_rows(spark):
+    large = SF.replace("sf0.001", "sf0.1")
+    n = spark.read.parquet(f"{large}/orders.parquet").count()
+    assert n > 100_000 and q.QUERIES["rel_window"](spark, large).count() == n
