@@ -142,10 +142,13 @@ def channel_union(channels: Mapping[str, DataFrame], queries: DataFrame) -> Data
 
 
 def graph_neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int = 20) -> DataFrame:
-    """Edges (src, dst, label) within some hops of seed nodes (id), nearest first, at most `limit`."""
+    """Edges (src, dst, label) within some hops of seed nodes (id), nearest first, at most `limit`.
+
+    Repeated edges count once. Each hop reads only the edges that leave the nodes of the one before.
+    """
     near, found = seeds.select("id").distinct(), None
     for hop in range(1, hops + 1):
-        step = edges.join(near, edges["src"] == near["id"], "left_semi").withColumn("hop", F.lit(hop))
+        step = edges.join(near, edges["src"] == near["id"], "left_semi").select("src", "dst", "label").distinct().withColumn("hop", F.lit(hop))
         found = step if found is None else found.unionByName(step)
         near = step.select(F.col("dst").alias("id")).distinct()
     return found.groupBy("src", "dst", "label").agg(F.min("hop").alias("hop")).orderBy("hop", "src", "dst", "label").limit(limit)

@@ -197,6 +197,8 @@ def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _page("metric_board", "SELECT r_name AS name, avg(value) AS average, count(*) AS n FROM events JOIN region ON event_id % 5 = r_regionkey WHERE event_type <> 'view' GROUP BY 1", lambda s, d: A.metric_board(_results(s, d), _definitions(s, d)))
 _page("feedback_map_entries", "SELECT user_id AS record_id, r_name AS name, arg_max(value, event_id) AS result FROM events JOIN region ON event_id % 5 = r_regionkey WHERE user_id % 10 = 0 GROUP BY 1, 2",
       lambda s, d: _results(s, d).where("record_id % 10 = 0").join(_definitions(s, d), "definition_id").groupBy("record_id", "name").agg(F.max_by("result", "id").alias("result")))
+_page("feedback_map", "SELECT user_id AS record_id, r_name AS name, round(coalesce(arg_max(value, event_id), 0), 3) AS result FROM events JOIN region ON event_id % 5 = r_regionkey GROUP BY 1, 2",
+      lambda s, d: A.feedback_map(_results(s, d), _definitions(s, d), _results(s, d)).select("record_id", F.explode("scores").alias("name", "result")))
 _page("sql_scores", "SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END AS sql_valid, CASE WHEN event_type = 'error' THEN 0.0 WHEN value > 10 THEN 1.0 ELSE 0.5 END AS has_data FROM events",
       lambda s, d: A.sql_scores(read(s, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "failed").alias("error"), F.when(F.col("value") > 10, 1).otherwise(0).alias("n_rows"))).select("id", "sql_valid", "has_data"))
 _page("eval_rollup", "SELECT avg(sv) AS valid_rate, avg(value) AS avg_relevance, avg((sv + hd + value) / 3) AS avg_correctness, avg(value * 2) AS avg_latency FROM (SELECT value, CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END AS sv, CASE WHEN event_type = 'error' THEN 0.0 WHEN value > 10 THEN 1.0 ELSE 0.5 END AS hd FROM events)",
@@ -256,7 +258,7 @@ def hybrid_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey <= 20 AND l_partkey <= 200), w(node, hop) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, hop + 1 FROM w JOIN e ON src = node WHERE hop < 2)
 SELECT src, dst, 'supplies' AS label, CAST(min(hop) + 1 AS INTEGER) AS hop FROM w JOIN e ON src = node WHERE hop < 2 GROUP BY 1, 2 ORDER BY hop, src, dst LIMIT 20""")
 def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = read(spark, sf_dir, "lineitem").where("l_suppkey <= 20 and l_partkey <= 200").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("supplies").alias("label")).distinct()
+    edges = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("supplies").alias("label"))
     return R.graph_neighbours(edges, spark.range(1, 2), 2, 20)
 
 

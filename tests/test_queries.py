@@ -50,3 +50,15 @@ def test_relational_queries_give_all_rows(spark):
     large = SF.replace("sf0.001", "sf0.1")
     n = spark.read.parquet(f"{large}/orders.parquet").count()
     assert n > 100_000 and q.QUERIES["rel_window"](spark, large).count() == n
+
+
+def test_graph_reads_all_edges(spark, duck):
+    large = SF.replace("sf0.001", "sf0.1")
+    sql = f"""WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM '{large}/lineitem.parquet'), n AS (SELECT dst AS node FROM e WHERE src = 1)
+    SELECT src, dst, 'supplies' AS label, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT *, 1 AS hop FROM e WHERE src = 1 UNION ALL SELECT *, 2 FROM e WHERE src IN (FROM n)) GROUP BY 1, 2 ORDER BY hop, src, dst LIMIT 20"""
+    compare(q.QUERIES["graph_neighbours"](spark, large), duck, sql)
+
+
+def test_feedback_map_holds_all_records(spark):
+    records = spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().count()
+    assert q.QUERIES["feedback_map"](spark, SF).select("record_id").distinct().count() == records
