@@ -67,8 +67,9 @@ def parent_child(docs: DataFrame) -> DataFrame:
     return children.select("doc_id", "parent_index", nth.alias("chunk_index"), "text", "parent_text")
 
 
-def hashed_embedding(text: Column, dim: int = DIM) -> Column:
-    """The default embedder: normalised counts of token hashes. Long texts are cut to EMBED_MAX characters."""
+def hashed_embedding(text: Column, dim: int = DIM, most: int | None = EMBED_MAX) -> Column:
+    """The default embedder: normalised counts of token hashes. Texts are cut to `most` characters, as remote embedders
+    cut chunks; None takes them whole."""
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
@@ -79,7 +80,7 @@ def hashed_embedding(text: Column, dim: int = DIM) -> Column:
 
         return texts.map(one)
 
-    return embed(F.left(text, F.lit(EMBED_MAX)))
+    return embed(text if most is None else F.left(text, F.lit(most)))
 
 
 def semantic_chunks(docs: DataFrame, percentile: float = 0.3) -> DataFrame:

@@ -62,3 +62,11 @@ def test_graph_reads_all_edges(spark, duck):
 def test_feedback_map_holds_all_records(spark):
     records = spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().count()
     assert q.QUERIES["feedback_map"](spark, SF).select("record_id").distinct().count() == records
+
+
+def test_hybrid_search_embeds_whole_documents(spark, tmp_path):
+    docs = [(1, "zeta pad pad"), (2, "pad " * 2000 + "zeta " * 4000)]  # all of zeta comes after character 6,000
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "zeta")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = q.QUERIES["hybrid_reranked"](spark, str(tmp_path)).collect()
+    assert {r.id: r["rank"] for r in out} == {2: 1, 1: 2}
