@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,33 +19,57 @@ def _seconds(ts: str = "ts"):
     return F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
 
 
+def _replayed(rows: DataFrame, key: str, read: list[str], fresh: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
+    """rows (key, id, ..., _t) with the columns that a replay adds, without _t.
+
+    fresh() starts a key; what it gives takes the values of `read` of a row, in order of _t and id (nulls last), and
+    returns the new columns' values. A task holds a batch of rows and one key's state, whatever a key's share.
+    """
+    kept = [c for c in rows.columns if c != "_t"]
+    added = [x.split()[0] for x in schema.split(", ")]
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, step = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            # Null times are NaN, which is before and after nothing.
+            times = batch.column("_t").to_numpy(zero_copy_only=False).tolist()
+            values = [times if c == "_t" else batch.column(c).to_pylist() for c in read]
+            for k, *v in zip(batch.column(key).to_pylist(), *values, strict=True):
+                if step is None or not (k == now or (k != k and now != now)):
+                    now, step = k, fresh()
+                out.append(step(*v))
+            columns = [pa.array(c) for c in zip(*out, strict=True)] if out else []
+            if columns:
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns], names=[*kept, *added])
+
+    order = [F.asc(key), F.asc_nulls_last("_t"), F.asc_nulls_last("id")]
+    full = ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], schema])
+    return rows.repartition(F.col(key)).sortWithinPartitions(*order).mapInArrow(run, full)
+
+
 def limited(hits: DataFrame, key: str, most: int = MAX_REQUESTS, window: float = WINDOW_S) -> DataFrame:
     """hits (key, id, ts) with `allowed`: at most `most` accepted hits in (ts - window, ts]; rejected ones do not count.
 
-    A pause of a window forgets everything, so a key's hits are cut at pauses and replayed run by run. Runs are dealt
-    to buckets by hash, so a busy key is spread out and a quiet one costs no group of its own.
+    The state of a key is its accepted times inside the window. A hit without a time is allowed and not recorded.
     """
-    order = Window.partitionBy(key).orderBy("_t", "id")
-    timed = hits.select(key, "id", "ts", _seconds().alias("_t"))
-    run = F.sum(F.when(F.col("_t") - F.lag("_t").over(order) < window, 0).otherwise(1)).over(order)
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_at", "_run", "_t", "id"], kind="stable")
+    def fresh() -> Callable[[float], tuple[bool]]:
         held: list[float] = []
-        allowed, now = [], None
-        for at, r, t in zip(rows["_at"], rows["_run"], rows["_t"], strict=True):
-            held = [x for x in held if x > t - window] if (at, r) == now else []
-            now = (at, r)
-            allowed.append(len(held) < most)
-            if allowed[-1]:
+
+        def step(t: float) -> tuple[bool]:
+            if t != t:
+                return (most > 0,)
+            held[:] = [x for x in held if x > t - window]
+            allowed = len(held) < most
+            if allowed:
                 held.append(t)
-        return rows.assign(allowed=allowed).drop(columns=["_t", "_run", "_at", "_bucket"])
+            return (allowed,)
 
-    kind = dict(hits.dtypes)
-    schema = f"{key} {kind[key]}, id {kind['id']}, ts {kind['ts']}, allowed boolean"
-    buckets = 4 * int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = timed.withColumn("_run", run).withColumn("_at", F.xxhash64(key, F.lit("key")))
-    return runs.withColumn("_bucket", F.pmod(F.xxhash64("_at", "_run"), F.lit(buckets))).groupBy("_bucket").applyInPandas(replay, schema)
+        return step
+
+    return _replayed(hits.select(key, "id", "ts", _seconds().alias("_t")), key, ["_t"], fresh, "allowed boolean")
 
 
 def hits_in_window(hits: DataFrame, key: str, window: int = int(WINDOW_S)) -> DataFrame:
@@ -82,17 +107,11 @@ class Breaker:
 def breaker_log(calls: DataFrame, key: str = "target", most: int = FAILURES, reset: float = RESET_S) -> DataFrame:
     """calls (target, id, ts, ok) with outcome and the state after each, replayed in order of time."""
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_t", "id"], kind="stable")
-        b, outcome, state = Breaker(most, reset), [], []
-        for t, ok in zip(rows["_t"], rows["ok"], strict=True):
-            outcome.append(b.record(bool(ok), t))
-            state.append(b.state(t))
-        return rows.assign(outcome=outcome, state=state).drop(columns=["_t"])
-
-    kind = dict(calls.dtypes)
-    schema = f"{key} {kind[key]}, id {kind['id']}, ok boolean, outcome string, state string"
-    return calls.select(key, "id", "ok", _seconds().alias("_t")).groupBy(key).applyInPandas(replay, schema)
+    def fresh() -> Callable[[float, bool], tuple[str, str]]:
+        b = Breaker(most, reset)
+        return lambda t, ok: (b.record(bool(ok), t), b.state(t))
+
+    return _replayed(calls.select(key, "id", "ok", _seconds().alias("_t")), key, ["_t", "ok"], fresh, "outcome string, state string")
 
 
 def limited_stream(hits: DataFrame, key: str, most: int = MAX_REQUESTS, window: float = WINDOW_S) -> DataFrame:

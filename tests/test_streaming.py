@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,30 @@ def test_breaker():
     assert c.state(2) == "closed"
 
 
+def test_replays_carry_state_over_batches(spark):
+    """A busy key's log passes in small batches and no operator gathers a key."""
+    rng = random.Random(0)
+    rows = [(rng.choice(["busy", "busy", "busy", "quiet", None]), i, at(i + rng.random()), rng.random() < 0.4) for i in range(400)]
+    df = spark.createDataFrame(rows, "target string, id int, ts timestamp, ok boolean").repartition(5)
+    expected, hits, breakers, held = {}, {}, {}, {}
+    for k, i, t, ok in rows:
+        b, s = breakers.setdefault(k, limits.Breaker(3, 20.0)), (t - T0).total_seconds()
+        expected[i] = (b.record(ok, s), b.state(s))
+        held[k] = [x for x in held.get(k, []) if x > s - 10.0]
+        hits[i] = len(held[k]) < 3
+        held[k] += [s] * hits[i]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        log, allowed = limits.breaker_log(df, "target", 3, 20.0), limits.limited(df, "target", 3, 10.0)
+        assert {r.id: (r.outcome, r.state) for r in log.collect()} == expected
+        assert {r.id: r.allowed for r in allowed.collect()} == hits
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for out in (log, allowed):
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+
+
 def test_retry():
     calls, slept = [], []
 
