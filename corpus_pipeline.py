@@ -27,8 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines out that a large share of a source's documents hold; n_chars follows the text."""
-    cut = line_dedup.line_dedup(docs, id_col="doc_id", host=F.col("source"), text_col="text")
+    """Takes lines out that a large share of a source's distinct texts hold; n_chars follows the text."""
+    cut = line_dedup.line_dedup(docs, id_col="doc_id", host=F.col("source"), text_col="text", by_text=True)
     n = F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", n).select(*docs.columns)
 

@@ -42,20 +42,25 @@ def line_key(line: Column) -> Column:
 
 
 def boilerplate_lines(
-    pages: DataFrame, id_col: str, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
+    pages: DataFrame, id_col: str, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, by_text: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(lines, boilerplate): every (id, host, h1, h2) that occurs, once a page; and the (host, h1, h2) to drop.
 
-    Lines are compared without the white space around them. Empty lines never count.
+    Lines are compared without the white space around them. Empty lines never count. by_text: pages of a host that
+    share their text count as one.
     """
     rows = pages.select(F.col(id_col).alias("_id"), host.alias("_host"), text.alias("_text"))
-    totals = rows.where("_host is not null").groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
+    same = [c.alias(t) for c, t in zip(digest(F.col("_text")), ("t1", "t2"), strict=True)] if by_text else []
+    page = ["t1", "t2"] if by_text else []
+    hosted = rows.where("_host is not null").select("_host", *same)
+    totals = (hosted.distinct() if by_text else hosted).groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     keys = F.array_distinct(F.transform(F.filter(lines_of(F.col("_text")), lambda x: line_key(x) != ""), lambda x: F.struct(*digest(line_key(x)))))
-    lines = rows.where("_host is not null and _text is not null").select("_id", "_host", F.explode(keys).alias("k")).select("_id", "_host", "k.*")
+    lines = rows.where("_host is not null and _text is not null").select("_id", "_host", *same, F.explode(keys).alias("k")).select("_id", "_host", *page, "k.*")
     lines = written(lines, "lines")  # read for the counts, and again for the pages that hold a line to drop
-    counts = lines.groupBy("_host", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    counted = lines.select("_host", "h1", "h2", *page)
+    counts = (counted.distinct() if by_text else counted).groupBy("_host", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     drop = counts.where(F.col("n") >= min_pages).join(totals, "_host").where(F.col("n") > F.lit(max_ratio) * F.col("_pages"))
-    return lines, drop.select("_host", "h1", "h2", "n", "_pages")
+    return lines.select("_id", "_host", "h1", "h2"), drop.select("_host", "h1", "h2", "n", "_pages")
 
 
 def line_dedup(
@@ -65,16 +70,19 @@ def line_dedup(
     text_col: str = "html",
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
+    by_text: bool = False,
 ) -> DataFrame:
     """pages with boilerplate lines taken out of text_col, and `lines_dropped` (int), how many went.
 
     host: the site of a page, by default that of its `url`. Lines are split at LF; the kept ones are joined by LF.
     A line occurring several times in a page counts once for the ratio, and every occurrence goes. Pages whose host
-    or text is null keep their text. Repeated rows are pages of their own. A null id is never changed.
+    or text is null keep their text. Repeated rows are pages of their own, unless by_text: then a host's pages of one
+    text count once, for a line and in total, so that copies do not make their own lines boilerplate. A null id is
+    never changed.
     Empty input gives an empty result; other columns pass through.
     """
     host = host_of(F.col("url")) if host is None else host
-    lines, drop = boilerplate_lines(pages, id_col, host, F.col(text_col), max_ratio, min_pages)
+    lines, drop = boilerplate_lines(pages, id_col, host, F.col(text_col), max_ratio, min_pages, by_text)
     drop = written(drop, "boilerplate").select("_host", "h1", "h2")
     hit = lines.where("_id is not null").join(drop, ["_host", "h1", "h2"])
     hits = hit.groupBy("_id", F.col("_host").alias("_hit_host")).agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))

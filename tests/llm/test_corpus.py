@@ -354,3 +354,16 @@ def test_pipeline(spark):
         counts.append(len(rows))
     assert counts[0] == docs.count() + 1 and counts[1] == counts[0] and counts[2] < counts[1]
     assert all(r.round_trip for r in rows) and {"doc_id", "n_tokens", "tokens"} <= set(at.columns)
+
+
+def test_copies_are_not_boilerplate(spark):
+    """Copies stay whole for the near-duplicate stage; a line on many distinct texts goes."""
+    import corpus_pipeline as C
+
+    clean = "one clean document\nwith a second line"
+    only = [(i, clean, "en", "copied", len(clean)) for i in range(30)]
+    mixed = [(100 + i, clean, "en", "mixed", len(clean)) for i in range(20)] + [(200 + i, f"own line {i}\nfooter", "en", "mixed", 0) for i in range(40)]
+    docs = spark.createDataFrame(only + mixed, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r.text for r in C.drop_boilerplate(spark, docs, SF).collect()}
+    assert all(out[i] == clean for i, *_ in only + mixed[:20])
+    assert all(out[200 + i] == f"own line {i}" for i in range(40))
