@@ -1,17 +1,22 @@
-"""Helpers shared by the corpus operators: inputs, written intermediates, key digests."""
+"""Helpers shared by the corpus operators: inputs, written intermediates, key digests, numbers of equal rows."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words: space and the ASCII controls TAB to CR.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that are numbered together.
+PIECE_BITS = 12
 
 _own_dir: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,17 +24,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder, but only if all of Spark is in this process (tests): executors on other
+    machines would each write to a folder of their own.
+    """
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="quarry-")
-    return _own_dir[app]
+    sc = spark.sparkContext
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _own_dir:
+        _own_dir[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="quarry-")
+    return _own_dir[sc.applicationId]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +52,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made_so_far(spark: SparkSession) -> int:
+    """A mark for clear()."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def clear(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Deletes the intermediate tables written after a mark, but for the files that `but` reads. Results that are not
+    written yet cannot be computed any more."""
+    kept = but.inputFiles() if but is not None else []
+    paths = _made.get(spark.sparkContext.applicationId, [])
+    for path in [p for p in paths[since:] if not any(p.rsplit("/", 1)[-1] in f for f in kept)]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        paths.remove(path)
+
+
 def digest(*cols: Column) -> list[Column]:
     """Two 64-bit digests under different seeds: together a 128-bit key for grouping by long values."""
     return [F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit("second"), *cols, F.lit(2)).alias("h2")]
@@ -46,3 +75,27 @@ def digest(*cols: Column) -> list[Column]:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    """Equality of keys, null to null."""
+    return reduce(and_, [a[k].eqNullSafe(b[k]) for k in keys])
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str = "nth") -> DataFrame:
+    """rows with `name`: 0, 1, ... among the rows that agree in keys, in any order.
+
+    Most keys occur once; the others' rows are numbered inside pieces of a bounded number of rows, and pieces by a
+    running sum of their sizes, so a key that a third of all rows have is spread over many tasks.
+    """
+    often = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "repeated")
+    once = rows.join(often, same(rows, often, keys), "left_anti").withColumn(name, F.lit(0).cast("long"))
+    again = rows.join(often, same(rows, often, keys), "left_semi").withColumn("_at", F.monotonically_increasing_id())
+    again = written(again, "repeats").withColumn("_piece", F.shiftright("_at", PIECE_BITS))
+    again = again.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy("_at")))
+    sizes = again.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_m"))
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(k).alias(f"_of{i}") for i, k in enumerate([*keys, "_piece"])], F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of{i}")) for i, k in enumerate([*keys, "_piece"])])
+    there = again.join(sizes, on).select(*rows.columns, (F.col("_before") + F.col("_k") - 1).alias(name))
+    return once.unionByName(there)

@@ -6,9 +6,10 @@ at random until one of them has a whole number of copies, and the other meets th
 so the words taken from a source miss its target by less than one document. The last document of a source is
 rounded against up to four others of its group, which leaves a few words.
 
-Documents meet inside leaves of bounded size; every leaf leaves at most one document undecided, and those meet
-again in groups of FAN_IN up a reduction tree until one per source is left. No leaf or group grows with the data:
-a source with a third of all rows merely has more leaves.
+Documents meet inside leaves of LEAF documents on average; every leaf leaves at most one document undecided, and those
+meet again in groups of FAN_IN up a reduction tree until one per source is left. No leaf or group grows with the data:
+a source with a third of all rows merely has more leaves, and rows that repeat are dealt to leaves by their number
+among their like, so an id that a third of all rows have is in no leaf more often than others are.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, numbered, written
 
 WEIGHTS = (5, 2, 1)
 #: No source is taken more often than this.
 MAX_COPIES = 3
 #: Documents in a leaf, on average, and undecided documents that meet in a group of the tree.
-LEAF, FAN_IN = 4096, 512
+LEAF, FAN_IN = 512, 256
 
 
 def word_count(text: Column) -> Column:
@@ -47,10 +48,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: in
     w = w.withColumns({"_cap": F.lit(float(max_copies)) * F.col("source_size"), "_n": F.row_number().over(order)})
     by_ratio = Window.orderBy(F.col("_cap") / F.col("_w"), "_n")
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_ratio.rowsBetween(0, Window.unboundedFollowing)
     whole = by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = F.sum(F.col("source_size").cast("double")).over(whole) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
-    w = w.withColumns({"_level": left / F.sum("_w").over(rest), "_pos": F.row_number().over(by_ratio)})
+    rest = F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
+    w = w.withColumns({"_level": left / rest, "_pos": F.row_number().over(by_ratio)})
     # The first source that stays under its cap sets the level, and all after it stay under theirs.
     opens = F.when(F.col("_cap") > F.col("_w") * F.col("_level"), F.struct("_pos", "_level"))
     w = w.withColumn("_first", F.min(opens).over(whole))
@@ -124,13 +125,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     size: words of the whole text, null text: 0. A document is taken 0 to max_copies times whole, never in part.
     The same rows, weights and seed give the same result at any partitioning. Documents without words are taken 0
     times. Null sources are a source of their own; null ids are allowed; repeated rows are documents of their own.
+    One task orders the sources, a row for each; everything else is spread over their documents.
     Empty input gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = written(rows, "mix-sizes")
+    rows = written(numbered(written(rows, "mix-sizes"), ["doc_id", "source", "size"]), "mix-numbered")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
     goals = targets(sizes, weights, max_copies)
-    mark = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
+    mark = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"), F.col("nth"))
     due = rows.join(goals, rows["source"].eqNullSafe(goals["source"])).drop(goals["source"])
     real = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     due = due.withColumns({"_real": real}).withColumns({"copies": F.floor(F.col("_real") + F.lit(1e-12)).cast("long")})
