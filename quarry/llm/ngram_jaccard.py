@@ -74,16 +74,17 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-_FEATURES = "id long, n int, sig binary, keys array<bigint>, common array<bigint>, seen array<bigint>"
+_FEATURES = "id long, kept {}, n int, sig binary, keys array<bigint>, common array<bigint>, seen array<bigint>"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document; after so many tokens, a row with those that several of the documents hold."""
     pool: list[np.ndarray] = []
     known: set[bytes] = set()
+    kind = None
 
-    def row(ids, n, sig, keys, common, seen):
-        return pa.RecordBatch.from_arrays([ids, n, sig, keys, common, seen], names=["id", "n", "sig", "keys", "common", "seen"])
+    def row(ids, kept, n, sig, keys, common, seen):
+        return pa.RecordBatch.from_arrays([ids, kept, n, sig, keys, common, seen], names=["id", "kept", "n", "sig", "keys", "common", "seen"])
 
     def flush():
         if not pool:
@@ -93,9 +94,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known.clear()
         t, c = t[c > 2], c[c > 2]
         ends = np.array([0, len(t)])
-        yield row(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), _lists(t, ends), _lists(c.astype(np.int64), ends))
+        yield row(pa.nulls(1, pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), _lists(t, ends), _lists(c.astype(np.int64), ends))
 
     for batch in batches:
+        kind = batch.column("kept").type
         for i, j, tokens, offs in _sets(batch):
             n = np.diff(offs)
             full = np.flatnonzero(n)
@@ -112,7 +114,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     known.add(sigs[d])
                     pool.append(tokens[offs[d] : offs[d + 1]])
             key_offs = np.arange(j - i + 1) * KEYS
-            yield row(batch.column("id").slice(i, j - i), pa.array(n.astype(np.int32)), pa.array(sigs, pa.binary()), _lists(keys.ravel(), key_offs), pa.nulls(j - i, pa.list_(pa.int64())), pa.nulls(j - i, pa.list_(pa.int64())))
+            yield row(batch.column("id").slice(i, j - i), batch.column("kept").slice(i, j - i), pa.array(n.astype(np.int32)), pa.array(sigs, pa.binary()), _lists(keys.ravel(), key_offs), pa.nulls(j - i, pa.list_(pa.int64())), pa.nulls(j - i, pa.list_(pa.int64())))
             if sum(map(len, pool)) > POOL:
                 yield from flush()
     yield from flush()
@@ -164,7 +166,8 @@ def _fetch(needed, bitmaps: bool):
                     data = [x.tobytes() for x in np.packbits(flat, axis=1)]
                 else:
                     data = [tokens[offs[d] : offs[d + 1]].tobytes() for d in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(data, pa.binary())], names=["id", "data"])
+                sigs = [_signature(tokens[offs[d] : offs[d + 1]]) for d in range(j - i)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(sigs, pa.binary()), pa.array(data, pa.binary())], names=["id", "sig", "data"])
 
     return run
 
@@ -208,7 +211,7 @@ def _open_blocks(percent: int):
 
 
 def _alike(asking: DataFrame, members: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """(q, id, component, group): members of a block that may link to a document as far as their bitmaps tell, or the
+    """(q, node, component, group): members of a block that may link to a document as far as their bitmaps tell, or the
     `most` likeliest of each component in it. Only components smaller than the document's own count, so that a pair
     of components meets from one side. Documents meet a block in tiles of about TILE, however many ask."""
     tiles = asking.groupBy("group", "block").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
@@ -220,7 +223,7 @@ def _alike(asking: DataFrame, members: DataFrame, percent: int, most: int | None
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if qs.num_rows and ms.num_rows:
             member = np.frombuffer(b"".join(ms.column("data").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-            ids, size, component = (ms.column(c).to_numpy().astype(np.int64) for c in ("id", "n", "component"))
+            ids, size, component = (ms.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "component"))
             for q, n, own, data in zip(*(qs.column(c).to_pylist() for c in ("q", "n", "own", "data")), strict=True):
                 bits = np.frombuffer(data, np.uint8)
                 bound = np.minimum(n - np.bitwise_count(bits & ~member).sum(axis=1, dtype=np.int64), size - np.bitwise_count(member & ~bits).sum(axis=1, dtype=np.int64))
@@ -233,91 +236,102 @@ def _alike(asking: DataFrame, members: DataFrame, percent: int, most: int | None
                 out.append((np.full(len(may), q, np.int64), ids[may], component[may]))
         q, i, c = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
         group = qs.column("group")[0].as_py() if qs.num_rows else None
-        return pa.table({"q": pa.array(q), "id": pa.array(i), "component": pa.array(c), "group": pa.array([group] * len(q), pa.int64())})
+        return pa.table({"q": pa.array(q), "node": pa.array(i), "component": pa.array(c), "group": pa.array([group] * len(q), pa.int64())})
 
     # toDF gives the columns identities of their own: both sides come from the same tables.
     asked = left.select(*keys, "q", "n", "own", "data").toDF(*keys, "q", "n", "own", "data")
-    told = right.select(*keys, "id", "n", "component", "data").toDF(*keys, "id", "n", "component", "data")
-    return asked.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInArrow(compare, "q long, id long, component long, group long")
+    told = right.select(*keys, "node", "n", "component", "data").toDF(*keys, "node", "n", "component", "data")
+    return asked.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInArrow(compare, "q long, node long, component long, group long")
 
 
 class _Documents:
     """The input, read again for the sets, prefixes or bitmaps that a step needs rather than kept with all of them."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
-        self.rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, keep: list[str]):
+        kept = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("boolean")
+        self.rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), kept.alias("kept"))
         self.spark = docs.sparkSession
+        self.nodes: DataFrame | None = None
 
-    def data_of(self, ids: DataFrame, bitmaps: bool = False) -> DataFrame:
-        """(id, data) of the documents in ids (id)."""
+    def data_of(self, nodes: DataFrame, bitmaps: bool = False) -> DataFrame:
+        """(node, data) of the nodes in nodes (node), each from the document that stands for it."""
+        wanted = self.nodes.select("node", F.col("id").alias("_id"), F.col("sig").alias("_sig")).join(nodes, "node", "left_semi")
+        wanted = written(wanted, "wanted")
         slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-        pages = ids.select((slot + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+        pages = wanted.select((F.pmod(F.xxhash64("_id"), F.lit(FILTER_BITS)) + 1).alias("s"))
+        pages = pages.groupBy(F.bitmap_bucket_number("s").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
         bits = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
         for r in pages.collect():  # 256 pages of 4 KB at most
             bits[r["page"] - 1] = np.frombuffer(r["bits"], np.uint8)
-        rows = self.rows.where("id is not null").withColumn("slot", slot)
-        found = rows.mapInArrow(_fetch(self.spark.sparkContext.broadcast(bits.ravel()), bitmaps), "id long, data binary")
-        return found.join(ids, "id", "left_semi")
+        rows = self.rows.select("id", "text").where("id is not null").withColumn("slot", slot)
+        found = rows.mapInArrow(_fetch(self.spark.sparkContext.broadcast(bits.ravel()), bitmaps), "id long, sig binary, data binary")
+        return found.join(wanted, (F.col("id") == F.col("_id")) & (F.col("sig") == F.col("_sig"))).select("node", "data")
 
 
 def _verified(pairs: DataFrame, source: _Documents, percent: int) -> DataFrame:
     """The pairs (a, b) that link. Sets are written once; the sets of a travel to those of b, of which there are fewer."""
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = written(source.data_of(ends), "sets")
     few = pairs.count() <= PAIRS_SENT
     sent = F.broadcast if few else (lambda df: df)
-    left = sets.select(F.col("id").alias("a"), F.col("data").alias("left"))
-    right = sets.join(sent(pairs.select(F.col("b").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("b"), F.col("data").alias("right"))
+    left = sets.select(F.col("node").alias("a"), F.col("data").alias("left"))
+    right = sets.join(sent(pairs.select(F.col("b").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("b"), F.col("data").alias("right"))
     return left.join(sent(pairs), "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_links(percent), "a long, b long")
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """A row for each document: doc_id, n_shingles (size of its set of 5-word shingles), component_id.
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, keep: list[str] | None = None) -> DataFrame:
+    """A row for each document: doc_id, n_shingles (size of its set of 5-word shingles), component_id, class, and the
+    columns `keep` of the input as a struct `kept` (null without any).
 
     component_id is the smallest doc_id that links lead to, its own included; two documents link when
-    100 * intersection >= percent * union of their sets. Words are lower-cased (A-Z); fewer than 5 are one shingle.
-    Documents without words, null or empty text included, link with nothing. Rows with a null id come back with a
-    null component_id and link with nothing. Rows of one id count as one document if their sets are equal. Empty
-    input gives an empty result.
+    100 * intersection >= percent * union of their sets. class is a number that the documents of a component share and
+    no others have. Words are lower-cased (A-Z); fewer than 5 are one shingle. Documents without words, null or empty
+    text included, link with nothing and have no class, nor do rows with a null id, whose component_id is null. Rows of
+    one id are documents of their own; they are in one class if their sets are equal or link. Empty input gives an
+    empty result.
     """
     spark = docs.sparkSession
-    source = _Documents(docs, id_col, text_col)
-    features = written(source.rows.mapInArrow(_features, _FEATURES), "features")
+    source = _Documents(docs, id_col, text_col, keep or [])
+    kind = source.rows.schema["kept"].dataType.simpleString()
+    features = written(source.rows.mapInArrow(_features, _FEATURES.format(kind)), "features")
     sets = features.where("sig is not null and n > 0 and id is not null")
-    nodes = written(sets.groupBy("sig").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("keys").alias("keys")), "nodes")
+    # A node is a set, numbered as it is written: an id may have several.
+    nodes = sets.groupBy("sig").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("keys").alias("keys"))
+    nodes = source.nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     # 1: groups.
-    keyed = nodes.select("id", F.posexplode("keys").alias("k", "key"))
-    first = keyed.groupBy("k", "key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    together = written(keyed.join(first, ["k", "key"]).select("id", "b", "c"), "together")
-    near = written(together.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "near")
+    keyed = nodes.select("node", F.posexplode("keys").alias("k", "key"))
+    first = keyed.groupBy("k", "key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    together = written(keyed.join(first, ["k", "key"]).select("node", "b", "c"), "together")
+    near = written(together.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "near")
     links = written(_verified(near, source, percent), "links")
-    components = written(connected_components(links), "components")
+    components = written(connected_components(links).withColumnRenamed("id", "node"), "components")
     sizes = written(components.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    busiest = together.groupBy(F.col("id").alias("component")).agg(F.max_by("b", F.struct("c", "b")).alias("near"))
-    grouped = nodes.select("id", "n", "sig").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    busiest = together.groupBy(F.col("node").alias("component")).agg(F.max_by("b", F.struct("c", "b")).alias("near"))
+    grouped = nodes.select("node", "n").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = grouped.join(sizes, "component", "left").join(busiest, "component", "left")
     group = F.when(F.col("size") * 2 >= BLOCK, F.col("component")).otherwise(F.coalesce("near", "component"))
-    grouped = written(grouped.select("id", "n", "sig", "component", group.alias("group")), "grouped")
+    grouped = written(grouped.select("node", "n", "component", group.alias("group")), "grouped")
     # Written, so that the join with them is a stage of its own and Spark can split a large group's partition.
     blocks = written(grouped.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1"), "blocks")
-    block = F.pmod(F.xxhash64(F.lit("block"), "id"), F.coalesce(F.col("blocks"), F.lit(1))).cast("int")
-    members = written(grouped.join(blocks, "group", "left").select("id", "n", "sig", "component", "group", block.alias("block")), "members")
+    block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.coalesce(F.col("blocks"), F.lit(1))).cast("int")
+    members = written(grouped.join(blocks, "group", "left").select("node", "n", "component", "group", block.alias("block")), "members")
 
     # 2: tokens that several components have in their prefixes.
     seen = features.where("sig is null").select(F.inline(F.arrays_zip("common", "seen"))).groupBy("common").agg(F.sum("seen").alias("c"))
     often = seen.where(F.col("c") >= COMMON).orderBy(F.desc("c"), "common").limit(COMMON_KEPT).toPandas()
     order = np.argsort(often["common"].to_numpy(np.int64).view(np.uint64))
     common = spark.sparkContext.broadcast((often["common"].to_numpy(np.int64).view(np.uint64)[order], 1 + np.log2(often["c"].to_numpy(float)[order]).astype(np.int64)))
-    prefixes = source.rows.where("id is not null").mapInArrow(_prefixes(common, percent), "id long, sig binary, prefix array<bigint>")
-    entries = prefixes.join(members, ["id", "sig"]).select(F.explode("prefix").alias("token"), "id", "component")
+    prefixes = source.rows.select("id", "text").where("id is not null").mapInArrow(_prefixes(common, percent), "id long, sig binary, prefix array<bigint>")
+    named = nodes.select("id", "sig", "node").join(members.select("node", "component"), "node")
+    entries = prefixes.join(named, ["id", "sig"]).select(F.explode("prefix").alias("token"), "node", "component")
     shared = _in_several_components(entries)
-    shared = written(shared.join(members.select("id", "n", "group", "block"), "id"), "matrix")
+    shared = written(shared.join(members.select("node", "n", "group", "block"), "node"), "matrix")
 
-    # 3: documents against blocks. Of two components, the one with the larger id sends its documents.
+    # 3: documents against blocks. Of two components, the one with the larger number sends its documents.
     rows = shared.groupBy("token", "group", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"))
     fits = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
-    asked = shared.select("token", F.col("id").alias("q"), "n", F.col("component").alias("own"))
+    asked = shared.select("token", F.col("node").alias("q"), "n", F.col("component").alias("own"))
     met = asked.join(rows, "token").where((F.col("own") > F.col("low")) & fits).groupBy("q", "n", "group", "block")
     met = met.agg(F.count(F.lit(1)).alias("shared"))
     # k of the smaller set; with a percentage that low, what they have to share at least.
@@ -325,39 +339,43 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     k = F.floor(F.least("n", "smallest") * min(1 / SPARE, percent / 100))
     could = written(met.join(smallest, ["group", "block"]).where(F.col("shared") >= k).select("q", "n", "group", "block"), "candidates")
     blocks = could.select("group", "block").distinct()
-    inside = members.join(blocks, ["group", "block"]).select("id", "n", "group", "block")
-    asked_for = could.select(F.col("q").alias("id")).unionByName(inside.select("id")).distinct()
+    inside = members.join(blocks, ["group", "block"]).select("node", "n", "group", "block")
+    asked_for = could.select(F.col("q").alias("node")).unionByName(inside.select("node")).distinct()
     bitmaps = written(source.data_of(asked_for, bitmaps=True), "bitmaps")
-    unions = inside.join(bitmaps, "id").groupBy("group", "block").applyInArrow(_unite, "group long, block int, least int, most int, union binary")
-    bounds = could.join(bitmaps.withColumnRenamed("id", "q"), "q").join(unions, ["group", "block"]).where(fits)
+    unions = inside.join(bitmaps, "node").groupBy("group", "block").applyInArrow(_unite, "group long, block int, least int, most int, union binary")
+    bounds = could.join(bitmaps.withColumnRenamed("node", "q"), "q").join(unions, ["group", "block"]).where(fits)
     opened = written(bounds.select("q", "n", "group", "block", "data", "union").mapInArrow(_open_blocks(percent), "q long, group long, block int"), "opened")
 
     # 4: exact comparison with members of the blocks left. One link joins a document to a component, so its likeliest
     # members come first, and the others only for documents that these do not link.
-    asking = opened.join(bitmaps.withColumnRenamed("id", "q"), "q").join(members.select(F.col("id").alias("q"), "n", F.col("component").alias("own")), "q")
-    inner = members.join(opened.select("group", "block").distinct(), ["group", "block"]).select("id", "n", "component", "group", "block").join(bitmaps, "id")
+    asking = opened.join(bitmaps.withColumnRenamed("node", "q"), "q").join(members.select(F.col("node").alias("q"), "n", F.col("component").alias("own")), "q")
+    inner = members.join(opened.select("group", "block").distinct(), ["group", "block"]).select("node", "n", "component", "group", "block").join(bitmaps, "node")
     tried = written(_alike(asking, inner, percent, most=LIKELIEST), "likeliest")
     later: DataFrame | None = None
     for pairs in (tried, None):
         if pairs is None:
             open_yet = tried.join(later, ["q", "component"], "left_anti").select("q", "group").distinct()
             rest = _alike(asking.join(open_yet, ["q", "group"], "left_semi"), inner, percent, most=None)
-            pairs = written(rest.join(tried.select("q", "id"), ["q", "id"], "left_anti").join(later, ["q", "component"], "left_anti"), "others")
-        pairs = pairs.select(F.col("q").alias("a"), F.col("id").alias("b"), "component")
+            pairs = written(rest.join(tried.select("q", "node"), ["q", "node"], "left_anti").join(later, ["q", "component"], "left_anti"), "others")
+        pairs = pairs.select(F.col("q").alias("a"), F.col("node").alias("b"), "component")
         if pairs.isEmpty():
             break
         found = written(_verified(pairs.select("a", "b"), source, percent), "links")
         links = links.unionByName(found)
         later = found.join(pairs, ["a", "b"]).select(F.col("a").alias("q"), "component").distinct()
-    groups = written(connected_components(links), "classes")
-    component = F.coalesce("component", "node")
-    named = nodes.select("sig", F.col("id").alias("node")).join(groups.withColumnRenamed("id", "node"), "node", "left").select("sig", component.alias("component"))
-    out = features.where("sig is not null").join(named, "sig", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    classes = connected_components(links).withColumnRenamed("id", "node")
+    named = nodes.select("sig", "id", "node").join(classes, "node", "left")
+    named = written(named.select("sig", "id", F.coalesce("component", "node").alias("class")), "classes")
+    least = named.groupBy("class").agg(F.min("id").alias("component_id"))
+    named = named.select("sig", "class").join(least, "class")
+    worded = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("sig"))  # the others meet nothing, and spread out
+    out = features.where("sig is not null").withColumn("key", F.coalesce(worded, F.encode(F.concat(F.lit("-"), F.xxhash64("id", "sig", "kept").cast("string")), "UTF-8")))
+    out = out.join(named.withColumnRenamed("sig", "key"), "key", "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "class", "kept")
 
 
 def _in_several_components(entries: DataFrame) -> DataFrame:
-    """Entries (token, id, component) of the tokens that more than one component has; one shuffle of the entries."""
+    """Entries (token, node, component) of the tokens that more than one component has; one shuffle of the entries."""
     of_token = Window.partitionBy("token")
     wide = entries.withColumns({"low": F.min("component").over(of_token), "high": F.max("component").over(of_token)})
-    return wide.where("low < high").select("token", "id", "component")
+    return wide.where("low < high").select("token", "node", "component")
