@@ -20,7 +20,7 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return ngram_jaccard.ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b
     "op3_license_scan": license_scan.oracle(),
     "op5_line_dedup": rf"""
 WITH p AS (SELECT page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '') AS host, {_HTML_LINES} AS text FROM pages),
-t AS (SELECT host, count(*) AS n FROM p WHERE host IS NOT NULL GROUP BY 1),
+t AS (SELECT host, count(DISTINCT page_id) AS n FROM p WHERE host IS NOT NULL GROUP BY 1),
 l AS (SELECT page_id, host, text, i, lines[i] AS line, trim(lines[i], ' ' || chr(9) || chr(13)) AS key
   FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS lines FROM p))),
 b AS (SELECT host, key FROM l JOIN t USING (host) WHERE key <> '' GROUP BY host, key, t.n
