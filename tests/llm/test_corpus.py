@@ -12,6 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, chat_format, components, hash_forest, language_id, license_scan, line_dedup, mixing, ngram_jaccard, queries, shingles, token_counts, topk_search
+from quarry.llm.common import numbered
 from tests.conftest import SF
 from tests.test_queries import compare
 
@@ -97,6 +98,18 @@ def test_ngram_jaccard_edges(spark):
     assert out == [(3, 3), (7, 3), (7, 3), (None, None)]
 
 
+def test_ngram_jaccard_of_repeated_ids(spark):
+    """An id with two texts is two documents; neither lends the other its links."""
+    a, b = "a b c d e f g", "q r s t u v w"
+    rows = [(1, a, "x"), (1, b, "y"), (2, b, "z"), (3, a, None), (None, a, "w"), (4, "", "v"), (4, None, "v")]
+    out = ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=["text", "source"]).collect()
+    assert len(out) == len(rows)
+    got = {(r.doc_id, r.kept.text, r.kept.source): r for r in out}
+    assert got[1, a, "x"]["class"] == got[3, a, None]["class"] != got[1, b, "y"]["class"] == got[2, b, "z"]["class"]
+    assert [got[k].component_id for k in ((1, a, "x"), (3, a, None), (2, b, "z"), (None, a, "w"), (4, "", "v"))] == [1, 1, 1, None, 4]
+    assert got[None, a, "w"]["class"] is None and got[4, None, "v"]["class"] is None
+
+
 def test_shingle_sets_of_slices():
     texts = ["A b c d e f g", "", "x y", "a B c d E f g", "q " * 9]
     import pyarrow as pa
@@ -211,11 +224,42 @@ def test_line_dedup(spark):
     rows += [(200, None, "menu\nx", "h"), (201, "http://a.example.com", None, "h"), (202, "http://a.example.com:80/", "", "h"), (None, "http://a.example.com", "menu\nz", "h"), (203, "no url", "menu", "h")]
     df = spark.createDataFrame(rows, "page_id long, url string, text string, host string")
     out = {r.page_id: (r.text, r.lines_dropped) for r in line_dedup.line_dedup(df, text_col="text").collect()}
-    assert all(out[i] == (f"own {i}\n", 3) for i in range(40))
-    assert out[100] == ("menu\nother 0", 0) and out[200] == ("menu\nx", 0) and out[201] == (None, 0) and out[202] == ("", 0) and out[None] == ("menu\nz", 0) and out[203] == ("menu", 0)
+    assert all(out[i] == (f"own {i}\n", 3) for i in range(40)) and all(out[100 + i] == (f"other {i}", 1) for i in range(3))
+    assert out[200] == ("menu\nx", 0) and out[201] == (None, 0) and out[202] == ("", 0) and out[None] == ("z", 1) and out[203] == ("menu", 0)
     assert line_dedup.line_dedup(df.limit(0), text_col="text").count() == 0
 
 
+def test_line_dedup_on_small_hosts(spark):
+    """The ratio holds on hosts of any size; what one page says alone stays."""
+    rows = [(i, "http://a.b", f"own {i}\nfooter") for i in range(9)] + [(50, "http://one.page", "all\nits\nlines")]
+    rows += [(60 + i, "http://c.d", f"own {i}\nseldom" if i < 2 else f"own {i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, text string")
+    out = {r.page_id: r.text for r in line_dedup.line_dedup(df, text_col="text").collect()}
+    assert all(out[i] == f"own {i}" for i in range(9)) and out[50] == "all\nits\nlines" and out[60] == "own 0\nseldom"
+    kept = {r.page_id: r.text for r in line_dedup.line_dedup(df, text_col="text", min_pages=10).collect()}
+    assert kept[0] == "own 0\nfooter"
+
+
+def test_line_dedup_of_repeats_and_clashing_columns(spark):
+    """A page that is there 20 times is one page; columns with the operator's names pass through."""
+    names = ["page_id long", "url string", "text string", "host string", "gone string", "page string", "id long", "t1 long", "_host string", "lines string", "lines_dropped long"]
+    more = ("h", "g", "p", 7, 8, "_h", "l", 9)
+    rows = [(1, "http://a.b", "x\ny", *more)] * 20 + [(10 + i, "http://a.b", f"own {i}\nfooter", *more) for i in range(20)]
+    df = spark.createDataFrame(rows, ", ".join(names)).repartition(6)
+    out = line_dedup.line_dedup(df, text_col="text")
+    assert sorted(out.columns) == sorted(df.columns) and len(set(out.columns)) == len(out.columns)
+    got = out.collect()
+    assert sorted(r.text for r in got) == sorted(["x\ny"] * 20 + [f"own {i}" for i in range(20)])
+    assert {(r.host, r.gone, r.page, r.id, r.t1, r["_host"], r.lines) for r in got} == {more[:7]}
+
+
+def test_line_dedup_of_a_long_page(spark):
+    long = "\n".join(x for i in range(50_000) for x in (f"line {i}", "menu"))
+    rows = [(1, "http://a.b", long), (2, "http://a.b", "menu\nshort")]
+    out = {r.page_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "page_id long, url string, text string"), text_col="text").collect()}
+    assert out[1].lines_dropped == 50_000 and out[1].text.split("\n")[-1] == "line 49999" and out[2].text == "short"
+
+
 # Chat formatting
 
 
@@ -307,6 +351,20 @@ def test_mixing(spark):
     assert all(r.taken == 0 for r in mixing.mix(df.where("size(split(text, 'w')) = 1 and text = ''")).collect())
 
 
+def test_mixing_deals_repeats_to_many_leaves(spark):
+    """An id, or null, that most rows have is in no leaf more often than others are."""
+    rows = [(7, "w w w", "a")] * 3000 + [(None, "w w", "a")] * 2000 + [(i, "w", "b") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    nth = numbered(df, ["doc_id", "text"]).groupBy("doc_id", "text").agg(F.count_distinct("nth").alias("d"), F.min("nth").alias("low"), F.max("nth").alias("high"), F.count(F.lit(1)).alias("n"))
+    assert all((r.d, r.low, r.high) == (r.n, 0, r.n - 1) for r in nth.collect())
+    out = mixing.mix(df, leaf=64, fan_in=8).collect()
+    assert len(out) == len(rows)
+    marks = numbered(df.where("doc_id = 7"), ["doc_id"]).select(F.pmod(F.xxhash64(F.lit("leaf"), F.xxhash64(F.lit(0), "doc_id", F.lit(3).cast("long"), "nth")), F.lit(47)).alias("leaf"))
+    assert marks.groupBy("leaf").count().agg(F.max("count")).first()[0] < 160
+    taken = sum(r.taken for r in out if r.source == "a")
+    assert abs(taken - next(r.target for r in out if r.source == "a")) <= 3
+
+
 # BPE
 
 
@@ -367,3 +425,48 @@ def test_copies_are_not_boilerplate(spark):
     out = {r.doc_id: r.text for r in C.drop_boilerplate(spark, docs, SF).collect()}
     assert all(out[i] == clean for i, *_ in only + mixed[:20])
     assert all(out[200 + i] == f"own line {i}" for i in range(40))
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_duplicates_keep_other_texts(spark):
+    """A repeated or missing id loses no text: one row of each group of near-duplicates stays, and all without words."""
+    import corpus_pipeline as C
+
+    a, b, c = "a b c d e f g h", "q r s t u v w x", "one two three four five six"
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, b, "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "t", 1), (5, c, "en", None, 1), (6, "", "en", "s", 0), (6, "", "en", "s", 0), (7, None, None, None, None)]
+    out = C.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([(1, a), (1, b), (5, c), (6, ""), (6, ""), (7, None)], key=str)
+
+
+def test_pipeline_mixing_counts_equal_rows(spark):
+    import corpus_pipeline as C
+
+    rows = [(1, "w " * 3, "en", "a", 6)] * 200 + [(1, "w w", "en", "a", 3), (None, "w", "en", "b", 1), (3, "w w w w", "en", None, 7)] + [(100 + i, "w", "en", "b", 1) for i in range(500)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(7)
+    out = C.mix_sources(spark, docs, SF).collect()
+    targets = {r.source: r.target for r in mixing.mix(docs).collect()}
+    words = defaultdict(int)
+    for r in out:
+        words[r.source] += len(r.text.split())
+    assert all(abs(words[s] - t) <= 4 for s, t in targets.items()) and set(out[0].asDict()) == set(docs.columns)
+
+
+def test_null_source_is_deduplicated(spark):
+    import corpus_pipeline as C
+
+    rows = [(None, f"own line {i}\nfooter", "en", None, 0) for i in range(30)]
+    out = C.drop_boilerplate(spark, spark.createDataFrame(rows, DOCS), SF).collect()
+    assert sorted(r.text for r in out) == sorted(f"own line {i}" for i in range(30)) and all(r.n_chars == len(r.text) for r in out)
+
+
+def test_clear_keeps_what_is_asked_for(spark):
+    from quarry.llm.common import clear, made_so_far, written
+
+    mark = made_so_far(spark)
+    a, b = written(spark.range(5), "a"), written(spark.range(7), "b")
+    clear(spark, mark, but=b)
+    assert b.count() == 7 and made_so_far(spark) == mark + 1
+    with pytest.raises(Exception, match=""):
+        a.collect()
