@@ -1,7 +1,8 @@
 """From raw documents to token ids: language ID, line dedup, near-duplicate removal, mixing, BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents for the next one, which reads them back from
-Parquet. All but the last return the columns of documents.
+Parquet. All but the last return the columns of documents. Ids may be null or repeat: stages tell rows apart by a
+digest of all their columns, so that no text is lost for another one's id, and equal rows by their number.
 """
 
 from __future__ import annotations
@@ -9,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, language_id, line_dedup, mixing, ngram_jaccard
-from quarry.llm.common import table, written
+from quarry.llm.common import WORD, clear, made_so_far, numbered, table, written
 from quarry.session import ship
 
 
@@ -26,32 +27,49 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+def _row(docs: DataFrame) -> Column:
+    """What tells rows apart: a digest of all columns."""
+    return F.xxhash64(*[x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))])
+
+
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines out that a large share of a source's distinct texts hold; n_chars follows the text."""
-    cut = line_dedup.line_dedup(docs, id_col="doc_id", host=F.col("source"), text_col="text", by_text=True)
+    """Takes lines out that a large share of a source's distinct texts hold; n_chars follows the text.
+
+    Null is a source like any other; copies of a text count once, so they do not make their own lines boilerplate.
+    """
+    keyed = docs.withColumn("_row", _row(docs))
+    source = F.coalesce(F.concat(F.lit("of "), F.col("source")), F.lit("none"))
+    cut = line_dedup.line_dedup(keyed, id_col="_row", host=source, text_col="text", by_text=True)
     n = F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", n).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the smallest id; documents without an id stay."""
+    """Keeps one document of each group of near-duplicates, that with the smallest id (an id before none). Documents
+    without words are in no group and stay."""
     ship(spark)
-    groups = written(ngram_jaccard.ngram_jaccard_join(docs), "groups")
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy("text", "source")
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    # Equal rows are near-duplicates of each other; the first of them is found before texts are shuffled.
+    keyed = docs.where(~wordless).withColumn("_row", _row(docs))
+    groups = ngram_jaccard.ngram_jaccard_join(keyed.select("_row", "doc_id", "text"), id_col="_row", keep=["doc_id"])
+    order = F.struct(F.col("kept.doc_id").isNull(), F.col("kept.doc_id"), F.col("doc_id"))
+    first = groups.groupBy("class").agg(F.min_by("doc_id", order).alias("_row")).select("_row")
+    kept = keyed.dropDuplicates(["_row"]).join(first, "_row", "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.where(wordless))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that the sources' words come near their targets."""
     ship(spark)
-    keyed = docs.withColumn("_key", F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text", "source")))
-    taken = mixing.mix(keyed, id_col="_key").groupBy(F.col("doc_id").alias("_key")).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    # Rows of one key are alike in all that counts: the n-th of them takes the n-th number of copies.
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("source", "text"))
-    due = keyed.join(taken, "_key").withColumn("_n", F.element_at("_copies", nth))
-    return due.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    keyed = docs.withColumn("_row", _row(docs))
+    taken = mixing.mix(keyed, id_col="_row").groupBy(F.col("doc_id").alias("_row"))
+    taken = written(taken.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "copies")
+    due = keyed.join(taken, "_row")
+    # Equal rows share their copies, the first ones taking what is over.
+    again = numbered(due.where("_rows > 1"), ["_row"], "_nth")
+    due = due.where("_rows = 1").withColumn("_nth", F.lit(0).cast("long")).unionByName(again)
+    own = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_nth") < F.col("_copies") % F.col("_rows")).cast("long")
+    return due.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), own.cast("int")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,5 +94,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        mark = made_so_far(spark)
         docs = written(stage(spark, docs, sf_dir), name)
+        clear(spark, mark, but=docs)  # what the stage wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
