@@ -28,6 +28,8 @@ WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 #: Documents in a leaf, on average, and undecided documents that meet in a group of the tree.
 LEAF, FAN_IN = 512, 256
+#: Up to so many targets (a few MB) are sent to all tasks; more are joined.
+SOURCES_SENT = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -131,9 +133,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     rows = written(numbered(written(rows, "mix-sizes"), ["doc_id", "source", "size"]), "mix-numbered")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
-    goals = targets(sizes, weights, max_copies)
+    goals = written(targets(sizes, weights, max_copies), "targets")
+    sources, most = goals.agg(F.count(F.lit(1)), F.max("source_docs")).first()
     mark = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"), F.col("nth"))
-    due = rows.join(goals, rows["source"].eqNullSafe(goals["source"])).drop(goals["source"])
+    told = F.broadcast(goals) if sources <= SOURCES_SENT else goals
+    due = rows.join(told, rows["source"].eqNullSafe(goals["source"])).drop(goals["source"])
     real = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     due = due.withColumns({"_real": real}).withColumns({"copies": F.floor(F.col("_real") + F.lit(1e-12)).cast("long")})
     due = due.withColumns({
@@ -143,8 +147,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     due = due.select("doc_id", "source", "size", "source_size", "target", "copies", "part", "mark", "node", "leaves").withColumn("done", F.lit(False))
     settled = due.where((F.col("part") <= 1e-12) | (F.col("size") == 0))
     open_ = due.where((F.col("part") > 1e-12) & (F.col("size") > 0))
-    ends, most = [settled], (rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0)
-    nodes = -(-most // leaf)
+    ends = [settled]
+    nodes = -(-(most or 0) // leaf)
     for level in count():
         last = nodes <= 1
         open_ = open_.groupBy("source", "node").applyInPandas(_round_group(last, level), due.schema)
