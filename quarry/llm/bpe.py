@@ -2,7 +2,9 @@
 
 A batch of texts is cut into the pattern's matches. Each distinct match is encoded once a batch; matches are put
 into buckets by length, and a bucket is one matrix of token ids, a row for each match. In every round each row merges
-its leftmost pair of minimum rank, found by a search in the sorted table of pairs, and closes the gap.
+its leftmost pair of minimum rank, found in a hash table of pairs, and closes the gap. A row of more than WIDE bytes would
+be moved once for each of its merges, so such matches (a page without a space, an encoded blob) merge the same pairs in
+the same order from a heap instead, in time that grows little faster than their length.
 Ids then go back to the texts by index. Texts never mix: a text's ids depend on the text alone.
 """
 
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,11 +20,19 @@ import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from .common import carried
 
 #: Bytes of text that are encoded at once, and the cells of a matrix.
 CHUNK_BYTES, CELLS = 4 << 20, 1 << 20
+#: Bytes of the widest row of a matrix.
+WIDE = 512
 #: The rank of a pair that does not merge.
 NONE = np.iinfo(np.int32).max
+# Fixed value: a pattern whose matches take one leading space at most, with a run of white space up to its last
+# character as a match.
+SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def load_ranks(path: str) -> list[tuple[bytes, int]]:
@@ -131,6 +142,41 @@ class Vocabulary:
                 ids, rank = ids[:, :widest], rank[:, : max(widest - 1, 0)]
         return done, lengths
 
+    def merge_wide(self, piece: bytes) -> np.ndarray:
+        """The ids of one long match: the leftmost pair of minimum rank first, as merge() does, from a heap."""
+        n = len(piece)
+        tokens = self.first[np.frombuffer(piece, np.uint8)]
+        rank = self.rank_of(tokens[:-1], tokens[1:]).astype(np.int64)
+        open_ = np.flatnonzero(rank != NONE)
+        heap = ((rank[open_] << 40) | open_).tolist()  # rank, then place: one integer each
+        heapq.heapify(heap)
+        # Parts by the place of their first byte: where they end, where the part before begins, rank with the next.
+        end, before, now = list(range(1, n + 1)), list(range(-1, n)), rank.tolist() + [NONE]
+        token, whole, place = tokens.tolist(), self.whole, (1 << 40) - 1
+        while heap:
+            top = heapq.heappop(heap)
+            i, r = top & place, top >> 40
+            if now[i] != r:
+                continue  # one of the two has merged since
+            j = end[i]
+            e = end[i] = end[j]
+            token[i], now[j] = r, -1
+            before[e] = i
+            now[i] = NONE
+            if e < n and (new := whole.get(piece[i : end[e]])) is not None:
+                now[i] = new
+                heapq.heappush(heap, new << 40 | i)
+            if (b := before[i]) >= 0:
+                now[b] = NONE
+                if (new := whole.get(piece[b:e])) is not None:
+                    now[b] = new
+                    heapq.heappush(heap, new << 40 | b)
+        out, i = [], 0
+        while i < n:
+            out.append(token[i])
+            i = end[i]
+        return np.array(out, np.int32)
+
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces one after the other, number of ids of each)."""
         out: list[np.ndarray | None] = [None] * len(pieces)
@@ -138,6 +184,8 @@ class Vocabulary:
             rank = self.whole.get(p)
             if rank is not None:
                 out[k] = np.array([rank], np.int32)
+            elif len(p) > WIDE:
+                out[k] = self.merge_wide(p)
         rest = np.array([k for k, x in enumerate(out) if x is None], np.int64)
         if len(rest):
             size = np.array([len(pieces[k]) for k in rest])
@@ -170,15 +218,19 @@ class Splitter:
 
     Words between single spaces repeat a lot, so texts are first cut before each space and only distinct chunks
     meet the pattern. That gives the same matches unless a space stands between other white space and white space or
-    the end: those texts meet the pattern whole. It holds for patterns whose matches take one leading space at most
-    and that treat a run of white space up to its last character as a match, as GPT-2's does.
+    the end: those texts meet the pattern whole. It holds for SPACED_PATTERN; with another one all texts meet it whole.
     """
 
     def __init__(self, pattern: str):
+        self.spaced = pattern == SPACED_PATTERN
         self.find = regex.compile(pattern).findall
 
     def cut(self, texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
         """(distinct matches, for each text the index of each of its matches)."""
+        if not self.spaced:
+            seen: dict[str, int] = {}
+            cut = [np.array([seen.setdefault(x, len(seen)) for x in self.find(t)], np.int64) for t in texts]
+            return list(seen), cut
         parts = [t.split(" ") for t in texts]
         ends = np.cumsum([len(p) for p in parts])
         codes, chunks = pd.factorize(np.array([x for p in parts for x in p], object)) if len(ends) and ends[-1] else (np.zeros(0, np.int64), [])
@@ -246,7 +298,7 @@ def _encoded(path: str, pattern: str, digests: bool) -> Callable[[Iterator[pa.Re
             for i in range(0, len(batch), 1000):
                 part = batch.slice(i, 1000)
                 n, a, b, tokens, same = [], [], [], [], []
-                texts = part.column("_text").to_pylist()
+                texts = part.column("text").to_pylist()
                 for text, ids in zip(texts, encode_texts(texts, path, pattern), strict=True):
                     n.append(len(ids))
                     if digests:
@@ -255,7 +307,7 @@ def _encoded(path: str, pattern: str, digests: bool) -> Callable[[Iterator[pa.Re
                     else:
                         tokens.append(ids)
                         same.append(vocabulary.decode(ids) == (text or "").encode("utf-8"))
-                columns = {x: part.column(x) for x in part.schema.names if x != "_text"} | {"n_tokens": pa.array(n, pa.int64())}
+                columns = {"kept": part.column("kept"), "n_tokens": pa.array(n, pa.int64())}
                 columns |= {"ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())} if digests else {"tokens": pa.array(tokens, pa.list_(pa.int32())), "round_trip": pa.array(same, pa.bool_())}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -280,11 +332,10 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text"
 
 
 def _run(docs: DataFrame, path: str, pattern: str, text_col: str, keep: list[str] | None, digests: bool, added: str) -> DataFrame:
-    new = {x.split()[0] for x in added.split(", ")} | {"n_tokens", "_text"}
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    rows = docs.select(*kept, docs[text_col].cast("string").alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"] + ["n_tokens long", added])
-    return rows.mapInArrow(_encoded(path, pattern, digests), schema)
+    new = ["n_tokens", *(x.split()[0] for x in added.split(", "))]
+    rows, kept = carried(docs, docs[text_col].cast("string"), keep, new)
+    schema = T.StructType([rows.schema["kept"], *T.StructType.fromDDL(f"n_tokens long, {added}")])
+    return rows.mapInArrow(_encoded(path, pattern, digests), schema).select(*kept, *new)
 
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str, tokens_col: str = "tokens") -> DataFrame:

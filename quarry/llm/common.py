@@ -99,3 +99,12 @@ def numbered(rows: DataFrame, keys: list[str], name: str = "nth") -> DataFrame:
     on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of{i}")) for i, k in enumerate([*keys, "_piece"])])
     there = again.join(sizes, on).select(*rows.columns, (F.col("_before") + F.col("_k") - 1).alias(name))
     return once.unionByName(there)
+
+
+def carried(docs: DataFrame, text: Column, keep: list[str] | None, new: list[str]) -> tuple[DataFrame, list[Column]]:
+    """(rows, columns): rows of a text and, in one struct `kept`, the columns `keep` (all by default) of docs; and what
+    selects them again. In a struct, no name of theirs clashes with one of an Arrow function's. Columns named like a
+    new one are left out."""
+    names = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    kept = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None).cast("boolean")
+    return docs.select(kept.alias("kept"), text.alias("text")), [F.col("kept").getField(c).alias(c) for c in names]

@@ -5,20 +5,23 @@ the vectors in the order of their strings: a sorted array, cut into cells of equ
 Largest inner product is smallest angle once vectors have one more coordinate, sqrt(M - |x|^2); queries have 0 there.
 
 Descending: a query goes to its cell of each tree, and in the sorted array there takes the strings that share the
-longest prefix with its own, longer ones before shorter ones, until START vectors are seen. Ascending: the k-th best
-score so far tells how alike the k nearest are at least, hence how likely each is to share a prefix of a given length
-in some tree; all trees ascend to the longest length at which that chance is at least SURE. All vectors under that
-prefix are scored. There is no cap on candidates: where neighbours are hardly closer than the rest, the prefix gets
-short and most vectors are scored; where they stand out, few are.
+longest prefix with its own, longer ones before shorter ones, until START vectors are seen. Ascending: all trees start
+at the prefix length under which about START vectors lie and give up one bit a round, together; a round scores the
+vectors under the bit just given up, its sibling, so none is scored twice in a tree. The k-th best score so far tells
+how alike the k nearest are at least, hence how likely each is to share a prefix of the length reached in some tree: a
+query stops at the first length at which that chance is SURE. There is no cap on candidates: where neighbours are
+hardly closer than the rest, queries ascend nearly to the root and many vectors are scored; where they stand out, few
+are. The column `scored` tells how many.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, written
@@ -28,7 +31,9 @@ TREES, DEPTH = 16, 48
 #: Vectors that a query looks at in each tree before ascending.
 START = 64
 #: Least chance of a neighbour as far as the k-th so far to be met.
-SURE = 0.97
+SURE = 0.9
+#: Blocks of a cell that meet queries in one place.
+TOGETHER = 16
 
 
 def _planes(width: int, trees: int, depth: int) -> np.ndarray:
@@ -61,10 +66,6 @@ def _hashed(planes, most: float, trees: int, depth: int, bits: int, query: bool)
 _FOUND = "query_id long, vec_id long, score double"
 
 
-def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return q @ x.T
-
-
 def _rows(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for row in batch.to_pylist():
@@ -73,8 +74,11 @@ def _rows(batches: Iterator[pa.RecordBatch]):
             yield row, qs, q, np.frombuffer(row["string"], np.int64), ids, x.astype(np.float64), np.frombuffer(row["x_string"], np.int64)
 
 
-def _result(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+def _result(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], qs: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+    """What was found, and a row without vec_id for the number of vectors that each query met."""
+    q, ids, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    none = pa.array([None] * len(qs), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate((q, qs))), pa.concat_arrays([pa.array(ids), none]), pa.array(np.concatenate((score, met.astype(float))))], names=["query_id", "vec_id", "score"])
 
 
 def _descend(k: int, depth: int, start: int):
@@ -82,7 +86,7 @@ def _descend(k: int, depth: int, start: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, qs, q, qstring, ids, x, xstring in _rows(batches):
-            found = []
+            found, met = [], np.zeros(len(qs))
             for j in range(len(qs)):
                 low, high = 0, len(ids)
                 for bits in range(1, depth + 1):  # while enough strings share one bit more
@@ -93,59 +97,73 @@ def _descend(k: int, depth: int, start: int):
                     low, high = a, b
                 if high - low > 4 * start:  # equal strings: those around the query's place would do, all are as near
                     high = low + 4 * start
-                found.append(best_of(_products(q[j : j + 1], x[low:high]), qs[j : j + 1], ids[low:high], k))
-            yield _result(found)
+                met[j] = high - low
+                found.append(best_of(q[j : j + 1] @ x[low:high].T, qs[j : j + 1], ids[low:high], k))
+            yield _result(found, qs, met)
 
     return run
 
 
-def _ascend(k: int, depth: int):
-    """All vectors of a block that share the query's prefix of its length."""
+def _under(k: int, depth: int):
+    """All vectors of a block that lie under each query's prefix, of its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, qs, q, qstring, ids, x, xstring in _rows(batches):
             length, least = np.frombuffer(row["length"], np.int64), np.frombuffer(row["least"], "<f8")
-            shift = np.minimum(depth - length, 62)
+            shift = depth - length
             low = np.searchsorted(xstring, qstring >> shift << shift)
             high = np.searchsorted(xstring, (qstring >> shift) + 1 << shift)
             found = []
             for a, b in sorted(set(zip(low.tolist(), high.tolist(), strict=True))):
                 if a < b:
-                    same = (low == a) & (high == b)
-                    found.append(best_of(_products(q[same], x[a:b]), qs[same], ids[a:b], k, least[same]))
+                    alike = (low == a) & (high == b)
+                    found.append(best_of(q[alike] @ x[a:b].T, qs[alike], ids[a:b], k, least[alike]))
             if found:
-                yield _result(found)
+                yield _result(found, qs, high - low)
 
     return run
 
 
+_PACKED = (("query_id", "ids", "<i8"), ("string", "string", "<i8"), ("v", "data", "<f8"), ("length", "length", "<i8"), ("least", "least", "<f8"))
+
+
 def _with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs the queries that go to a cell together, up to TILE at once."""
+    """Packs the queries that go to a prefix together, up to TILE at once."""
     for batch in batches:
         rows = batch.to_pylist()
         if rows:
-            yield pa.RecordBatch.from_arrays([
-                batch.column("tree"), batch.column("cell"),
-                *[pa.array([np.array([x[f] for x in r["qs"]], t).tobytes() for r in rows], pa.binary()) for f, t in (("query_id", "<i8"), ("string", "<i8"), ("v", "<f8"), ("length", "<i8"), ("least", "<f8"))],
-            ], names=["tree", "cell", "ids", "string", "data", "length", "least"])
+            packs = [pa.array([np.array([x[f] for x in r["qs"]], t).tobytes() for r in rows], pa.binary()) for f, _, t in _PACKED]
+            yield pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("size"), batch.column("prefix"), *packs], names=["tree", "size", "prefix", *[n for _, n, _ in _PACKED]])
 
 
-def _tiles(asked: DataFrame) -> DataFrame:
-    """asked (tree, cell, query_id, string, v, length, least) packed by cell, popular cells into several tiles."""
-    sizes = asked.groupBy("tree", "cell").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-    salted = asked.join(sizes, ["tree", "cell"]).withColumn("salt", F.pmod(F.xxhash64("query_id"), F.col("tiles")))
-    grouped = salted.groupBy("tree", "cell", "salt").agg(F.collect_list(F.struct("query_id", "string", "v", "length", "least")).alias("qs"))
-    return grouped.select("tree", "cell", "qs").mapInArrow(_with_bytes, "tree int, cell long, ids binary, string binary, data binary, length binary, least binary")
+def _meetings(asked: DataFrame, index: DataFrame, many: DataFrame, bits: int, depth: int) -> DataFrame:
+    """Tiles of queries with all blocks of the cells under their prefixes.
+
+    asked: tree, query_id, string, length, v, least. Queries that share the prefix, as far as cells tell it, make
+    tiles; only a tile is listed with its cells, and with the places of a cell of many blocks.
+    """
+    size = F.least(F.col("length"), F.lit(bits)).cast("int")
+    named = asked.withColumn("size", size).withColumn("prefix", F.call_function("shiftright", F.col("string"), F.lit(depth) - F.col("size")))
+    sizes = named.groupBy("tree", "size", "prefix").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+    salted = named.join(sizes, ["tree", "size", "prefix"]).withColumn("salt", F.pmod(F.xxhash64("query_id"), F.col("tiles")))
+    tiles = salted.groupBy("tree", "size", "prefix", "salt").agg(F.collect_list(F.struct(*[f for f, _, _ in _PACKED])).alias("qs"))
+    tiles = tiles.select("tree", "size", "prefix", "qs").mapInArrow(_with_bytes, "tree int, size int, prefix long, " + ", ".join(f"{n} binary" for _, n, _ in _PACKED))
+    first = F.call_function("shiftleft", F.col("prefix"), F.lit(bits) - F.col("size"))
+    last = F.call_function("shiftleft", F.col("prefix") + 1, F.lit(bits) - F.col("size")) - 1
+    listed = tiles.withColumn("cell", F.explode(F.sequence(first, last))).join(many, ["tree", "cell"], "left")
+    return listed.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("places", F.lit(1)) - 1))).join(index, ["tree", "cell", "place"])
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, depth: int = DEPTH, sure: float = SURE) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score (double): the k largest inner products found for each query.
+    """query_id, rank (from 1), vec_id, score (double): the k largest inner products found for each query; and scored, how
+    many vectors it met, those met in several trees counted each time.
 
     Queries: ids divisible by `every`; candidates: all rows but those with the query's id. Scores are those of the
     original vectors in double precision; ties go to the smaller vec_id. With fewer than k candidates all are
     returned. Rows with a null id, a null, empty or zero vector or a component that is null or not finite take no
     part, nor do vectors of another length than the most common one. Repeated rows count once; of one id with several
-    vectors the best score counts. Every row is in the index; nothing is fitted. Empty input gives an empty result.
+    vectors the best score counts. Every row is in the index; nothing is fitted. Other columns are not used. Empty
+    input gives an empty result.
     """
     spark = vectors.sparkSession
     # Floats are kept as they are, in half the space; all sums are of doubles.
@@ -156,36 +174,52 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     size = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, most, width = rows.agg(F.count(F.lit(1)), F.max(size), F.max(F.size("v"))).first()
     if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, scored long")
     planes = spark.sparkContext.broadcast(_planes(width + 1, trees, depth))
     bits = int(min(depth // 2, max(0, np.ceil(np.log2(n / (2 * BLOCK))))))
     parts = max(shuffle_partitions(spark), n * trees // (16 * BLOCK))
 
     hashed = f"tree int, vec_id long, cell long, string long, v array<{kind}>"
-    index = packed(rows.mapInArrow(_hashed(planes, most, trees, depth, bits, False), hashed), ["tree", "cell"], ["string"], parts, BLOCK, width_of)
-    index = written(index.select("tree", "cell", F.col("ids").alias("x_ids"), F.col("data").alias("x_data"), F.col("string").alias("x_string"), F.lit(width_of).alias("x_kind")), "forest")
+    forest = packed(rows.mapInArrow(_hashed(planes, most, trees, depth, bits, False), hashed), ["tree", "cell"], ["string"], parts, BLOCK, width_of)
+    forest = written(forest.select("tree", "cell", F.col("ids").alias("x_ids"), F.col("data").alias("x_data"), F.col("string").alias("x_string"), F.lit(width_of).alias("x_kind")), "forest")
+    # Equal vectors can fill a cell with any number of blocks; these are dealt to several places.
+    many = written(forest.groupBy("tree", "cell").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("places")).where("places > 1"), "large-cells")
+    index = forest.join(many, ["tree", "cell"], "left").withColumn("place", F.pmod(F.xxhash64("x_ids"), F.coalesce("places", F.lit(1)))).drop("places")
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = asked.mapInArrow(_hashed(planes, most, trees, depth, bits, True), hashed).withColumnRenamed("vec_id", "query_id")
+    asked = asked.mapInArrow(_hashed(planes, most, trees, depth, bits, True), hashed).select("tree", F.col("vec_id").alias("query_id"), "string", "v")
     asked = written(asked, "queries")
 
-    first = _tiles(asked.withColumns({"length": F.lit(0).cast("long"), "least": F.lit(0.0)})).join(index, ["tree", "cell"])
-    start = ranked(first.select("ids", "string", "data", "x_ids", "x_string", "x_data", "x_kind").mapInArrow(_descend(k, depth, START), _FOUND), k)
-    start = written(start, "start")
-    # How alike the k-th so far is, and the longest prefix that neighbours as near share often enough.
-    kth = start.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-    norm = F.sqrt(size)
-    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("least") / (F.col("norm") * float(np.sqrt(most)))))
-    share = 1 - F.acos(cosine) / F.pi()
+    rounds: list[DataFrame] = []
+    best: DataFrame | None = None
+
+    def meet(queries: DataFrame, step) -> None:
+        nonlocal best
+        met = _meetings(queries, index, many, bits, depth)
+        rounds.append(written(met.select(*[n for _, n, _ in _PACKED], "x_ids", "x_string", "x_data", "x_kind").mapInArrow(step, _FOUND), "found"))
+        found = rounds[-1].where("vec_id is not null")
+        best = written(ranked(found if best is None else found.unionByName(best.drop("rank")), k), "best")
+
+    meet(asked.withColumns({"length": F.lit(bits).cast("long"), "least": F.lit(float("-inf"))}), _descend(k, depth, START))
+    norms = asked.where("tree = 0").select("query_id", F.sqrt(size).alias("norm"))
     one_tree = 1 - (1 - sure) ** (1 / trees)
-    length = F.floor(F.log(F.lit(one_tree)) / F.log(F.greatest(F.least(share, F.lit(1 - 1e-9)), F.lit(1e-9))))
-    lengths = asked.where("tree = 0").select("query_id", norm.alias("norm")).join(kth, "query_id", "left")
-    lengths = lengths.select("query_id", F.coalesce(F.least(F.greatest(length, F.lit(0)), F.lit(depth)), F.lit(0)).cast("long").alias("length"), F.coalesce("least", F.lit(float("-inf"))).alias("least"))
-    # At length 0 one tree has it all. A prefix shorter than a cell's is in several cells.
-    again = asked.join(lengths, "query_id").where("length > 0 or tree = 0")
-    wide = F.greatest(F.lit(bits) - F.col("length"), F.lit(0)).cast("int")
-    from_ = F.call_function("shiftleft", F.call_function("shiftright", F.col("cell"), wide), wide)
-    cells = F.sequence(from_, from_ + F.call_function("shiftleft", F.lit(1).cast("long"), wide) - 1)
-    again = again.withColumn("cell", F.explode(cells))
-    meet = _tiles(again).join(index, ["tree", "cell"])
-    rest = meet.select("ids", "string", "data", "length", "least", "x_ids", "x_string", "x_data", "x_kind").mapInArrow(_ascend(k, depth), _FOUND)
-    return ranked(rest.unionByName(start.select("query_id", "vec_id", "score")), k)
+    level = int(min(depth, max(1, np.floor(np.log2(max(n / START, 2))))))
+
+    def so_far() -> DataFrame:
+        """query_id, least: the k-th score, and enough: the longest prefix that neighbours as near share often enough."""
+        kth = norms.join(best.where(F.col("rank") == k).select("query_id", F.col("score").alias("least")), "query_id", "left")
+        cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("least") / (F.col("norm") * float(np.sqrt(most)))))
+        share = F.greatest(F.least(1 - F.acos(cosine) / F.pi(), F.lit(1 - 1e-9)), F.lit(1e-9))
+        enough = F.coalesce(F.floor(F.log(F.lit(one_tree)) / F.log(share)), F.lit(0))
+        return kth.select("query_id", F.coalesce("least", F.lit(float("-inf"))).alias("least"), enough.alias("enough"))
+
+    def under(queries: DataFrame, string: Column) -> DataFrame:
+        rows = asked.join(queries.select("query_id", "least"), "query_id")
+        return rows.select("tree", "query_id", string.alias("string"), F.lit(level).cast("long").alias("length"), "v", "least")
+
+    meet(under(so_far(), F.col("string")), _under(k, depth))
+    while level > 0 and not (still := written(so_far().where(F.col("enough") < level), "still")).isEmpty():
+        sibling = under(still, F.col("string").bitwiseXOR(F.lit(1 << (depth - level))))
+        meet(sibling.where("tree = 0") if level == 1 else sibling, _under(k, depth))  # at the root one tree has all
+        level -= 1
+    met = reduce(DataFrame.unionByName, rounds).where("vec_id is null").groupBy("query_id").agg(F.sum("score").cast("long").alias("scored"))
+    return best.join(met, "query_id")

@@ -18,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .common import carried
 from .shingles import mix, slices
 
 SLOTS = 1 << 15
@@ -93,6 +95,16 @@ class Model:
                 self.weights[b] = np.log(share[column > 0].mean(axis=0)) - np.log(share[column < 0].mean(axis=0))
             self.weights[:, 0] = 0
 
+    def margins(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """(texts, bits): the mean weight of a text's trigrams, as much as its number of trigrams lets it count."""
+        slot = _trigrams(buf, offs)
+        full = np.flatnonzero(np.diff(offs))
+        n, margins = np.zeros(len(offs) - 1), np.zeros((len(offs) - 1, len(self.weights)))
+        n[full] = np.add.reduceat((slot > 0).astype(np.int64), offs[:-1][full])
+        for b, w in enumerate(self.weights):
+            margins[full, b] = np.add.reduceat(w[slot], offs[:-1][full], dtype=np.float64)
+        return margins * (WEIGHT * np.minimum(n, FULL_EVIDENCE) / np.maximum(n, 1) / len(self.weights) * 4)[:, None]
+
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(best language, its share of the softmax of negative losses, lead over the second) for rows of margins."""
         loss = np.logaddexp(0, -margins[:, None, :] * self.codes[None]).sum(axis=2)
@@ -115,47 +127,38 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     return Model(found)
 
 
-def _predicted(model, ambiguous: float, text: str, drop: set[str]):
+def _predicted(model, ambiguous: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            letters = batch.column("_letter").to_numpy(zero_copy_only=False)
-            for i, j, buf, offs in slices(batch.column(text)):
+            letters = batch.column("letter").to_numpy(zero_copy_only=False)
+            for i, j, buf, offs in slices(batch.column("text")):
                 n_docs = j - i
                 lang, score, unsure = [UNKNOWN] * n_docs, np.zeros(n_docs), np.ones(n_docs, bool)
                 known = letters[i:j] & (len(m.languages) > 0)
                 if known.any():
-                    slot = _trigrams(buf, offs)
-                    full = np.flatnonzero(np.diff(offs))
-                    n = np.zeros(n_docs)
-                    n[full] = np.add.reduceat((slot > 0).astype(np.int64), offs[:-1][full])
-                    margins = np.zeros((n_docs, len(m.weights)))
-                    for b, w in enumerate(m.weights):
-                        margins[full, b] = np.add.reduceat(w[slot], offs[:-1][full], dtype=np.float64)
-                    margins *= (WEIGHT * np.minimum(n, FULL_EVIDENCE) / np.maximum(n, 1) / len(m.weights) * 4)[:, None]
-                    best, p, lead = m.decode(margins)
+                    best, p, lead = m.decode(m.margins(buf, offs))
                     for d in np.flatnonzero(known):
                         lang[d], score[d], unsure[d] = m.languages[best[d]], p[d], lead[d] < ambiguous
-                names = [c for c in batch.schema.names if c not in drop]
-                own = [batch.column(c).slice(i, n_docs) for c in names]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(lang), pa.array(score), pa.array(unsure)], names=[*names, "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([batch.column("kept").slice(i, n_docs), pa.array(lang), pa.array(score), pa.array(unsure)], names=["kept", *PREDICTED])
 
     return run
 
 
+PREDICTED = ("lang_pred", "score", "ambiguous")
+
+
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, ambiguous: float = AMBIGUOUS) -> DataFrame:
     """The columns `keep` (all by default) with lang_pred (string), score (double, 0 to 1) and ambiguous (boolean).
 
     Texts that are null or hold no letter, and all texts if nothing was learned, get `und`, 0.0 and true. Only the
-    text is looked at. Columns of docs named like a new one give way to it; empty input gives an empty result.
+    text is looked at. Repeated rows stay. Columns of docs named like a new one give way to it; empty input gives an
+    empty result.
     """
-    new = {"lang_pred", "score", "ambiguous", "_text", "_letter"}
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    text = text_col if text_col in kept else "_text"
-    rows = docs.select(*kept, *([F.col(text_col).alias("_text")] if text == "_text" else []), letter.alias("_letter"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept] + ["lang_pred string", "score double", "ambiguous boolean"])
-    return rows.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model), ambiguous, text, {"_text", "_letter"}), schema)
+    rows, kept = carried(docs, F.col(text_col), keep, list(PREDICTED))
+    rows = rows.withColumn("letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    schema = T.StructType([rows.schema["kept"], *T.StructType.fromDDL("lang_pred string, score double, ambiguous boolean")])
+    return rows.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model), ambiguous), schema).select(*kept, *PREDICTED)
 
 
 def held_out(id_: Column) -> Column:

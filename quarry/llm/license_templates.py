@@ -1,6 +1,9 @@
-"""License notices to look for. The wording of public licenses and of the notices they ask for."""
+"""License notices and whole licenses to look for. The wording of public licenses, whole in the folder
+`licenses`, and of the notices they ask for."""
 
-TEMPLATES = {
+from pathlib import Path
+
+NOTICES = {
     "Apache-2.0/line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0/notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "BSD-2-Clause/grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -16,3 +19,6 @@ TEMPLATES = {
     "MPL-2.0/notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense/line": "This is free and unencumbered software released into the public domain.",
 }
+
+#: Read where the scan is planned, on the driver.
+TEMPLATES = NOTICES | {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}

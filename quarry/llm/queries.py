@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"))
+    return topk_search.exact_top_k(table(spark, sf_dir, "embeddings")).drop("scored")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,16 +41,13 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
 
-#: The first id that the vocabulary leaves free.
-END_OF_TEXT = 50256
-
-
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, counted in flat files that hold nothing but ids and separators."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     folder = fresh_path(spark, "tokens")
-    manifest = token_counts.write_token_files(table(spark, sf_dir, "documents"), folder, lambda texts: bpe.encode_texts(texts, path, pattern), END_OF_TEXT)
-    counts = token_counts.token_counts(spark, folder, END_OF_TEXT)
+    end = max(rank for _, rank in bpe.load_ranks(path)) + 1  # the first id that the vocabulary leaves free
+    manifest = token_counts.write_token_files(table(spark, sf_dir, "documents"), folder, lambda texts: bpe.encode_texts(texts, path, pattern), end)
+    counts = token_counts.token_counts(spark, folder, end)
     return manifest.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 

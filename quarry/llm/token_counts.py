@@ -24,7 +24,14 @@ BLOCK_BYTES = 8 << 20
 SUFFIX = ".tokens"
 
 
+#: Names that Spark has for file systems which the Arrow library knows by another one.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
+    scheme, _, rest = uri.partition("://")
+    if scheme in SCHEMES:
+        uri = f"{SCHEMES[scheme]}://{rest}"
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
     return fs.FileSystem.from_uri(uri)
@@ -34,8 +41,12 @@ def write_token_files(docs: DataFrame, folder: str, encode: Callable[[list[str]]
     """Writes docs to flat token files in folder, one for each task, and returns (file, ordinal, doc_id) of what is in them.
 
     folder: a URI that all executors reach. A task that runs again writes another file; only the files of tasks that
-    ended well are in the result. Null texts are documents without tokens.
+    ended well are in the result. Null texts are documents without tokens; null ids and repeated rows are documents of
+    their own. An id that dtype cannot hold, or that is the separator, is an error: it would read back as another one.
     """
+    most = np.iinfo(dtype).max
+    if not 0 <= end <= most:
+        raise ValueError(f"the separator {end} does not fit {dtype}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, at = _open(folder)
@@ -46,6 +57,8 @@ def write_token_files(docs: DataFrame, folder: str, encode: Callable[[list[str]]
                 part = batch.slice(i, 1000)
                 sink = sink or system.open_output_stream(f"{at}/{name}")
                 for ids in encode(part.column("text").to_pylist()):
+                    if len(ids) and (ids.max() > most or (ids == end).any()):
+                        raise ValueError(f"a token id is above {most} or the separator {end}")
                     sink.write(np.append(ids, end).astype(dtype).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(n, n + len(part))), part.column("doc_id")], names=["file", "ordinal", "doc_id"])
                 n += len(part)
@@ -92,15 +105,15 @@ def token_counts(spark: SparkSession, folder: str, end: int, dtype: str = "<u2",
     found = written(found, "token-blocks")
 
     # The prefix scan, over rows without the lengths.
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("path").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    order = Window.partitionBy("path").orderBy("block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     scan = found.select("path", "block", "ends", "last")
-    scan = scan.select("path", "block", F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("earlier"), F.coalesce(F.last("last", ignorenulls=True).over(before), F.lit(-1)).alias("previous"), F.count("block").over(after).alias("later"))
+    scan = scan.select("path", "block", F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("earlier"), F.coalesce(F.last("last", ignorenulls=True).over(before), F.lit(-1)).alias("previous"), F.lead("block").over(order).alias("later"))
     stitched = found.join(scan, ["path", "block"])
     head = F.when(F.col("ends") > 0, F.array(F.col("first") - F.col("previous") - 1)).otherwise(F.array().cast("array<bigint>"))
     lengths = F.concat(head, F.col("inner"))
     tail = F.col("stop") - F.coalesce("last", "previous") - 1
     file = F.element_at(F.split("path", "/"), -1)
     inside = stitched.select(file.alias("file"), "earlier", F.posexplode(lengths).alias("k", "n_tokens")).select("file", (F.col("earlier") + F.col("k")).alias("ordinal"), "n_tokens", F.lit(True).alias("closed"))
-    open_ = stitched.where((F.col("later") == 0) & (tail > 0)).select(file.alias("file"), (F.col("earlier") + F.col("ends")).alias("ordinal"), tail.alias("n_tokens"), F.lit(False).alias("closed"))
+    open_ = stitched.where(F.col("later").isNull() & (tail > 0)).select(file.alias("file"), (F.col("earlier") + F.col("ends")).alias("ordinal"), tail.alias("n_tokens"), F.lit(False).alias("closed"))
     return inside.unionByName(open_)

@@ -20,6 +20,11 @@ PATH = P.path("byte_bpe_multi_50k.tiktoken")
 WORDS = [f"w{i}" for i in range(400)]
 
 
+@pytest.fixture(scope="module")
+def reference():
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=dict(bpe.load_ranks(PATH)), special_tokens={})
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, duck, name):
     compare(queries.QUERIES[name](spark, SF), duck, queries.ORACLES[name])
@@ -140,7 +145,8 @@ def _brute(valid, every, k, score):
 
 
 def test_exact_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk_search, "PER_PIVOT", 64)
+    for name, value in (("PER_PIVOT", 64), ("RING", 16), ("BLOCK", 8), ("TILE", 4), ("TOGETHER", 1)):
+        monkeypatch.setattr(topk_search, name, value)
     rows, valid = _vectors(np.random.default_rng(1))
     df = spark.createDataFrame([(i, x, 1, "t") for i, x in rows], "vec_id long, embedding array<double>, pivot int, tile string").repartition(5)
     ints = {i: [int(np.floor(256 * c)) for c in x] for i, x in valid.items()}
@@ -168,13 +174,50 @@ def test_nearest_recall(spark):
     assert len(got) == len(want) and len(hit) / len(want) >= 0.9
 
 
+def test_exact_top_k_prunes(spark, monkeypatch):
+    """Where vectors cluster, the bound keeps queries out of most annuli, and the results are those of brute force."""
+    for name, value in (("PER_PIVOT", 50), ("RING", 16), ("BLOCK", 16), ("TILE", 8)):
+        monkeypatch.setattr(topk_search, name, value)
+    rng = np.random.default_rng(3)
+    centres = 20 * rng.normal(size=(12, 6))
+    v = {i: [float(x) for x in centres[i % 12] + rng.normal(size=6)] for i in range(960)}
+    v |= {960 + i: v[0] for i in range(200)}  # one vector that many rows have
+    df = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<double>").repartition(5)
+    out = topk_search.exact_top_k(df).collect()
+    ints = {i: [int(np.floor(256 * c)) for c in x] for i, x in v.items()}
+    want = _brute(ints, 50, 5, lambda a, b: sum(p * q for p, q in zip(a, b, strict=True)))
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == want
+    assert np.mean([r.scored for r in out]) < 0.7 * len(v)
+
+
+def test_exact_top_k_refuses_what_does_not_fit(spark):
+    df = spark.createDataFrame([(0, [1e9, 1e9]), (1, [1e9, 2e9])], "vec_id long, embedding array<double>")
+    with pytest.raises(ArithmeticError):
+        topk_search.exact_top_k(df)
+
+
 def test_nearest_ties_and_bad_rows(spark):
+    """With a chance next to 1 and few vectors every neighbour is met, so places and ties are those of brute force."""
     rows, valid = _vectors(np.random.default_rng(2))
     del valid[1005]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    want = {(q, r): (i, s) for q, r, i, s in _brute(valid, 20, 20, lambda a, b: float(np.dot(a, b)))}
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in hash_forest.nearest(df).collect()}
-    assert got.keys() == want.keys() and sum(got[k][0] == want[k][0] for k in want) / len(want) >= 0.9
+    rows += [(10, valid[10]), (600, valid[40]), (601, valid[40])]
+    valid |= {600: valid[40], 601: valid[40]}
+    df = spark.createDataFrame([(i, x, 1, 0.5, 7) for i, x in rows], "vec_id long, embedding array<double>, tree int, score double, query_id int").repartition(3)
+    want = _brute(valid, 20, 20, lambda a, b: float(np.dot(a, b)))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in hash_forest.nearest(df, sure=1 - 1e-12).collect())
+    assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(a[3] - b[3]) < 1e-12 for a, b in zip(got, want, strict=True))
+
+
+def test_nearest_stops_where_neighbours_stand_out(spark):
+    """Near neighbours end the ascent early: far fewer vectors are met, at the same recall."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(80, 32))
+    v = {i: centres[i % 80] + 0.1 * rng.normal(size=32) for i in range(4000)}
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in v.items()], "vec_id long, embedding array<double>")
+    out = hash_forest.nearest(df, every=200).collect()
+    want = _brute(v, 200, 20, lambda a, b: float(np.dot(a, b)))
+    hit = {(q, i) for q, _, i, _ in want} & {(r.query_id, r.vec_id) for r in out}
+    assert len(hit) / len(want) >= 0.9 and np.mean([r.scored for r in out]) < 0.6 * len(v) * hash_forest.TREES / 4
 
 
 # License scan
@@ -185,13 +228,71 @@ def test_license_scan_edges(spark):
     rows = [(1, "x Released under the MIT License. y"), (2, None), (3, ""), (4, "released UNDER the mit license"), (5, "released under the license"), (6, long), (None, "Released under the MIT License."), (7, "Licensed under")]
     df = spark.createDataFrame([(i, t, "a") for i, t in rows], "doc_id long, text string, license string")
     out = {(r.doc_id, r.license): (r.containment, r.word_pos) for r in license_scan.license_scan(df).collect()}
+    assert set(license_scan.NOTICES) < set(license_scan.TEMPLATES) and len(license_scan.TEMPLATES["GPL-3"]) > 30_000
     assert out == {(1, "MIT/line"): (1.0, 1), (4, "MIT/line"): (1.0, 0), (6, "MIT/grant"): (1.0, 5000)}
+    again = df.unionByName(df).withColumns({"shingle": F.lit(1), "span": F.lit("s"), "w": F.lit(2), "part": F.lit(3)}).repartition(5)
+    assert {(r.doc_id, r.license): (r.containment, r.word_pos) for r in license_scan.license_scan(again).collect()} == out
     assert license_scan.license_scan(df.limit(0)).count() == 0 and license_scan.license_scan(df, templates={}).count() == 0
 
 
+def test_license_scan_equals_brute_force(spark, duck):
+    """Whole, cut and changed licenses in other text, ragged at every stride, against SQL over all windows."""
+    rng = random.Random(8)
+    rows = []
+    for name, text in license_scan.TEMPLATES.items():
+        ws = text.split()
+        for share in (0.0, 0.02, 0.04):
+            kept = [w for w in ws if rng.random() >= share]
+            rows.append((len(rows), " ".join(["own"] * rng.randrange(40) + kept + ["words"] * rng.randrange(9)), name))
+        rows.append((len(rows), " ".join(ws[: rng.randrange(len(ws))]), name))
+    df = spark.createDataFrame(rows, "doc_id long, text string, license string").repartition(4)
+    duck.register("scanned", df.toPandas())
+    compare(license_scan.license_scan(df), duck, license_scan.oracle().replace("FROM documents", "FROM scanned"))
+
+
 # Language ID
 
 
+def test_language_decoding_equals_a_plain_version():
+    """Margins, losses and the nearest codeword, recomputed trigram by trigram."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    said = {"en": ["the cat and the dog", "a house in the wood"], "de": ["der Hund und die Katze", "ein Haus im Wald"], "fr": ["le chat et le chien", "une maison"], "xx": ["zz qq zz"]}
+    counts = {k: np.zeros(language_id.SLOTS) for k in said}
+
+    def slots(text):
+        b = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode()]
+        grams = [b[i] << 16 | b[i + 1] << 8 | b[i + 2] for i in range(len(b) - 2)]
+        return [1 + int(shingles.mix(np.array([g], np.uint64))[0] % (language_id.SLOTS - 1)) for g in grams if g != 0x202020]
+
+    for k, texts in said.items():
+        for t in texts:
+            for x in slots(t):
+                counts[k][x] += 1
+    model = language_id.Model(counts)
+    texts = ["the dog", "Die Katze!", "le chien et une maison", "zz", "ab", "", "12   34", "and der le " * 100] + ["".join(rng.choice("abcdez é ") for _ in range(30)) for _ in range(40)]
+    (_, _, buf, offs), *_ = shingles.slices(pa.array(texts))
+    best, score, lead = model.decode(model.margins(buf, offs))
+    share = {k: [(c + 0.5) / (sum(counts[k]) + 0.5 * language_id.SLOTS) for c in counts[k]] for k in said}
+    codes = {k: list(c) for k, c in zip(sorted(said), model.codes, strict=True)}
+    for d, text in enumerate(texts):
+        own = slots(text)
+        losses = []
+        for k in sorted(said):
+            loss = 0.0
+            for bit in range(len(codes[k])):
+                plus, minus = ([x for x in said if codes[x][bit] == s] for s in (1, -1))
+                margin = sum(np.log(np.mean([share[x][g] for x in plus])) - np.log(np.mean([share[x][g] for x in minus])) for g in own)
+                margin *= language_id.WEIGHT * min(len(own), language_id.FULL_EVIDENCE) / max(len(own), 1) / len(codes[k]) * 4
+                loss += np.log1p(np.exp(-margin * codes[k][bit]))
+            losses.append(loss)
+        p = np.exp(min(losses) - np.array(losses))
+        p /= p.sum()
+        assert abs(p.max() - score[d]) < 1e-3 and abs(np.sort(p)[-1] - np.sort(p)[-2] - lead[d]) < 2e-3
+        assert lead[d] < 2e-3 or best[d] == int(p.argmax())
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 7, 12, 40):
         m = language_id.codewords(n)
@@ -216,6 +317,13 @@ def test_language_edges(spark):
     assert language_id.identify_languages(df.limit(0)).count() == 0
 
 
+def test_columns_of_any_name_are_carried(spark, reference):
+    df = spark.createDataFrame([(1, "the cat", "a", 2, "k"), (2, None, "b", 3, "k")], "doc_id long, text string, _text string, _letter int, kept string")
+    for out in (language_id.predict(df, language_id.Model({})), bpe.bpe_encode(df, PATH, P.PATTERN)):
+        got = {r.doc_id: r for r in out.collect()}
+        assert set(df.columns) < set(out.columns) and (got[2]["_text"], got[2]["_letter"], got[1].kept, got[1].text) == ("b", 3, "k", "the cat")
+
+
 # Line dedup
 
 
@@ -301,6 +409,21 @@ def test_token_counts(spark, tmp_path, block):
     assert sorted((r.file, r.ordinal, r.n_tokens, r.closed) for r in out) == sorted(want)
 
 
+def test_token_files_of_odd_documents(spark, tmp_path):
+    """Nulls, repeats, extra columns and a text longer than a block; ids that do not fit are refused."""
+    encode = lambda texts: (np.array([ord(c) for c in t or ""], np.int64) for t in texts)
+    rows = [(1, "ab", 0, "f"), (1, "ab", 0, "f"), (2, None, 1, "f"), (None, "xyz", 2, "f"), (3, "", 3, "f"), (4, "q" * 5000, 4, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ordinal int, file string").repartition(2)
+    manifest = token_counts.write_token_files(df, f"file://{tmp_path}/a", encode, 60000)
+    out = manifest.join(token_counts.token_counts(spark, f"file://{tmp_path}/a", 60000, block_bytes=256), ["file", "ordinal"])
+    assert sorted(((r.doc_id, r.n_tokens) for r in out.collect()), key=str) == sorted([(1, 2), (1, 2), (2, 0), (None, 3), (3, 0), (4, 5000)], key=str)
+    with pytest.raises(ValueError, match="does not fit"):
+        token_counts.write_token_files(df, f"file://{tmp_path}/b", encode, 70000)
+    for bad in ("\U0001f600", chr(60000)):
+        with pytest.raises(Exception, match="is above"):
+            token_counts.write_token_files(df.withColumn("text", F.lit(bad)), f"file://{tmp_path}/c", encode, 60000)
+
+
 def test_token_counts_of_documents(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=dict(bpe.load_ranks(PATH)), special_tokens={})
@@ -368,11 +491,6 @@ def test_mixing_deals_repeats_to_many_leaves(spark):
 # BPE
 
 
-@pytest.fixture(scope="module")
-def reference():
-    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=dict(bpe.load_ranks(PATH)), special_tokens={})
-
-
 def test_bpe_of_odd_texts(reference):
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab c  \n\t é漢😀'stdLL.12,\r\x0b ") for _ in range(rng.randrange(60))) for _ in range(1500)]
@@ -383,6 +501,25 @@ def test_bpe_of_odd_texts(reference):
         assert vocabulary.decode(ids) == t.encode()
 
 
+def test_bpe_of_long_matches(reference):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in ("ab", "abcdefghijklmnop", "漢字仮名あいう", "aA1-") for n in (500, 513, 2000)] + ["".join(rng.choice("etaoinshr") for _ in range(200_000))]
+    for t, ids in zip(texts, bpe.encode_texts(texts, PATH, P.PATTERN), strict=True):
+        assert ids.tolist() == reference.encode_ordinary(t)
+    vocabulary, _ = bpe.encoder(PATH, P.PATTERN)
+    for t in texts[:-1]:  # both ways to merge give the same
+        raw = t.encode()[:500]
+        ids, n = vocabulary.merge(vocabulary.first[np.frombuffer(raw, np.uint8)][None])
+        assert ids[0, : n[0]].tolist() == vocabulary.merge_wide(raw).tolist()
+
+
+def test_other_patterns_meet_texts_whole(spark):
+    pattern = r"\w+|\W"
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=dict(bpe.load_ranks(PATH)), special_tokens={})
+    texts = ["a  b c", " lead", "x\n y ", ""]
+    assert [ids.tolist() for ids in bpe.encode_texts(texts, PATH, pattern)] == [own.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_frames(spark, reference):
     rows = [(1, "Hello  world\n", 5), (2, None, 5), (3, "", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
@@ -393,6 +530,8 @@ def test_bpe_frames(spark, reference):
     d = {r.doc_id: r for r in bpe.bpe_digests(df, PATH, P.PATTERN).collect()}
     assert d[1].ids_sha256 == hashlib.sha256(np.array(got[1].tokens, "<u4").tobytes()).hexdigest() and d[2].decoded_sha256 == hashlib.sha256(b"").hexdigest()
     assert bpe.bpe_digests(df.limit(0), PATH, P.PATTERN).count() == 0
+    twice = bpe.bpe_digests(df.unionByName(df), PATH, P.PATTERN, keep=["doc_id"]).collect()
+    assert len(twice) == 6 and len({tuple(r) for r in twice}) == 3
 
 
 # Pipeline
