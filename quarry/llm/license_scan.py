@@ -53,15 +53,21 @@ def stride(span: int) -> int:
     return max(1, span // 4)
 
 
+def _part(start: Column, n: Column | int) -> Column:
+    """Up to n of the words `ws` from a place on; slice() would go through all words of the text each time."""
+    return F.transform(F.sequence(start, F.least(start + n, F.size("ws")) - 1), lambda i: F.get("ws", i))
+
+
 def template_shingles(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """(license, pos, shingle, run, m, n): the shingles of each template by place with their words, how many distinct
     ones and how many words it has."""
     listed = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("t")) for k, v in templates.items()])
     # Written, as Spark would split a text of literals again for each of its words.
     t = written(spark.range(1).select(F.inline(listed)).select("license", words(F.col("t")).alias("ws")), "license-words")
-    t = written(t.select("license", "ws", shingles(F.col("ws")).alias("s")), "license-shingles")
-    at = t.select("license", "ws", F.size("ws").alias("n"), F.size(F.array_distinct("s")).alias("m"), F.posexplode("s").alias("pos", "shingle"))
-    return at.select("license", "pos", "shingle", F.slice("ws", F.col("pos") + 1, SHINGLE).alias("run"), "m", "n")
+    t = t.select("license", "ws", shingles(F.col("ws")).alias("s"))
+    t = written(t.select("*", F.size(F.array_distinct("s")).alias("m"), F.size("ws").alias("n")), "license-shingles")
+    at = F.transform("s", lambda x, i: F.struct(i.alias("pos"), x.alias("shingle"), _part(i, SHINGLE).alias("run")))
+    return t.select("license", F.inline(at), "m", "n")
 
 
 def band(shingle: Column, j: int) -> Column:
@@ -108,12 +114,15 @@ def retrieved(docs: DataFrame, id_col: str, text_col: str, ts: DataFrame, bands:
 
         return F.flatten(F.transform(F.element_at(classes, h["shingle"]), of_class))
 
-    found = texts.select("doc_id", "part", "ws", F.explode(F.array_distinct(F.flatten(F.transform(hits, around)))).alias("k"))
-    found = found.withColumns({"c": F.shiftright("k", _WINDOW_BITS).cast("int"), "w": F.col("k").bitwiseAND(F.lit((1 << _WINDOW_BITS) - 1))})
-    start = F.col("w") * F.get(strides, F.col("c"))
-    piece = F.slice("ws", (start + 1).cast("int"), (F.get(lengths, F.col("c")) + F.get(strides, F.col("c")) - 1).cast("int"))
-    windows = found.select("doc_id", "part", F.get(lengths, F.col("c")).cast("long").alias("span"), "w", start.alias("start"), piece.alias("ws"))
-    windows = written(windows.select("doc_id", "part", "span", "w", "start", shingles(F.col("ws")).alias("s")), "license-windows")
+    def cut(k: Column) -> Column:
+        c, w = F.shiftright(k, _WINDOW_BITS).cast("int"), k.bitwiseAND(F.lit((1 << _WINDOW_BITS) - 1))
+        start, size, step = w * F.get(strides, c), F.get(lengths, c), F.get(strides, c)
+        return F.struct(size.cast("long").alias("span"), w.alias("w"), start.alias("start"), _part(start.cast("int"), size + step - 1).alias("ws"))
+
+    # Windows are cut out before rows are made of them: a row carries its window, not the text.
+    numbers = F.array_distinct(F.flatten(F.transform(hits, around)))
+    found = texts.select("doc_id", "part", F.inline(F.transform(numbers, cut)))
+    windows = written(found.select("doc_id", "part", "span", "w", "start", shingles(F.col("ws")).alias("s")), "license-windows")
 
     keys = windows.select("doc_id", "part", "span", "w", F.inline(_signature(F.col("s"), bands)))
     candidates = keys.join(F.broadcast(sets), ["span", "band", "value"]).select("doc_id", "part", "span", "w", "license").distinct()

@@ -213,11 +213,12 @@ def test_nearest_stops_where_neighbours_stand_out(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(80, 32))
     v = {i: centres[i % 80] + 0.1 * rng.normal(size=32) for i in range(4000)}
+    v = {i: x / np.linalg.norm(x) for i, x in v.items()}
     df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in v.items()], "vec_id long, embedding array<double>")
     out = hash_forest.nearest(df, every=200).collect()
     want = _brute(v, 200, 20, lambda a, b: float(np.dot(a, b)))
     hit = {(q, i) for q, _, i, _ in want} & {(r.query_id, r.vec_id) for r in out}
-    assert len(hit) / len(want) >= 0.9 and np.mean([r.scored for r in out]) < 0.6 * len(v) * hash_forest.TREES / 4
+    assert len(hit) / len(want) >= 0.9 and np.mean([r.scored for r in out]) < 2 * len(v)  # of TREES * len(v)
 
 
 # License scan
