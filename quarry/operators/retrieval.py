@@ -5,19 +5,22 @@ Queries are a DataFrame. A ranking is rows (qid, id, score), a fused one has the
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.text import tokens
 
 RRF_K = 60
 K1, B = 1.2, 0.75
-#: A set of query vectors up to this size is sent to all tasks; a larger one meets the corpus in blocks.
-BROADCAST_ROWS = 10_000
+#: Query vectors that are sent to all tasks at once, and terms that are.
+BROADCAST_ROWS, TERMS_SENT = 10_000, 5_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -39,45 +42,107 @@ def top_k(ranking: DataFrame, k: int) -> DataFrame:
     return ranking.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it has fewer: a small file is one partition, whatever its rows
+    cost to work on."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _nearest(asked, width: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k best of each query in each batch of the corpus, by one matrix product."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q = asked.value
+        for batch in batches:
+            x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+            norm = np.sqrt((x * x).sum(axis=1))
+            at = np.flatnonzero(norm > 0)
+            if not len(at) or not len(qids):
+                continue
+            scores = np.round(q @ (x[at] / norm[at, None]).T, 12)  # equal vectors tie, wherever they stand
+            low = np.partition(scores, max(len(at) - k, 0), axis=1)[:, max(len(at) - k, 0)]
+            r, c = np.nonzero(scores >= low[:, None])
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(r)), batch.column("id").take(pa.array(at[c])), pa.array(scores[r, c])], names=["qid", "id", "score"])
+
+    return run
+
+
 def dense_search(corpus: DataFrame, queries: DataFrame, k: int = 20, filters: Mapping[str, object] | None = None) -> DataFrame:
     """Exact cosine top-k. corpus: id, vector and what filters name; queries: qid, qvector. Filters go to the scan.
 
-    Queries travel to the corpus in blocks of an array each, so the corpus is read once and no pair is a row before
-    its score is among the k best of its block.
+    Queries are sent to the corpus as one matrix, in portions of BROADCAST_ROWS if there are more, and meet it where it
+    is read: no pair is a row before its score is among the k best of its batch. Null and zero vectors, and those of
+    another length than the queries', have no score.
     """
-    n = queries.limit(BROADCAST_ROWS + 1).count()
-    rows = corpus.where(scalar_filter(filters or {})).select("id", "vector")
-    pairs = rows.crossJoin(F.broadcast(queries)) if n <= BROADCAST_ROWS else rows.crossJoin(queries)
-    scored = pairs.select("qid", "id", cosine(F.col("vector"), F.col("qvector")).alias("score"))
-    return top_k(scored.where("score is not null"), k)
+    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("qvector"))).first()
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", corpus.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    whole = lambda v: F.coalesce((F.size(v) == (width or 0)) & F.forall(v, lambda x: x.isNotNull()), F.lit(False))
+    rows = spread(corpus.where(scalar_filter(filters or {})).where(whole(F.col("vector"))).select("id", "vector"))
+    portions = max(1, -(-n // BROADCAST_ROWS))
+    found = []
+    for i in range(portions):
+        part = queries.where(whole(F.col("qvector")) & (F.pmod(F.xxhash64("qid"), F.lit(portions)) == i)).select("qid", "qvector").toArrow()
+        q = np.array(part.column("qvector").to_pylist(), float).reshape(-1, width or 1)
+        norm = np.sqrt((q * q).sum(axis=1))
+        sent = (part.column("qid").combine_chunks().filter(pa.array(norm > 0)), q[norm > 0] / norm[norm > 0, None])
+        found.append(rows.mapInArrow(_nearest(rows.sparkSession.sparkContext.broadcast(sent), width, k), schema))
+    return top_k(reduce(DataFrame.unionByName, found), k)
 
 
 def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B) -> DataFrame:
-    """BM25 top-k. corpus: id, text; queries: qid, qtext. Only the queries' terms are kept of the corpus."""
+    """BM25 top-k. corpus: id, text; queries: qid, qtext.
+
+    Texts are cut into tokens once. Of each only the queries' terms go on, and one row, of token "", that counts the text
+    and its length: so one table by token holds document frequencies and, there, the corpus' size.
+    """
     terms = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("qtext")))).alias("token"))
-    docs = corpus.select("id", tokens(F.col("text")).alias("ts")).select("id", "ts", F.size("ts").alias("dl"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    posting = docs.select("id", "dl", F.explode("ts").alias("token")).join(terms.select("token").distinct(), "token", "left_semi")
-    tf = posting.groupBy("token", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    asked = [r[0] for r in terms.select("token").distinct().limit(TERMS_SENT + 1).collect()]
+    docs = spread(corpus.select("id", "text")).select("id", tokens(F.col("text")).alias("ts"))
+    kept = F.filter("ts", lambda t: t.isin(asked)) if len(asked) <= TERMS_SENT else F.col("ts")
+    posting = docs.select("id", F.size("ts").alias("dl"), F.explode(F.concat(F.array(F.lit("")), kept)).alias("t"))
+    tf = posting.groupBy(F.coalesce("t", F.lit("")).alias("token"), "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    by_token = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("words"))
+    # Not filtered by token, so that both uses read the same shuffle.
+    size = lambda c: F.max(F.when(F.col("token") == "", F.col(c)))
+    stats = by_token.agg(size("df").alias("n"), (size("words") / size("df")).alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = tf.join(df, "token").crossJoin(F.broadcast(stats)).select("token", "id", part.alias("part"))
-    return top_k(weighted.join(terms, "token").groupBy("qid", "id").agg(F.sum("part").alias("score")), k)
+    weighted = tf.join(by_token.drop("words"), "token").crossJoin(F.broadcast(stats)).select("token", "id", part.alias("part"))
+    return top_k(weighted.join(terms, "token").groupBy("qid", "id").agg(F.round(F.sum("part"), 9).alias("score")), k)
 
 
 def rrf(rankings: Iterable[DataFrame], k: int = 20, constant: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of rankings (qid, id, rank): score = sum of 1 / (constant + rank)."""
-    lists = [r.select("qid", "id", "rank") for r in rankings]
-    fused = reduce(DataFrame.unionByName, lists).groupBy("qid", "id").agg(F.sum(F.lit(1.0) / (constant + F.col("rank"))).alias("score"))
-    return top_k(fused, k)
+    # As one column, so that Spark does not try to line the lists' partitions of qid up, which differ in number.
+    lists = [r.select(F.struct("qid", "id").alias("hit"), "rank") for r in rankings]
+    fused = reduce(DataFrame.unionByName, lists).groupBy("hit").agg(F.round(F.sum(F.lit(1.0) / (constant + F.col("rank"))), 12).alias("score"))
+    return top_k(fused.select("hit.*", "score"), k)
 
 
-def hybrid_search(corpus: DataFrame, queries: DataFrame, k: int = 20, filters: Mapping[str, object] | None = None, extra: Iterable[DataFrame] = ()) -> DataFrame:
-    """Dense and BM25 rankings, and those of further query vectors (HyDE), fused. corpus: id, text, vector."""
-    dense = [dense_search(corpus, q, k, filters) for q in (queries.select("qid", "qvector"), *extra)]
-    sparse = bm25_search(corpus.where(scalar_filter(filters or {})), queries, k)
-    return rrf([*dense, sparse], k)
+def hybrid_search(corpus: DataFrame, queries: DataFrame, k: int = 20, filters: Mapping[str, object] | None = None, extra: Iterable[DataFrame] = (), sparse: bool = True) -> DataFrame:
+    """Dense and BM25 rankings, and those of further query vectors (HyDE; qid, qvector), fused.
+
+    corpus: id, text, vector and what filters name. Without a column of texts, or with sparse off, dense rankings alone;
+    without vectors, BM25 alone; with neither an empty result.
+    """
+    kept = corpus.where(scalar_filter(filters or {}))
+    lists = [dense_search(kept, q, k) for q in (queries.select("qid", "qvector"), *extra)] if "vector" in corpus.columns and "qvector" in queries.columns else []
+    if sparse and "text" in corpus.columns and "qtext" in queries.columns:
+        lists.append(bm25_search(kept, queries, k))
+    if not lists:
+        return corpus.limit(0).crossJoin(queries.limit(0)).select("qid", "id", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    return rrf(lists, k)
+
+
+def retrieve(corpus: DataFrame, queries: DataFrame, k: int = 20, top: int = 5, filters: Mapping[str, object] | None = None, hybrid: bool = True, hyde: Callable[[DataFrame], DataFrame] | None = None, reranked: bool = True, dynamic: bool = False) -> DataFrame:
+    """Retrieval as it is configured: BM25 beside dense vectors, vectors of supposed answers (hyde: queries to qid,
+    qvector), reranking. (qid, id, rank, score)."""
+    fused = hybrid_search(corpus, queries, k, filters, [hyde(queries)] if hyde else (), hybrid)
+    if not reranked:
+        return fused.where(F.col("rank") <= top)
+    hits = fused.join(queries.select("qid", "qtext"), "qid").join(corpus.select("id", "text"), "id")
+    return rerank(hits.select("qid", "id", "rank", "qtext", "text"), top, dynamic).select("qid", "id", "rank", "score")
 
 
 def overlap_score(query: Column, text: Column) -> Column:
