@@ -64,10 +64,15 @@ def metric_board(results: DataFrame, definitions: DataFrame) -> DataFrame:
     return done.groupBy("name").agg(F.avg("result").alias("average"), F.count(F.lit(1)).alias("n"))
 
 
+def last_results(results: DataFrame, definitions: DataFrame, records: DataFrame) -> DataFrame:
+    """(record_id, name, result): the last result (by id) of each metric of the given records."""
+    own = results.join(records.select("record_id").distinct(), "record_id", "left_semi").join(definitions, "definition_id")
+    return own.groupBy("record_id", "name").agg(F.max_by("result", "id").alias("result"))
+
+
 def feedback_map(results: DataFrame, definitions: DataFrame, records: DataFrame) -> DataFrame:
     """For each record a map from metric to its last result (by id), rounded to 3 places; null or 0 results are 0."""
-    own = results.join(records.select("record_id"), "record_id", "left_semi").join(definitions, "definition_id")
-    last = own.groupBy("record_id", "name").agg(F.max_by("result", "id").alias("result"))
+    last = last_results(results, definitions, records)
     return last.groupBy("record_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.round(F.coalesce("result", F.lit(0.0)), 3))))).alias("scores"))
 
 
@@ -119,7 +124,7 @@ def last_n(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
 
 
 def records_with_apps(records: DataFrame, apps: DataFrame, limit: int) -> DataFrame:
-    return records.join(F.broadcast(apps), "app_id", "left").orderBy(F.desc("ts"), "record_id").limit(limit)
+    return records.join(apps, "app_id", "left").orderBy(F.desc("ts"), "record_id").limit(limit)
 
 
 def merged_scores(online: DataFrame, offline: DataFrame, limit: int) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from quarry.functions.text import to_number
 
 MAX_BARS, MAX_SLICES = 12, 6
+#: Categories on an axis of series and heatmaps; more are an error, not a cut.
+MAX_CATEGORIES = 10_000
 
 
 def axis(df: DataFrame, x: str | None, y: str | None) -> tuple[str, str]:
@@ -38,7 +40,10 @@ def recommend(df: DataFrame) -> str:
 def series(rows: DataFrame, x: str, group: str, value: str, order: list[str]) -> DataFrame:
     """(group, x, value) for every group and category: the first row of each pair in `order`, 0 where there is none."""
     first = rows.groupBy(group, x).agg(F.min_by(to_number(F.col(value)), F.struct(*order)).alias("value"))
-    grid = rows.select(group).distinct().crossJoin(F.broadcast(rows.select(x).distinct()))
+    xs = [r[0] for r in rows.select(x).distinct().limit(MAX_CATEGORIES + 1).collect()]
+    if len(xs) > MAX_CATEGORIES:
+        raise ValueError(f"{x} has more than {MAX_CATEGORIES} categories, which no chart can show")
+    grid = rows.select(group).distinct().withColumn(x, F.explode(F.array(*map(F.lit, xs)))) if xs else first.select(group, x)
     return grid.join(first, [group, x], "left").select(group, x, F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
@@ -46,14 +51,19 @@ def pivot(rows: DataFrame, y: str, x: str, value: str, columns: list | None = No
     return rows.groupBy(y).pivot(x, columns).sum(value)
 
 
-def cells(rows: DataFrame, x: str, y: str, value: str) -> DataFrame:
-    """Heatmap cells (xi, yi, value) with places in sorted order, and the largest value."""
-    place = lambda c: F.dense_rank().over(Window.orderBy(c)) - 1
-    summed = rows.groupBy(x, y).agg(F.sum(value).alias("value"))
-    xs = summed.select(x).distinct().withColumn("xi", place(x))
-    ys = summed.select(y).distinct().withColumn("yi", place(y))
+def cells(rows: DataFrame, x: str, y: str, value: str, order: list[str]) -> DataFrame:
+    """Heatmap cells (xi, yi, value) with places in the order in which `order` first shows a category, and the largest
+    value. Places are numbered over the categories, a bounded number."""
+    summed = rows.groupBy(x, y).agg(F.sum(value).alias("value"), F.min(F.struct(*order)).alias("_at"))
+
+    def places(c: str, name: str) -> DataFrame:
+        firsts = summed.groupBy(c).agg(F.min("_at").alias("_at")).orderBy("_at", c).limit(MAX_CATEGORIES + 1).select(c).collect()
+        if len(firsts) > MAX_CATEGORIES:
+            raise ValueError(f"{c} has more than {MAX_CATEGORIES} categories, which no chart can show")
+        return rows.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(firsts)], f"`{c}` {dict(rows.dtypes)[c]}, {name} int")
+
     most = summed.agg(F.max("value").alias("most"))
-    return summed.join(F.broadcast(xs), x).join(F.broadcast(ys), y).crossJoin(F.broadcast(most)).select("xi", "yi", "value", "most")
+    return summed.join(F.broadcast(places(x, "xi")), x).join(F.broadcast(places(y, "yi")), y).crossJoin(F.broadcast(most)).select("xi", "yi", "value", "most")
 
 
 def correlations(df: DataFrame) -> DataFrame:

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.functions.text import content_type, doc_id, image_urls_in, normalized_formula, normalized_table
 
 # Sizes and separators of the splitters, limits of the merge and of stored texts.
 CHUNK, OVERLAP, PARENT, PARENT_OVERLAP = 512, 64, 2048, 128
-SEPARATORS = ("\n\n", "\n", "。", ".", "；", ";", "，", ",", " ")
+SEPARATORS = ("\n\n", "\n", "。", "；", "，", " ")
 SHORT, MERGED_MAX, STORED_MAX, EMBED_MAX, MIN_TEXT = 200, 800, 65000, 6000, 10
 DIM = 64
 WORDS = re.compile(r"\w+")
@@ -31,13 +35,16 @@ def split_text(text: str, size: int = CHUNK, overlap: int = OVERLAP, separators:
     for p in parts:
         units += [p] if len(p) <= size else split_text(p, size, 0, finer)
     out: list[str] = []
-    held: list[str] = []
+    held: deque[str] = deque()
+    length = -len(sep)  # of the held units, joined
     for u in units:
-        if held and len(sep.join([*held, u])) > size:
+        more = len(sep) + len(u)
+        if held and length + more > size:
             out.append(sep.join(held))
-            while held and (len(sep.join(held)) > overlap or len(sep.join([*held, u])) > size):
-                held.pop(0)
+            while held and (length > overlap or length + more > size):
+                length -= len(sep) + len(held.popleft())
         held.append(u)
+        length += more
     if held:
         out.append(sep.join(held))
     return [x for x in (o.strip() for o in out) if x]
@@ -100,24 +107,37 @@ def merge_short(chunks: DataFrame, short: int = SHORT, most: int = MERGED_MAX) -
     """Folds each document's chunks from the left: neighbours merge if one is short, both fit into `most` and their
     parents are the same (or one has none). Merged texts are joined by a blank line and renumbered.
 
-    chunks: doc_id, chunk_index, parent_index (may be null), text. A document's chunks are gathered; it is one text.
+    chunks: doc_id, chunk_index, parent_index (may be null), text. Chunks pass sorted by document, and a task holds a
+    batch and the chunk that may still grow, whatever a document's length.
     """
-    listed = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "parent_index", "text"))).alias("cs"))
-    item = "struct<chunk_index:int,parent_index:int,text:string>"
-    empty = F.array().cast(f"array<{item}>")
-
-    def add(done: Column, c: Column) -> Column:
-        last = F.element_at(done, -1)
-        parent = last["parent_index"].isNull() | c["parent_index"].isNull() | (last["parent_index"] == c["parent_index"])
-        fits = F.length(last["text"]) + F.length(c["text"]) <= most
-        small = (F.length(last["text"]) < short) | (F.length(c["text"]) < short)
-        joined = F.struct(last["chunk_index"].alias("chunk_index"), last["parent_index"].alias("parent_index"), F.concat(last["text"], F.lit("\n\n"), c["text"]).alias("text"))
-        head = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when((F.size(done) > 0) & F.coalesce(parent & fits & small, F.lit(False)), F.concat(head, F.array(joined))).otherwise(F.concat(done, F.array(c)))
-
-    cast = F.transform("cs", lambda c: F.struct(c["chunk_index"].cast("int").alias("chunk_index"), c["parent_index"].cast("int").alias("parent_index"), c["text"].alias("text")))
-    folded = listed.select("doc_id", F.filter(F.aggregate(cast, empty, add), lambda c: F.lit(True)).alias("cs"))
-    return folded.select("doc_id", F.posexplode("cs").alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.parent_index", "c.text")
+    rows = chunks.select("doc_id", "chunk_index", F.col("parent_index").cast("int").alias("parent_index"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, nth, parent, text, held = None, 0, None, "", False
+        for batch in _then_none(batches):
+            done: list[tuple] = []
+            columns = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "parent_index", "text")), strict=True) if batch is not None else ()
+            for d, p, t in columns:
+                if held and d == doc and (parent is None or p is None or parent == p) and len(text) + len(t) <= most and (len(text) < short or len(t) < short):
+                    text += "\n\n" + t
+                    continue
+                if held:
+                    done.append((doc, nth, parent, text))
+                nth = nth + 1 if held and d == doc else 0
+                doc, parent, text, held = d, p, t, True
+            if batch is None and held:
+                done.append((doc, nth, parent, text))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
+
+    result = f"doc_id {dict(rows.dtypes)['doc_id']}, chunk_index int, parent_index int, text string"
+    schema = to_arrow_schema(T.StructType.fromDDL(result))
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index").mapInArrow(run, result)
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def chunk_records(chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -127,7 +147,7 @@ def chunk_records(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     text = F.left("text", F.lit(STORED_MAX))
     return rows.select(
         F.concat_ws("_", "doc_id", "chunk_index").alias("id"), "doc_id", "doc_name", page.cast("long").alias("page_number"), F.col("chunk_index").cast("long").alias("chunk_index"),
-        text.alias("text"), F.to_json(image_urls_in(F.col("text"))).alias("image_urls"), hashed_embedding(F.col("text")).alias("embedding"),
+        text.alias("text"), (F.left("parent_text", F.lit(STORED_MAX)) if "parent_text" in rows.columns else F.lit("")).alias("parent_text"), F.to_json(image_urls_in(F.col("text"))).alias("image_urls"), hashed_embedding(F.col("text")).alias("embedding"),
     )
 
 
@@ -175,6 +195,67 @@ def aligned_originals(docs: DataFrame, kind: str) -> DataFrame:
     return d.select("doc_id", F.concat(body, appendix).alias("markdown"))
 
 
+#: Splitters by name. Each takes docs (doc_id, text) and gives doc_id, chunk_index, text and maybe more.
+CHUNKERS: dict[str, Callable[[DataFrame], DataFrame]] = {"fixed": chunked, "parent_child": parent_child, "semantic": semantic_chunks}
+
+
+def chunker(strategy: str | None) -> Callable[[DataFrame], DataFrame]:
+    """The splitter of a strategy; fixed sizes for an unknown one."""
+    return CHUNKERS.get(strategy or "fixed", chunked)
+
+
+def rewritten_images(docs: DataFrame, base_url: str, title: str = "Document images") -> DataFrame:
+    """docs (doc_id, markdown, images) with references to images as URLs below base_url.
+
+    images: array of (name, summary). References `![](images/name)` and `![](name)` get the summary as their text;
+    images without a reference are appended under a heading.
+    """
+    url = lambda x: F.concat(F.lit(base_url.rstrip("/") + "/images/"), F.col("doc_id").cast("string"), F.lit("/"), x["name"])
+    summary = lambda x: F.coalesce(x["summary"], F.lit(""))
+    refs = lambda x: (F.concat(F.lit("images/"), x["name"]), x["name"])
+
+    def put(text: Column, x: Column) -> Column:
+        for ref in refs(x):
+            text = F.replace(text, F.concat(F.lit("![]("), ref, F.lit(")")), F.concat(F.lit("!["), summary(x), F.lit("]("), ref, F.lit(")")))
+            text = F.replace(text, F.concat(F.lit("]("), ref, F.lit(")")), F.concat(F.lit("]("), url(x), F.lit(")")))
+        return text
+
+    images = F.coalesce("images", F.array().cast(docs.schema["images"].dataType))
+    known = lambda x: F.col("markdown").contains(F.concat(F.lit("]("), refs(x)[0], F.lit(")"))) | F.col("markdown").contains(F.concat(F.lit("]("), refs(x)[1], F.lit(")")))
+    rest = F.transform(F.filter(images, lambda x: ~known(x)), lambda x: F.concat(F.lit("!["), summary(x), F.lit("]("), url(x), F.lit(")")))
+    appendix = F.when(F.size(rest) > 0, F.concat(F.lit(f"\n\n## {title}\n"), F.array_join(rest, "\n\n"))).otherwise(F.lit(""))
+    return docs.select("doc_id", F.concat(F.aggregate(images, F.col("markdown"), put), appendix).alias("markdown"))
+
+
+_FILE = "struct<md_content:string,md:string,blocks:array<struct<page_number:int>>,content_list:string>"
+
+
+def decoded_responses(responses: DataFrame) -> DataFrame:
+    """Parse responses (doc_id, raw JSON) as (doc_id, markdown, pages, content_list), whatever their form.
+
+    `results` by file name: the first file with text; `results` as a list: its first entry, with the pages of its
+    blocks; else `md` or `md_content` of the response; else the response itself. Results without text give "".
+    """
+    results = F.get_json_object("raw", "$.results")
+    files = F.map_values(F.from_json(results, f"map<string,{_FILE}>"))
+    listed = F.get(F.from_json(results, f"array<{_FILE}>"), F.lit(0))
+    text = lambda x, first, second: F.coalesce(F.nullif(x[first], F.lit("")), x[second], F.lit(""))
+    of_file = F.get(F.filter(files, lambda x: text(x, "md_content", "md") != ""), F.lit(0))
+    flat = F.coalesce(F.get_json_object("raw", "$.md"), F.get_json_object("raw", "$.md_content"), F.col("raw"))
+    keyed, as_list = F.coalesce(results.startswith("{"), F.lit(False)), F.coalesce(results.startswith("[") & (results != "[]"), F.lit(False))
+    markdown = F.when(keyed, text(of_file, "md_content", "md")).when(as_list, text(listed, "md", "md_content")).otherwise(flat)
+    pages = F.when(as_list, F.transform(listed["blocks"], lambda b: F.coalesce(b["page_number"], F.lit(0))))
+    return responses.select("doc_id", markdown.alias("markdown"), F.coalesce(pages, F.array().cast("array<int>")).alias("pages"), F.when(keyed, of_file["content_list"]).alias("content_list"))
+
+
+def joined_pages(parts: DataFrame) -> DataFrame:
+    """(doc_id, text, pages) of a file that a reader gave in parts (doc_id, part, text, page_label): texts joined by a
+    blank line, labels as numbers, 0 where they are none."""
+    page = F.coalesce(F.col("page_label").try_cast("int"), F.lit(0))
+    listed = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", F.coalesce("text", F.lit("")).alias("text"), page.alias("page")))).alias("p"))
+    return listed.select("doc_id", F.array_join("p.text", "\n\n").alias("text"), F.col("p.page").alias("pages"))
+
+
 def ingest_records(uploads: DataFrame) -> DataFrame:
     """Document records of uploads (doc_name, ...): id from the name, type from its extension, queued."""
     return uploads.withColumns({"doc_id": doc_id(F.col("doc_name")), "content_type": content_type(F.col("doc_name")), "status": F.lit("queued")})

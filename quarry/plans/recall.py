@@ -89,3 +89,23 @@ def pruned(catalog: Catalog, by_table: dict[str, list[str]], selection: object)
         if name in selection and (kept := [c for c in own if c in selection[name] or c in keys]):
             out[name] = kept
     return out or by_table
+
+
+def pruned_metrics(metrics: list[str], selection: object) -> list[str]:
+    """The metrics that a selection (a list of names) keeps; an invalid or empty selection keeps all."""
+    if not isinstance(selection, list) or not selection:
+        return metrics
+    return [m for m in metrics if m in selection]
+
+
+def prompt_context(catalog: Catalog, by_table: dict[str, list[str]], examples: dict[str, list[str]], metrics: list[str], most: int = 5) -> str:
+    """The part of the catalog a planner is told: tables, their columns with up to `most` example values, metrics."""
+    lines = []
+    for name, columns in by_table.items():
+        table = catalog.table(name)
+        lines.append(f"table {name}: {table.description}")
+        for c in table.columns:
+            if c.name in columns:
+                shown = [*examples.get(f"{name}.{c.name}", []), *c.examples][:most]
+                lines.append(f"  {c.name} {c.type} {c.role}" + (f" -> {c.ref_table}.{c.ref_column}" if c.ref_table else "") + (f" e.g. {', '.join(shown)}" if shown else ""))
+    return "\n".join([*lines, *(f"metric {m.name} = {m.expression} of {m.table_name}" for m in catalog.metrics if m.name in metrics)])

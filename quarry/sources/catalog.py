@@ -7,8 +7,9 @@ the merge of two snapshots and the lookups work on.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
@@ -150,11 +151,26 @@ def merge_plan(old: DataFrame, new: DataFrame, key: Iterable[str], compared: Ite
     return o.join(n, key, "full_outer").select(*key, action.alias("action"))
 
 
-def merged(old: DataFrame, new: DataFrame, key: Iterable[str]) -> DataFrame:
-    """new's rows, with what only old has left out: the state after the merge."""
-    key = list(key)
-    kept = old.join(new, key, "left_semi").join(new, key, "left_anti")
-    return kept.unionByName(new)
+def merged(old: DataFrame, new: DataFrame, key: Iterable[str], delete_missing: bool = True) -> DataFrame:
+    """The state after the merge: new's rows, and unless what is missing is deleted, the rows that only old has."""
+    if delete_missing:
+        return new
+    return old.join(new, list(key), "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def cascaded(links: DataFrame, owners: DataFrame, column: str, key: str) -> DataFrame:
+    """Links whose owner (column of links, key of owners) is still there."""
+    return links.join(owners.select(F.col(key).alias(column)).distinct(), column, "left_semi")
+
+
+def applied(old: Mapping[str, DataFrame], new: Mapping[str, DataFrame], keys: Mapping[str, list[str]], compared: Mapping[str, list[str]]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables after an incremental build, counts by table and action). The table `links` follows its metrics and
+    columns: those of deleted ones go with them."""
+    plans = [merge_counts(merge_plan(old[t], new[t], keys[t], compared[t])).withColumn("table", F.lit(t)) for t in keys]
+    after = {t: merged(old[t], new[t], keys[t]) for t in keys}
+    links = merged(old["links"], new["links"], new["links"].columns)
+    after["links"] = cascaded(cascaded(links, after["metrics"], "metric", "name"), after["columns"], "column_id", "id")
+    return after, reduce(DataFrame.unionByName, plans).select("table", "action", "n")
 
 
 def merge_counts(plan: DataFrame) -> DataFrame:

@@ -32,6 +32,12 @@ def rate(events: DataFrame, width: str, seconds: float, value: Column | None = N
     return by.select(F.col("w.start").alias("start"), *labels, (F.col("n") / seconds).alias("rate"))
 
 
+def increase(events: DataFrame, hit: Column, width: str, slide: str, *labels: str) -> DataFrame:
+    """(start, labels..., increase): how many hits each sliding window has; windows without any are not there."""
+    by = events.where(hit).groupBy(F.window("ts", width, slide).alias("w"), *labels).agg(F.count(F.lit(1)).alias("increase"))
+    return by.select(F.col("w.start").alias("start"), *labels, "increase")
+
+
 def histogram(events: DataFrame, value: str, width: str, bounds: tuple[float, ...] = BUCKETS) -> DataFrame:
     """(start, total, counts): cumulative counts of values up to each bound."""
     below = F.array(*[F.count_if(F.col(value) <= b) for b in bounds])
@@ -67,3 +73,16 @@ def sessions(events: DataFrame, key: str, gap: str = "30 minutes") -> DataFrame:
 def stream_of(df: DataFrame, late: str = "10 minutes") -> DataFrame:
     """A stream with `ts` as event time and a bound on lateness."""
     return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
+def deduplicated(stream: DataFrame, *keys: str, late: str = "10 minutes") -> DataFrame:
+    """The first event of each key; state is kept as long as a copy may come late."""
+    return stream_of(stream, late).dropDuplicatesWithinWatermark(list(keys))
+
+
+def matched(left: DataFrame, right: DataFrame, key: str, within: str, late: str = "10 minutes") -> DataFrame:
+    """Events (key, ts, ...) of a stream with those of another that follow within a time; state expires with it."""
+    a = stream_of(left, late).alias("a")
+    b = stream_of(right, late).select(F.col(key).alias("_key"), F.col("ts").alias("other_ts"), *[F.col(c).alias(f"other_{c}") for c in right.columns if c not in (key, "ts")]).alias("b")
+    near = (F.col(f"a.{key}") == F.col("_key")) & (F.col("other_ts") >= F.col("a.ts")) & (F.col("other_ts") <= F.col("a.ts") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, near).drop("_key")

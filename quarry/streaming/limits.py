@@ -115,10 +115,14 @@ def breaker_log(calls: DataFrame, key: str = "target", most: int = FAILURES, res
 
 
 def limited_stream(hits: DataFrame, key: str, most: int = MAX_REQUESTS, window: float = WINDOW_S) -> DataFrame:
-    """A stream of hits (key, id, ts) with `allowed`; the state of a key is its accepted times inside the window."""
+    """A stream of hits (key, id, ts) with `allowed`; the state of a key is its accepted times inside the window, and goes
+    when no hit comes for twice that long."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["_t", "id"], kind="stable")
         allowed = []
@@ -128,12 +132,13 @@ def limited_stream(hits: DataFrame, key: str, most: int = MAX_REQUESTS, window:
             if allowed[-1]:
                 held.append(t)
         state.update((held,))
+        state.setTimeoutDuration(int(2000 * window))
         yield pd.DataFrame({key: rows[key], "id": rows["id"], "allowed": allowed})
 
     kind = dict(hits.dtypes)
     timed = hits.select(key, "id", _seconds().alias("_t"))
     schema = f"{key} {kind[key]}, id {kind['id']}, allowed boolean"
-    return timed.groupBy(key).applyInPandasWithState(step, schema, "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return timed.groupBy(key).applyInPandasWithState(step, schema, "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def with_retry(call: Callable[[], object], attempts: int = 2, base: float = 0.5, most: float = 8.0, retry_on: tuple = (Exception,), sleep: Callable[[float], None] = time.sleep, rand: Callable[[], float] = random.random):
