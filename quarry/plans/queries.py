@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import aggregates as A
+from quarry.operators import answers as W
 from quarry.operators import charts, etl
 from quarry.operators import retrieval as R
 from quarry.plans import guard
 from quarry.plans.questions import QUESTIONS
 from quarry.plans.semantic import compile_spec
 from quarry.sources import catalog as C
+from quarry.sources import records as K
 from quarry.sources.star import STAR, read
 from quarry.streaming import alerts, limits
 
@@ -41,9 +43,9 @@ def _ask(name: str) -> Query:
     tables = {t.name for t in STAR.tables}
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        context = guard.SessionContext("admin")
-        guard.register_views(spark, {t: read(spark, sf_dir, t) for t in tables}, context, guard.Policy())
-        return guard.guarded(spark, compile_spec(STAR, spec), context, limit=1000)
+        context, own = guard.SessionContext("admin"), guard.caller_session(spark)
+        guard.register_views(own, {t: read(own, sf_dir, t) for t in tables}, context, guard.Policy())
+        return guard.guarded(own, compile_spec(STAR, spec), context, limit=None)  # the whole answer, as its SQL says
 
     run.__name__ = name
     return run
@@ -72,12 +74,12 @@ def q18_two_facts_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _as(role: str, sql: str, **attributes) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        context = guard.SessionContext(role, **attributes)
-        nation_of = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-        issues = read(spark, sf_dir, "orders").join(nation_of, F.col("o_custkey") == F.col("c_custkey"))
+        context, own = guard.SessionContext(role, **attributes), guard.caller_session(spark)
+        nation_of = read(own, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+        issues = read(own, sf_dir, "orders").join(nation_of, F.col("o_custkey") == F.col("c_custkey"))
         policy = guard.Policy(owner_domain={"issues": "c_nationkey"}, business_line={"issues": "c_mktsegment"}, status={"issues": ("o_orderstatus", ("F",))}, denied={"issues": ("o_totalprice",)})
-        guard.register_views(spark, {"issues": issues}, context, policy)
-        return guard.guarded(spark, sql, context)
+        guard.register_views(own, {"issues": issues}, context, policy)
+        return guard.guarded(own, sql, context)
 
     return run
 
@@ -93,9 +95,9 @@ for _role, _attr, _where in (("engineer", {"owner_domain_id": 7}, "c_nationkey =
 
 def _sql(name: str, text: str, oracle: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        context = guard.SessionContext("admin")
-        guard.register_views(spark, {t.name: read(spark, sf_dir, t.name) for t in STAR.tables}, context, guard.Policy())
-        return guard.guarded(spark, text, context, limit=None)  # the whole result, as its SQL says
+        context, own = guard.SessionContext("admin"), guard.caller_session(spark)
+        guard.register_views(own, {t.name: read(own, sf_dir, t.name) for t in STAR.tables}, context, guard.Policy())
+        return guard.guarded(own, text, context, limit=None)  # the whole result, as its SQL says
 
     QUERIES[name], ORACLES[name] = run, oracle or text
 
@@ -115,6 +117,17 @@ _sql("rel_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 F
 _sql("rel_dates", "SELECT EXTRACT(YEAR FROM o_orderdate) AS y, QUARTER(o_orderdate) AS q, COUNT(DISTINCT o_custkey) AS n FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01 00:00:00' AND TIMESTAMP '1997-12-31 00:00:00' GROUP BY 1, 2")
 
 
+# The default limit, of rows whose order a query fixes.
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM (SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey) o ORDER BY o_orderkey LIMIT 100")
+def default_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query without a limit gets the default one."""
+    own = guard.caller_session(spark)
+    guard.register_views(own, {"orders": read(own, sf_dir, "orders")}, guard.SessionContext("admin"), guard.Policy())
+    return guard.guarded(own, "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey", guard.SessionContext("admin"))
+
+
 # Lookups, pages, joins, sequences.
 
 
@@ -195,8 +208,8 @@ def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _page("metric_board", "SELECT r_name AS name, avg(value) AS average, count(*) AS n FROM events JOIN region ON event_id % 5 = r_regionkey WHERE event_type <> 'view' GROUP BY 1", lambda s, d: A.metric_board(_results(s, d), _definitions(s, d)))
-_page("feedback_map_entries", "SELECT user_id AS record_id, r_name AS name, arg_max(value, event_id) AS result FROM events JOIN region ON event_id % 5 = r_regionkey WHERE user_id % 10 = 0 GROUP BY 1, 2",
-      lambda s, d: _results(s, d).where("record_id % 10 = 0").join(_definitions(s, d), "definition_id").groupBy("record_id", "name").agg(F.max_by("result", "id").alias("result")))
+_page("feedback_map_entries", "SELECT user_id AS record_id, r_name AS name, arg_max(value, event_id) AS result FROM events JOIN region ON event_id % 5 = r_regionkey GROUP BY 1, 2",
+      lambda s, d: A.last_results(_results(s, d), _definitions(s, d), _results(s, d)))
 _page("feedback_map", "SELECT user_id AS record_id, r_name AS name, round(coalesce(arg_max(value, event_id), 0), 3) AS result FROM events JOIN region ON event_id % 5 = r_regionkey GROUP BY 1, 2",
       lambda s, d: A.feedback_map(_results(s, d), _definitions(s, d), _results(s, d)).select("record_id", F.explode("scores").alias("name", "result")))
 _page("sql_scores", "SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END AS sql_valid, CASE WHEN event_type = 'error' THEN 0.0 WHEN value > 10 THEN 1.0 ELSE 0.5 END AS has_data FROM events",
@@ -244,6 +257,22 @@ SELECT qid, CAST(coalesce(min(rn) FILTER (rn >= 1 AND rn < least(10, n) AND (gap
       lambda s, d: R.cliff_cut(read(s, d, "events").select(F.col("user_id").alias("qid"), F.col("event_id").alias("id"), (F.col("value") / 100).alias("score"))))
 
 
+_HYBRID = f"""WITH ids AS (SELECT vec_id FROM embeddings JOIN documents ON vec_id = doc_id), dr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+ SELECT q.vec_id AS qid, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) AS score FROM embeddings q JOIN benchmark ON q.vec_id = item_id, embeddings e WHERE e.vec_id IN (FROM ids)) QUALIFY rank <= 20),
+br AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(score, 9) AS score FROM {_BM25.replace('FROM documents', 'FROM documents JOIN embeddings ON vec_id = doc_id')} WHERE qid IN (SELECT vec_id FROM embeddings)) QUALIFY rank <= 20)
+SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, score FROM (
+ SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT * FROM dr UNION ALL SELECT * FROM br) GROUP BY 1, 2) QUALIFY rank <= 20"""
+
+
+@query(_HYBRID)
+def hybrid_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense and BM25 rankings of documents that have a vector, fused."""
+    texts, questions = _texts(spark, sf_dir)
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = questions.join(vectors.withColumnRenamed("id", "qid").withColumnRenamed("vector", "qvector"), "qid")
+    return R.hybrid_search(texts.join(vectors, "id"), asked, 20).select("qid", "id", "rank", "score")
+
+
 @query()
 def hybrid_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 and hashed embeddings of whole texts fused, reranked by overlap and cut at the first cliff."""
@@ -255,7 +284,7 @@ def hybrid_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rerank(hits.select("qid", "id", "rank", "qtext", "text"), 10, dynamic=True).select("qid", "id", "rank", "score")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey <= 20 AND l_partkey <= 200), w(node, hop) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, hop + 1 FROM w JOIN e ON src = node WHERE hop < 2)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem), w(node, hop) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, hop + 1 FROM w JOIN e ON src = node WHERE hop < 2)
 SELECT src, dst, 'supplies' AS label, CAST(min(hop) + 1 AS INTEGER) AS hop FROM w JOIN e ON src = node WHERE hop < 2 GROUP BY 1, 2 ORDER BY hop, src, dst LIMIT 20""")
 def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("supplies").alias("label"))
@@ -270,7 +299,7 @@ _page("cache_keys", "SELECT doc_id, md5(concat_ws('|', text, 'doc,graph', lang,
 
 _page("doc_ids", "SELECT doc_id AS id, substring(md5(source || doc_id), 1, 16) AS doc_id FROM documents WHERE len(trim(text)) >= 10",
       lambda s, d: read(s, d, "documents").where(F.length(F.trim("text")) >= etl.MIN_TEXT).select(F.col("doc_id").alias("id"), X.doc_id(F.concat("source", F.col("doc_id").cast("string"))).alias("doc_id")))
-_page("pii_counts", r"SELECT doc_id, len(regexp_extract_all(text, '\d{15,19}')) AS id_or_card, len(regexp_extract_all(text, '1[3-9]\d{9}')) AS phone, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}')) AS email FROM documents",
+_page("pii_counts", r"SELECT doc_id, len(regexp_extract_all(text, '\b\d{15,19}\b')) AS id_or_card, len(regexp_extract_all(text, '\b1[3-9]\d{9}\b')) AS phone, len(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b')) AS email FROM documents",
       lambda s, d: read(s, d, "documents").select("doc_id", *[c.alias(n) for n, c in guard.pii_counts(F.col("text")).items()]))
 _page("stripped_pages", r"SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\s+', '', 'g') AS body FROM pages", lambda s, d: read(s, d, "pages").select("page_id", X.normalized_table(F.col("html")).alias("body")))
 _page("link_urls", """SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS links FROM pages""",
@@ -284,6 +313,17 @@ def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.chunked(read(spark, sf_dir, "documents"))
 
 
+@query("""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, text FROM conversations),
+r AS (SELECT conv_id, k, 0 AS idx, text AS acc FROM t WHERE k = 1
+ UNION ALL SELECT conv_id, j, CASE WHEN m THEN idx ELSE idx + 1 END, CASE WHEN m THEN acc || chr(10) || chr(10) || x ELSE x END FROM (
+  SELECT r.conv_id, t.k AS j, idx, acc, t.text AS x, (len(acc) < 200 OR len(t.text) < 200) AND len(acc) + len(t.text) <= 800 AS m FROM r JOIN t ON r.conv_id = t.conv_id AND t.k = r.k + 1))
+SELECT conv_id AS doc_id, idx AS chunk_index, CAST(NULL AS INTEGER) AS parent_index, arg_max(acc, k) AS text FROM r GROUP BY conv_id, idx""")
+def merged_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short turns of a conversation merged as a document's short chunks are."""
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), F.lit(None).cast("int").alias("parent_index"), "text")
+    return etl.merge_short(turns)
+
+
 @query()
 def merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.merge_short(etl.chunked(read(spark, sf_dir, "documents"), 256, 0).withColumn("parent_index", F.lit(None).cast("int")))
@@ -341,8 +381,10 @@ _page("link_changes", "SELECT p_partkey, p_brand, 'insert' AS action FROM (SELEC
 _page("chart_series", "SELECT n_name, o_orderpriority, coalesce(v, 0) AS value FROM (SELECT DISTINCT n_name FROM nation) CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) LEFT JOIN (SELECT n_name, o_orderpriority, arg_min(o_totalprice, o_orderkey) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) USING (n_name, o_orderpriority)",
       lambda s, d: charts.series(read(s, d, "orders").join(read(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")), "o_orderpriority", "n_name", "o_totalprice", ["o_orderkey"]))
 _page("chart_pivot", "SELECT l_returnflag, sum(l_quantity) FILTER (l_linestatus = 'F') AS F, sum(l_quantity) FILTER (l_linestatus = 'O') AS O FROM lineitem GROUP BY 1", lambda s, d: charts.pivot(read(s, d, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity", ["F", "O"]))
-_page("chart_cells", "SELECT CAST(dense_rank() OVER (ORDER BY l_linestatus) - 1 AS INTEGER) AS xi, CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS INTEGER) AS yi, value, max(value) OVER () AS most FROM (SELECT l_linestatus, l_returnflag, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)",
-      lambda s, d: charts.cells(read(s, d, "lineitem"), "l_linestatus", "l_returnflag", "l_quantity"))
+_page("chart_cells", """WITH c AS (SELECT l_linestatus AS x, l_returnflag AS y, sum(l_quantity) AS value, min((l_orderkey, l_linenumber, l_partkey)) AS seen FROM lineitem GROUP BY 1, 2),
+xs AS (SELECT x, CAST(row_number() OVER (ORDER BY min(seen), x) - 1 AS INTEGER) AS xi FROM c GROUP BY 1), ys AS (SELECT y, CAST(row_number() OVER (ORDER BY min(seen), y) - 1 AS INTEGER) AS yi FROM c GROUP BY 1)
+SELECT xi, yi, value, max(value) OVER () AS most FROM c JOIN xs USING (x) JOIN ys USING (y)""",
+      lambda s, d: charts.cells(read(s, d, "lineitem"), "l_linestatus", "l_returnflag", "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey"]))
 _page("chart_correlations", "SELECT a, b, round(c, 6) AS corr FROM (SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, corr(l_quantity, l_extendedprice) AS c FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', corr(l_quantity, l_discount) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_discount', corr(l_extendedprice, l_discount) FROM lineitem)",
       lambda s, d: charts.correlations(read(s, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount")).withColumn("corr", F.round("corr", 6)))
 _page("first_seen", "SELECT event_type, CAST(row_number() OVER (ORDER BY m) - 1 AS INTEGER) AS idx FROM (SELECT event_type, min(event_id) AS m FROM events GROUP BY 1)", lambda s, d: A.distinct_first_seen(read(s, d, "events"), "event_type", ["event_id"]))
@@ -375,7 +417,11 @@ _page("hits_in_window", "SELECT event_id, count(*) OVER (PARTITION BY user_id OR
       lambda s, d: limits.hits_in_window(_events(s, d), "user_id").select("event_id", "n"))
 
 
-@query()
+@query("""WITH RECURSIVE h AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, k, [t] AS held, true AS allowed FROM h WHERE k = 1
+ UNION ALL SELECT user_id, event_id, j, CASE WHEN len(near) < 3 THEN list_append(near, t) ELSE near END, len(near) < 3 FROM (
+  SELECT h.user_id, h.event_id, h.k AS j, h.t, list_filter(r.held, lambda x: x > h.t - 3600000000) AS near FROM r JOIN h ON r.user_id = h.user_id AND h.k = r.k + 1))
+SELECT r.user_id, event_id AS id, ts, allowed FROM r JOIN events USING (event_id)""")
 def limiter_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.limited(_events(spark, sf_dir).select("user_id", F.col("event_id").alias("id"), "ts"), "user_id", 3, 3600.0)
 
@@ -430,3 +476,74 @@ def value_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall_values(spark.createDataFrame([("building machinery", 0)], "keyword string, pos int"), C.distinct_values(read(spark, sf_dir, "customer"), "customer", "c_mktsegment"))
 
 
+# Answers from channels: user turns stand for document hits, assistant turns for graph records, system turns for SQL.
+
+
+def _channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    turns = read(spark, sf_dir, "conversations").withColumnsRenamed({"conv_id": "qid", "turn": "rank"})
+    hits = turns.where("role = 'user'").select("qid", "rank", "text", F.when(F.col("rank") % 2 == 0, "").otherwise(F.col("text")).alias("parent_text"), F.col("role").alias("doc_name"), F.col("rank").alias("page_number"))
+    return hits, turns.where("role = 'assistant'").select("qid", "rank", F.to_json(F.struct("text")).alias("record")), turns.where("role = 'system'").groupBy("qid").agg(F.min("text").alias("answer"))
+
+
+_page("evidence_parts", """WITH d AS (SELECT conv_id AS qid, string_agg('[Source: user' || CASE WHEN turn > 0 THEN ', page ' || turn ELSE '' END || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS d,
+ count(*) FILTER (len(text) > 0) AS n, sum(len(left(text, 500))) AS c FROM conversations WHERE role = 'user' GROUP BY 1),
+g AS (SELECT conv_id AS qid, '[' || string_agg(CAST(json_object('text', text) AS VARCHAR), ', ' ORDER BY turn) || ']' AS g FROM conversations WHERE role = 'assistant' GROUP BY 1),
+s AS (SELECT conv_id AS qid, min(text) AS s FROM conversations WHERE role = 'system' GROUP BY 1 HAVING min(text) <> '')
+SELECT qid, concat_ws(chr(10), left(d, 1000), left(g, 1000), left(s, 1000)) AS evidence, len(concat_ws(chr(10) || chr(10), '### Documents' || chr(10) || d, '### Knowledge graph' || chr(10) || g, '### Operational data' || chr(10) || s)) AS n_sources,
+ CAST(coalesce(n, 0) + CASE WHEN g IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_chunks, coalesce(c, 0) + coalesce(len(left(g, 2000)), 0) AS n_chunk_chars FROM d FULL JOIN g USING (qid) FULL JOIN s USING (qid)""",
+      lambda s, d: W.evidence(*_channels(s, d)).select("qid", "evidence", F.length("sources").cast("long").alias("n_sources"), F.size("chunks").alias("n_chunks"), F.length(F.array_join("chunks", "")).cast("long").alias("n_chunk_chars")))
+_page("channel_states", """WITH q AS (SELECT DISTINCT conv_id AS qid FROM conversations), u AS (SELECT conv_id AS qid, role, count(*) AS n FROM conversations GROUP BY 1, 2)
+SELECT qid, 'doc_rag' AS channel, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN 'ok' ELSE 'empty' END AS status FROM q LEFT JOIN (SELECT * FROM u WHERE role = 'user') USING (qid)
+UNION ALL SELECT qid, 'graph_rag', 0, 'failed' FROM q
+UNION ALL SELECT qid, 'nl2sql', CASE WHEN n > 0 THEN 1 ELSE 0 END, CASE WHEN n > 0 THEN 'ok' ELSE 'skipped' END FROM q LEFT JOIN (SELECT * FROM u WHERE role = 'system') USING (qid)""",
+      lambda s, d: W.channel_status(W.run_channels({"doc_rag": lambda: _channels(s, d)[0], "graph_rag": lambda: s.table("no_such_graph").select("qid"), "nl2sql": lambda: _channels(s, d)[2]}), read(s, d, "conversations").select(F.col("conv_id").alias("qid"))))
+_page("composed_answers", "SELECT conv_id AS qid, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS answer FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 10) GROUP BY 1",
+      lambda s, d: W.composed(read(s, d, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("rank"), "text")))
+_OVERLAP = r"CASE WHEN len({a}) > 0 THEN len(list_intersect({a}, {b}))::DOUBLE / len({a}) ELSE 0.0 END"
+_page("triad_scores", r"""WITH t AS (SELECT conv_id AS id, coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS q, left(coalesce(arg_max(text, turn) FILTER (role = 'assistant'), ''), 2000) AS a,
+ count(*) FILTER (role = 'system') AS n, left(coalesce(string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn) FILTER (role = 'system'), ''), 3000) AS c FROM conversations GROUP BY 1),
+k AS (SELECT id, n, list_distinct(regexp_extract_all(lower(q), '[\p{L}\p{N}]+')) AS q, list_distinct(regexp_extract_all(lower(a), '[\p{L}\p{N}]+')) AS a, list_distinct(regexp_extract_all(lower(c), '[\p{L}\p{N}]+')) AS c FROM t)
+SELECT id, """ + _OVERLAP.format(a="q", b="a") + " AS answer_relevance, CASE WHEN n = 0 THEN 0.0 ELSE " + _OVERLAP.format(a="q", b="c") + " END AS context_relevance, CASE WHEN n = 0 THEN 0.0 ELSE " + _OVERLAP.format(a="a", b="c") + " END AS groundedness, n = 0 AS grounded_skipped FROM k",
+      lambda s, d: W.triad(_logged(s, d)).select("id", "answer_relevance", "context_relevance", "groundedness", "grounded_skipped"))
+
+
+def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda role, c: F.when(F.col("role") == role, F.col(c))
+    first = F.coalesce(F.min_by(of("user", "text"), of("user", "turn")), F.lit(""))
+    contexts = F.array_sort(F.collect_list(F.when(F.col("role") == "system", F.struct("turn", "text"))))["text"]
+    by = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id"))
+    return by.agg(first.alias("question"), F.max_by(of("assistant", "text"), of("assistant", "turn")).alias("answer"), contexts.alias("contexts"))
+
+
+# Records that services keep.
+
+_page("updated_rows", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'renamed ' || p_partkey ELSE p_name END AS p_name, p_size FROM part WHERE p_brand <> 'Brand#11' UNION ALL SELECT -s_suppkey, NULL, NULL FROM supplier",
+      lambda s, d: K.inserted(K.deleted(K.updated(read(s, d, "part").select("p_partkey", "p_name", "p_size"), read(s, d, "part").where("p_size > 25").select("p_partkey", F.concat(F.lit("renamed "), "p_partkey").alias("p_name")), "p_partkey"), read(s, d, "part").where("p_brand = 'Brand#11'"), "p_partkey"), read(s, d, "supplier").select((-F.col("s_suppkey")).alias("p_partkey"))))
+_page("score_records", "SELECT doc_id, left(text, 500) AS question, left(text, 2000) AS summary, source, CAST(NULL AS VARCHAR) AS eval_type FROM documents",
+      lambda s, d: K.evolved(K.score_records(read(s, d, "documents").select("doc_id", F.col("text").alias("question"), F.col("text").alias("summary"), "source")), {"source": "int", "eval_type": "string"}))
+_page("feedback_records", "SELECT event_id, nullif(CASE WHEN event_type = 'view' THEN '' ELSE event_type END, '') AS comment, value FROM events",
+      lambda s, d: K.feedback_records(read(s, d, "events").select("event_id", F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("comment"), "value")))
+_page("marked_read", "SELECT doc_id AS id, doc_id IN (SELECT doc_id FROM labels) OR lang = 'en' AS is_read FROM documents",
+      lambda s, d: K.marked_read(read(s, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce(F.col("lang") == "en", F.lit(False)).alias("is_read")), read(s, d, "labels").select(F.col("doc_id").alias("id"))))
+_page("audit_records", "SELECT doc_id, left(text, 80) AS question, source FROM documents", lambda s, d: K.audit_records(read(s, d, "documents").select("doc_id", F.col("text").alias("question"), "source")))
+_page("kept_history", """SELECT user_id, event_id FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) AS last, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS nth FROM events)
+WHERE nth <= 10 AND last > (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+      lambda s, d: K.kept_history(read(s, d, "events").select("user_id", "event_id", "ts"), "user_id", "event_id", "ts", seconds=86400).select("user_id", "event_id"))
+
+
+@query("""WITH o AS (SELECT p_partkey AS k, p_brand AS b FROM part WHERE p_partkey % 7 <> 0), n AS (SELECT p_partkey AS k, p_brand AS b FROM part WHERE p_partkey % 11 <> 0)
+SELECT metric, column_id FROM (SELECT 'm' || l_partkey AS metric, 'c' || l_suppkey AS column_id FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)) l
+WHERE metric IN (SELECT 'm' || k FROM n) AND column_id IN (SELECT 'c' || s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0)""")
+def catalog_links_after_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of a catalog after a build that drops some metrics and columns: those of dropped ones are gone."""
+    metrics = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("m"), "p_partkey").alias("name"), "p_brand")
+    columns = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("c"), "s_suppkey").alias("id"), "s_name")
+    links = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("m"), "l_partkey").alias("metric"), F.concat(F.lit("c"), "l_suppkey").alias("column_id")).distinct()
+    old = {"metrics": metrics.where("k % 7 <> 0"), "columns": columns, "links": links.limit(0)}
+    new = {"metrics": metrics.where("k % 11 <> 0"), "columns": columns.where("k % 3 <> 0"), "links": links}
+    return C.applied(old, new, {"metrics": ["name"], "columns": ["id"]}, {"metrics": ["p_brand"], "columns": ["s_name"]})[0]["links"]
+
+
+@query("""SELECT start, count(*) AS increase FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start FROM events WHERE event_type = 'error') GROUP BY 1 HAVING count(*) > 3""")
+def failures_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts.increase(_events(spark, sf_dir), F.col("event_type") == "error", "2 hours", "1 hour").where("increase > 3")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import aggregates as A
+from quarry.operators import answers as W
 from quarry.operators import charts, etl
 from quarry.operators import retrieval as R
 from quarry.plans import recall
@@ -144,3 +145,213 @@ def test_charts(spark):
     assert charts.recommend(df) == "bar" and charts.recommend(df.select("k")) == "table"
     assert charts.axis(df, "nope", None) == ("k", "v")
     assert charts.option(df, "pie")["data"] == [{"name": "a", "value": 1}, {"name": "b", "value": 2}]
+
+
+def test_images_are_rewritten(spark):
+    schema = "doc_id int, markdown string, images array<struct<name:string,summary:string>>"
+    md = "a ![](images/p1.jpg) b ![own](p2.png)"
+    df = spark.createDataFrame([(7, md, [("p1.jpg", "a plan"), ("p2.png", None), ("p3.gif", "left over")]), (8, "none", None)], schema)
+    out = {r.doc_id: r.markdown for r in etl.rewritten_images(df, "http://store/b").collect()}
+    assert out[7] == "a ![a plan](http://store/b/images/7/p1.jpg) b ![own](http://store/b/images/7/p2.png)\n\n## Document images\n![left over](http://store/b/images/7/p3.gif)"
+    assert out[8] == "none"
+
+
+def test_responses_of_all_forms(spark):
+    rows = ['{"results": {"a.pdf": {"md_content": "", "md": ""}, "b.pdf": {"md": "two", "content_list": "[]"}}}', '{"results": [{"md": "old", "blocks": [{"page_number": 3}, {}]}]}', '{"md": "flat"}', '{"other": 1}', '{"results": {}}']
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, raw string")
+    out = {r.doc_id: (r.markdown, r.pages, r.content_list) for r in etl.decoded_responses(df).collect()}
+    assert out == {0: ("two", [], "[]"), 1: ("old", [3, 0], None), 2: ("flat", [], None), 3: ('{"other": 1}', [], None), 4: ("", [], None)}
+
+
+def test_pages_of_a_reader_are_joined(spark):
+    df = spark.createDataFrame([(1, 1, "b", "iv"), (1, 0, "a", "12"), (2, 0, None, None)], "doc_id int, part int, text string, page_label string")
+    assert {r.doc_id: (r.text, r.pages) for r in etl.joined_pages(df).collect()} == {1: ("a\n\nb", [12, 0]), 2: ("", [0])}
+
+
+def test_blocks_and_parsers(spark):
+    raw = '[{"type": "table", "page_idx": 1, "bbox": [0, 5.5, 1, 1], "table_body": "<table/>"}, {"type": "text", "text": "x"}, {"type": "equation", "text": "$a$"}]'
+    out = etl.parsed_blocks(spark.createDataFrame([(1, raw), (2, "no json"), (3, None)], "doc_id int, raw string")).collect()
+    assert sorted((r.kind, r.page_idx, r.y, r.body) for r in out) == [("equation", 0, 0.0, "$a$"), ("table", 1, 5.5, "<table/>")]
+    files = spark.createDataFrame([("a", b"long enough text"), ("b", b"short")], "path string, content binary")
+    assert {r.path: r.text for r in etl.parse_files(files, fallback=lambda data: "other reader").collect()} == {"a": "long enough text", "b": "other reader"}
+    assert etl.chunker("semantic") is etl.semantic_chunks and etl.chunker(None) is etl.chunked and etl.chunker("odd") is etl.chunked
+
+
+def _plain_split(text, size, overlap, separators):
+    """The recursive splitter in plain words: cut at the first separator there is, fill pieces up, start each with what
+    fits of the end of the one before."""
+    sep = next((s for s in separators if s in text), "")
+    rest = separators[separators.index(sep) + 1 :] if sep else ()
+    units = []
+    for part in text.split(sep) if sep else [text[i : i + size] for i in range(0, len(text), size)]:
+        units += [part] if len(part) <= size else _plain_split(part, size, 0, rest)
+    pieces, first, at = [], 0, 0
+    while at < len(units):
+        while at < len(units) and (at == first or len(sep.join(units[first : at + 1])) <= size):
+            at += 1
+        pieces.append(sep.join(units[first:at]))
+        if at < len(units):
+            while first < at and (len(sep.join(units[first:at])) > overlap or len(sep.join(units[first : at + 1])) > size):
+                first += 1
+    return [p.strip() for p in pieces if p.strip()]
+
+
+def test_splitters_equal_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect() if r.text and len(r.text.strip(" ")) >= etl.MIN_TEXT}
+    want = sorted((d, i, c) for d, t in texts.items() for i, c in enumerate(_plain_split(t, 512, 64, etl.SEPARATORS)))
+    assert sorted((r.doc_id, r.chunk_index, r.text) for r in etl.chunked(docs).collect()) == want
+    got = sorted((r.doc_id, r.chunk_index, r.parent_index, r.text, r.parent_text) for r in etl.parent_child(docs).collect())
+    plain = []
+    for d, t in texts.items():
+        n = 0
+        for p, parent in enumerate(_plain_split(t, 2048, 128, ("\n\n", "\n"))):
+            for c in _plain_split(parent, 512, 64, etl.SEPARATORS):
+                plain.append((d, n, p, c, parent))
+                n += 1
+    assert got == sorted(plain)
+    records = etl.chunk_records(etl.parent_child(docs), docs.select("doc_id", F.lit("n").alias("doc_name"), F.array(F.lit(4)).alias("pages"))).collect()
+    assert {(r.id, r.page_number) for r in records} == {(f"{d}_{n}", 4 if n == 0 else 0) for d, n, *_ in plain} and all(r.text in r.parent_text or r.parent_text for r in records)
+
+
+def test_semantic_chunks_equal_a_plain_version(spark):
+    import re
+    import zlib
+
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("length(text) < 4000")
+    want = []
+    for d, t in ((r.doc_id, r.text) for r in docs.collect()):
+        parts = [(i, s) for i, s in enumerate(re.split(r"(?<=[.!?。！？])\s+", t)) if s.strip(" ")]
+        vs = []
+        for _, s in parts:
+            slots = [zlib.crc32(w.encode()) % etl.DIM for w in re.findall(r"\w+", s[: etl.EMBED_MAX].lower())]
+            v = np.bincount(slots, minlength=etl.DIM).astype(np.float32) if slots else np.zeros(etl.DIM, np.float32)
+            vs.append((v / max(float(np.sqrt((v * v).sum())), 1e-12)).astype(np.float32).astype(float))
+        norm = [float(np.sqrt(v @ v)) for v in vs]
+        far = [0.0] + [1 - (a @ b / (x * y) if x * y > 0 else 1.0) for a, b, x, y in zip(vs, vs[1:], norm, norm[1:], strict=False)]
+        inner = [f for (i, _), f in zip(parts, far, strict=True) if i > 0]
+        limit = np.percentile(inner, 0.3) if inner else None
+        nth, at = 0, {}
+        for (i, s), f in zip(parts, far, strict=True):
+            nth += i > 0 and limit is not None and f > limit + 1e-9
+            at.setdefault(nth, []).append(s)
+        want += [(d, n, " ".join(x)) for n, x in at.items()]
+    got = {(r.doc_id, r.chunk_index, r.text) for r in etl.semantic_chunks(docs).collect()}
+    assert len(got & set(want)) >= 0.99 * len(want)  # distances that tie but for rounding may fall on either side
+
+
+def test_dense_search_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(300, 5))
+    v[7] = v[9] = v[11]
+    rows = [(i, [float(x) for x in y], i % 3) for i, y in enumerate(v)] + [(900, None, 0), (901, [0.0] * 5, 0), (902, [1.0], 0), (903, [1.0, None, 1.0, 1.0, 1.0], 0)]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>, kind int").repartition(4)
+    queries = spark.createDataFrame([(f"q{i}", [float(x) for x in v[i]]) for i in range(0, 300, 20)] + [("zero", [0.0] * 5)], "qid string, qvector array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for kinds in (None, [1, 2]):
+        want = {(f"q{q}", r + 1): i for q in range(0, 300, 20) for r, i in enumerate(sorted((i for i in range(300) if not kinds or i % 3 in kinds), key=lambda i: (-round(unit[q] @ unit[i], 12), i))[:10])}
+        assert {(r.qid, r["rank"]): r.id for r in R.dense_search(corpus, queries, 10, {"kind": kinds}).collect()} == want
+    plan = R.dense_search(corpus, queries, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_search_in_portions(spark, monkeypatch):
+    corpus = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id long, vector array<double>")
+    queries = corpus.selectExpr("id AS qid", "vector AS qvector")
+    want = sorted(map(tuple, R.dense_search(corpus, queries, 3).collect()))
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 7)
+    assert sorted(map(tuple, R.dense_search(corpus, queries, 3).collect())) == want
+
+
+def test_hybrid_search_degrades(spark):
+    corpus = spark.createDataFrame([(1, "red apple", [1.0, 0.0]), (2, "green pear", [0.0, 1.0])], "id long, text string, vector array<double>")
+    queries = spark.createDataFrame([(9, "apple", [0.1, 1.0])], "qid long, qtext string, qvector array<double>")
+    ids = lambda df: [r.id for r in df.orderBy("rank").collect()]
+    assert ids(R.hybrid_search(corpus.drop("text"), queries)) == [2, 1] and ids(R.hybrid_search(corpus.drop("vector"), queries)) == [1]
+    assert R.hybrid_search(corpus.select("id"), queries).count() == 0
+    supposed = lambda q: q.select("qid", F.array(F.lit(1.0), F.lit(0.0)).alias("qvector"))
+    assert ids(R.retrieve(corpus, queries, top=2, hyde=supposed, reranked=False)) == [1, 2] and ids(R.retrieve(corpus, queries, top=1)) == [1]
+
+
+def test_recall_equals_brute_force(spark):
+    import re
+    import zlib
+
+    import numpy as np
+
+    def embed(t):
+        v = np.bincount([zlib.crc32(w.encode()) % etl.DIM for w in re.findall(r"\w+", t.lower())], minlength=etl.DIM).astype(float)
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    keywords = [("issues by business line", 0), ("severity", 1), ("status of changes", 2)]
+    columns = [(f"{t}.{c.name}", "; ".join(x for x in (c.name, c.description, ", ".join(c.aliases)) if x)) for t, c in STAR.all_columns()]
+    want = {}
+    for k, pos in keywords:
+        near = sorted(((-round(float(embed(k) @ embed(t)), 6), i) for i, t in columns))[:5]
+        want |= {i: (pos, -s) for s, i in near if -s >= 0.3 and i not in want}
+    got = {r.id: (r.pos, round(r.score, 6)) for r in recall.recall_columns(spark.createDataFrame(keywords, "keyword string, pos int"), STAR.frames(spark)["columns"]).collect()}
+    assert {i: p for i, (p, _) in got.items()} == {i: p for i, (p, _) in want.items()} and all(abs(got[i][1] - want[i][1]) < 1e-5 for i in want)
+    values = spark.createDataFrame([("a", "BUILDING"), ("b", "MACHINERY"), ("c", "HOUSEHOLD"), ("d", "heavy machinery parts")], "id string, value string")
+    found = recall.recall_values(spark.createDataFrame([("building machinery", 0)], "keyword string, pos int"), values).collect()
+    assert {r.id for r in found} == {"a", "b", "d"} and max(found, key=lambda r: r.score).id == "a"
+
+
+def test_metrics_are_pruned_and_told(spark):
+    assert recall.pruned_metrics(["a", "b"], ["b", "c"]) == ["b"] and recall.pruned_metrics(["a"], "bad") == recall.pruned_metrics(["a"], []) == ["a"]
+    told = recall.prompt_context(STAR, {"nation": ["n_name", "n_regionkey"]}, {"nation.n_name": list("abcdefg")}, ["issue_count"])
+    assert "e.g. a, b, c, d, e\n" in told and "-> region.r_regionkey" in told and told.endswith("metric issue_count = COUNT(*) of orders")
+
+
+def test_half_even_rounding(spark):
+    import random
+
+    rng = random.Random(1)
+    xs = [1.005, 2.675, 0.285, 1.115, 0.125, 0.375, -0.125, 2.5, 0.0, 1e9 + 0.005] + [rng.randrange(10**6) / 1000 for _ in range(3000)] + [rng.random() * 10 for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in xs] + [(None,)], "x double")
+    for places in (2, 3, 6):
+        got = [r[0] for r in df.select(X.round_half_even(F.col("x"), places)).collect()]
+        assert got == [round(x, places) for x in xs] + [None]
+
+
+def test_names_of_columns(spark):
+    r = spark.createDataFrame([("orders.o_orderkey",)], "n string").select(X.table_of(F.col("n")), X.column_of(F.col("n"))).first()
+    assert tuple(r) == ("orders", "o_orderkey")
+
+
+def test_image_urls_are_urls(spark):
+    df = spark.createDataFrame([("![a](http://x/1.png) ![b](images/x.png) ![c](http://x/1.png) ![d](https://y/2)",)], "t string")
+    assert df.select(X.image_urls_in(F.col("t"))).first()[0] == ["http://x/1.png", "https://y/2"]
+    assert df.select(X.decoded_image(F.lit("data:image/png;base64,aGk=")), X.decoded_image(F.lit("aGk="))).first() == (b"hi", b"hi")
+
+
+def test_records(spark, tmp_path):
+    from quarry.sources import records as K
+
+    store = spark.createDataFrame([("u:1", '[{"role": "user"}]'), ("u:2", "broken")], "key string, value string")
+    assert K.history(store, "key", "value", "u:1") == [{"role": "user"}] and K.history(store, "key", "value", "u:2") == K.history(store, "key", "value", "u:3") == []
+    assert K.table_or_empty(spark, f"file://{tmp_path}/none", "a int").count() == 0
+    rows = spark.createDataFrame([(1, None, [1, 2])], "id int, note string, xs array<int>")
+    assert K.report(rows).first().value == '{"id":1,"note":null,"xs":[1,2]}'
+    assert K.notifications(spark.createDataFrame([("d", "t", "c", "upload")], "doc_name string, doc_type string, category string, action string")).first().is_read is False
+    with pytest.raises(ValueError, match="unknown metrics"):
+        W.computed_metrics(rows, {"none": ("note",)})
+    assert W.computed_metrics(rows.withColumn("note", F.lit("a b")), {"tokens": ("note",)}).first().tokens == 2
+
+
+def test_channels_are_dispatched(spark):
+    asked = []
+    search = lambda f: asked.append(dict(f)) or spark.range(1)
+    assert len(W.dispatched("change_review", search, lambda: spark.range(2))) == 2 and asked == [{"doc_type": "spec_doc"}]
+    assert len(W.dispatched("graph_rag", search, lambda: spark.range(2))) == 1 and len(asked) == 1
+    with pytest.raises(ValueError, match="unknown channel"):
+        W.dispatched("other", search, lambda: spark.range(1))
+
+
+def test_rewriting_has_defaults(spark):
+    rows = ['```json\n{"queries": ["a", "b"], "intent": "sql"}\n```', '{"queries": []}', "no json", None]
+    out = spark.createDataFrame([(r,) for r in rows], "r string").select(W.rewritten(F.lit("q"), F.col("r")).alias("w")).collect()
+    assert [(x.w.queries, x.w.intent) for x in out] == [(["a", "b"], "sql")] + [(["q"], "knowledge_qa")] * 3
