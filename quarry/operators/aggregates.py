@@ -147,7 +147,8 @@ def two_facts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def distinct_first_seen(rows: DataFrame, column: str, order: Iterable[str]) -> DataFrame:
-    """Distinct values with the place of the first row that has each, numbered from 0 by it."""
+    """Distinct values with the place of the first row that has each, numbered from 0 by it: a row for each category of a
+    chart in one task."""
     first = rows.groupBy(column).agg(F.min(F.struct(*order)).alias("_first"))
     return first.withColumn("idx", F.row_number().over(Window.orderBy("_first", column)) - 1).drop("_first")
 

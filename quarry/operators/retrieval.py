@@ -151,10 +151,11 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(text))) / F.size(q)).otherwise(F.lit(0.0))
 
 
-def rerank(hits: DataFrame, k: int = 5, dynamic: bool = False) -> DataFrame:
-    """hits (qid, id, rank, qtext, text): the k best by overlap. With k hits or fewer they pass as they are."""
+def rerank(hits: DataFrame, k: int = 5, dynamic: bool = False, score: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
+    """hits (qid, id, rank, qtext, text): the k best by `score` of question and text, overlap unless a model's is given.
+    With k hits or fewer they pass as they are."""
     n = F.count(F.lit(1)).over(Window.partitionBy("qid"))
-    scored = hits.withColumns({"_n": n, "score": overlap_score(F.col("qtext"), F.col("text"))})
+    scored = hits.withColumns({"_n": n, "score": score(F.col("qtext"), F.col("text"))})
     new = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "rank"))
     out = scored.withColumn("_rank", F.when(F.col("_n") <= k, F.col("rank")).otherwise(new))
     if dynamic:

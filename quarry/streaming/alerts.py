@@ -56,7 +56,9 @@ def histogram_quantile(hist: DataFrame, q: float, bounds: tuple[float, ...] = BU
 
 
 def firing(windows: DataFrame, condition: Column, width: str, at_least: str, *labels: str) -> DataFrame:
-    """(labels..., since, until): runs of windows, one after the other, in which a condition holds for `at_least`."""
+    """(labels..., since, until): runs of windows, one after the other, in which a condition holds for `at_least`.
+
+    A label's windows meet in one task; there is one for each `width` of time, however many events it has."""
     by = Window.partitionBy(*labels).orderBy("start")
     step = F.expr(f"INTERVAL {width}")
     held = windows.where(condition).withColumn("_new", F.when(F.col("start") == F.lag("start").over(by) + step, 0).otherwise(1))

@@ -117,3 +117,33 @@ def test_firing(spark):
 def test_histogram_quantile(spark):
     df = spark.createDataFrame([(T0, 100, [0, 50, 100] + [100] * 8)], "start timestamp, total long, counts array<long>")
     assert abs(alerts.histogram_quantile(df, 0.75).first().value - (0.1 + 0.15 * 0.5)) < 1e-12
+
+
+def test_increase_slides(spark):
+    rows = [(at(600 * i), "bad" if i % 2 else "ok") for i in range(12)]
+    out = alerts.increase(spark.createDataFrame(rows, "ts timestamp, kind string"), F.col("kind") == "bad", "1 hour", "30 minutes").collect()
+    want = {}
+    for t, kind in rows:
+        for s in range(-3600, 7200, 1800):
+            if kind == "bad" and at(s) <= t < at(s + 3600):
+                want[at(s)] = want.get(at(s), 0) + 1
+    assert {r.start: r.increase for r in out} == want
+
+
+def test_copies_within_the_watermark_are_dropped(spark, tmp_path):
+    rows = [(1, at(0)), (1, at(5)), (2, at(6)), (1, at(60))]
+    df = spark.createDataFrame(rows, "id int, ts timestamp").coalesce(1)
+    df.write.parquet(str(tmp_path / "in"))
+    stream = alerts.deduplicated(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "id")
+    stream.writeStream.format("memory").queryName("deduplicated").outputMode("append").trigger(availableNow=True).start().awaitTermination(90)
+    assert sorted(r.id for r in spark.table("deduplicated").collect()) == [1, 2]
+
+
+def test_streams_are_matched(spark, tmp_path):
+    asked = spark.createDataFrame([("a", at(0), "q1"), ("b", at(10), "q2")], "key string, ts timestamp, text string")
+    told = spark.createDataFrame([("a", at(30), "r1"), ("a", at(400), "late"), ("b", at(5), "before")], "key string, ts timestamp, text string")
+    asked.write.parquet(str(tmp_path / "a"))
+    told.write.parquet(str(tmp_path / "b"))
+    read = lambda n: spark.readStream.schema(asked.schema).parquet(str(tmp_path / n))
+    alerts.matched(read("a"), read("b"), "key", "60 seconds").writeStream.format("memory").queryName("matched").outputMode("append").trigger(availableNow=True).start().awaitTermination(90)
+    assert [(r.key, r.text, r.other_text) for r in spark.table("matched").collect()] == [("a", "q1", "r1")]
