@@ -7,7 +7,7 @@ the least and the greatest distance to a few other pivots, its witnesses, are ke
 
 By the triangle inequality a vector of an annulus is no nearer to a query than the query's distances to pivot and
 witnesses are off the annulus' ranges. A query takes the annuli in the order of that bound, from its own one outward:
-in rounds of 1, 3, 12, 48, ... it opens those that the bound does not put beyond its k-th best so far, and it stops
+in rounds of 1, 7, 56, ... it opens those that the bound does not put beyond its k-th best so far, and it stops
 when the bound excludes all that are left. The bound has a margin above the rounding of distances; scores themselves
 are exact. Where vectors hardly cluster, distances to any pivot are nearly alike and all annuli get opened: the column
 `scored` tells how many vectors a query met.
@@ -36,7 +36,7 @@ PER_PIVOT, MAX_PIVOTS = 2048, 256
 #: Vectors in an annulus, the most annuli of a pivot, and other pivots whose distances bound an annulus.
 RING, MAX_RINGS, WITNESSES = 1024, 64, 8
 #: Blocks of an annulus that meet queries in one place, and how much further each round goes than all before it.
-TOGETHER, GROWTH = 16, 4
+TOGETHER, GROWTH = 16, 8
 #: Added to radii, relative to the largest length.
 MARGIN = 1e-6
 

@@ -218,7 +218,7 @@ def test_nearest_stops_where_neighbours_stand_out(spark):
     out = hash_forest.nearest(df, every=200).collect()
     want = _brute(v, 200, 20, lambda a, b: float(np.dot(a, b)))
     hit = {(q, i) for q, _, i, _ in want} & {(r.query_id, r.vec_id) for r in out}
-    assert len(hit) / len(want) >= 0.9 and np.mean([r.scored for r in out]) < 2 * len(v)  # of TREES * len(v)
+    assert len(hit) / len(want) >= 0.9 and np.mean([r.scored for r in out]) < 3 * len(v)  # of TREES * len(v)
 
 
 # License scan
@@ -593,6 +593,17 @@ def test_pipeline_mixing_counts_equal_rows(spark):
     assert all(abs(words[s] - t) <= 4 for s, t in targets.items()) and set(out[0].asDict()) == set(docs.columns)
 
 
+def test_lines_of_a_source_go_by_their_rate(spark):
+    """Lines planted on 3, 4.9, 5.1, 9 and 40 % of a source's distinct texts: those over one in twenty go."""
+    import corpus_pipeline as C
+
+    rates = {"l3": 30, "l49": 49, "l51": 51, "l9": 90, "l40": 400}
+    rows = [(i, "\n".join([f"own line {i}", *(k for j, (k, n) in enumerate(rates.items()) if (i * 7 + j * 131) % 1000 < n)]), "en", "s", 0) for i in range(1000)]
+    out = C.drop_boilerplate(spark, spark.createDataFrame(rows, DOCS), SF).collect()
+    left = [x for r in out for x in r.text.split("\n")]
+    assert {k: left.count(k) for k in rates} == {"l3": 30, "l49": 49, "l51": 0, "l9": 0, "l40": 0} and len(out) == 1000
+
+
 def test_null_source_is_deduplicated(spark):
     import corpus_pipeline as C
 
