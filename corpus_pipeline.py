@@ -27,6 +27,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+#: A line goes if more than one in twenty distinct texts of its source hold it. Sources hold many sites and kinds of
+#: text, so what is boilerplate there is on a smaller share than on one host.
+LINE_RATIO = 0.05
+
+
 def _row(docs: DataFrame) -> Column:
     """What tells rows apart: a digest of all columns."""
     return F.xxhash64(*[x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))])
@@ -39,7 +44,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     keyed = docs.withColumn("_row", _row(docs))
     source = F.coalesce(F.concat(F.lit("of "), F.col("source")), F.lit("none"))
-    cut = line_dedup.line_dedup(keyed, id_col="_row", host=source, text_col="text", by_text=True)
+    cut = line_dedup.line_dedup(keyed, id_col="_row", host=source, text_col="text", max_ratio=LINE_RATIO, by_text=True)
     n = F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", n).select(*docs.columns)
 
