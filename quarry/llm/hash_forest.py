@@ -5,9 +5,10 @@ the vectors in the order of their strings: a sorted array, cut into cells of equ
 Largest inner product is smallest angle once vectors have one more coordinate, sqrt(M - |x|^2); queries have 0 there.
 
 Descending: a query goes to its cell of each tree, and in the sorted array there takes the strings that share the
-longest prefix with its own, longer ones before shorter ones, until START vectors are seen. Ascending: all trees start
-at the prefix length under which about START vectors lie and give up one bit a round, together; a round scores the
-vectors under the bit just given up, its sibling, so none is scored twice in a tree. The k-th best score so far tells
+longest prefix with its own, longer ones before shorter ones, until START vectors are seen. Ascending: in all trees a
+query starts at the same prefix length, that under which about START vectors lie or AHEAD bits more than its k-th score
+asks for, whichever is shorter, and gives up one bit a round, in all trees together; a round scores the vectors under
+the bit just given up, its sibling, so none is scored twice in a tree. The k-th best score so far tells
 how alike the k nearest are at least, hence how likely each is to share a prefix of the length reached in some tree: a
 query stops at the first length at which that chance is SURE. There is no cap on candidates: where neighbours are
 hardly closer than the rest, queries ascend nearly to the root and many vectors are scored; where they stand out, few
@@ -32,6 +33,8 @@ TREES, DEPTH = 16, 48
 START = 64
 #: Least chance of a neighbour as far as the k-th so far to be met.
 SURE = 0.9
+#: Bits that the ascent starts below the length that the descent's k-th score asks for.
+AHEAD = 2
 #: Blocks of a cell that meet queries in one place.
 TOGETHER = 16
 
@@ -202,7 +205,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     meet(asked.withColumns({"length": F.lit(bits).cast("long"), "least": F.lit(float("-inf"))}), _descend(k, depth, START))
     norms = asked.where("tree = 0").select("query_id", F.sqrt(size).alias("norm"))
     one_tree = 1 - (1 - sure) ** (1 / trees)
-    level = int(min(depth, max(1, np.floor(np.log2(max(n / START, 2))))))
+    lowest = int(min(depth, max(1, np.floor(np.log2(max(n / START, 2))))))
 
     def so_far() -> DataFrame:
         """query_id, least: the k-th score, and enough: the longest prefix that neighbours as near share often enough."""
@@ -212,14 +215,22 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         enough = F.coalesce(F.floor(F.log(F.lit(one_tree)) / F.log(share)), F.lit(0))
         return kth.select("query_id", F.coalesce("least", F.lit(float("-inf"))).alias("least"), enough.alias("enough"))
 
-    def under(queries: DataFrame, string: Column) -> DataFrame:
-        rows = asked.join(queries.select("query_id", "least"), "query_id")
-        return rows.select("tree", "query_id", string.alias("string"), F.lit(level).cast("long").alias("length"), "v", "least")
-
-    meet(under(so_far(), F.col("string")), _under(k, depth))
-    while level > 0 and not (still := written(so_far().where(F.col("enough") < level), "still")).isEmpty():
-        sibling = under(still, F.col("string").bitwiseXOR(F.lit(1 << (depth - level))))
-        meet(sibling.where("tree = 0") if level == 1 else sibling, _under(k, depth))  # at the root one tree has all
-        level -= 1
+    def under(queries: DataFrame, sibling: bool) -> DataFrame:
+        """What lies under the queries' prefixes of length `level`, or under those with the last bit turned over."""
+        rows = asked.join(queries.select("query_id", "least", "level"), "query_id")
+        turned = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(depth) - F.col("level")).cast("int"))
+        string = F.col("string").bitwiseXOR(turned) if sibling else F.col("string")
+        rows = rows.where("level > 1 or tree = 0") if sibling else rows  # at the root one tree has all
+        return rows.select("tree", "query_id", string.alias("string"), F.col("level").cast("long").alias("length"), "v", "least")
+
+    # No query starts below the length that the descent's k-th asks for by more than AHEAD: it only gets longer.
+    started = written(so_far().withColumn("level", F.greatest(F.least(F.lit(lowest), F.col("enough") + AHEAD), F.lit(1)).cast("int")), "started")
+    meet(under(started, False), _under(k, depth))
+    for up in range(lowest):
+        level = started.select("query_id", (F.col("level") - up).alias("level"))
+        still = written(so_far().join(level, "query_id").where((F.col("enough") < F.col("level")) & (F.col("level") > 0)), "still")
+        if still.isEmpty():
+            break
+        meet(under(still, True), _under(k, depth))
     met = reduce(DataFrame.unionByName, rounds).where("vec_id is null").groupBy("query_id").agg(F.sum("score").cast("long").alias("scored"))
     return best.join(met, "query_id")
