@@ -21,6 +21,8 @@ RRF_K = 60
 K1, B = 1.2, 0.75
 #: Query vectors that are sent to all tasks at once, and terms that are.
 BROADCAST_ROWS, TERMS_SENT = 10_000, 5_000
+#: Pairs of query and term that are.
+PAIRS_SENT = 200_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -98,18 +100,24 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = 20, k1: float =
     """
     terms = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("qtext")))).alias("token"))
     asked = [r[0] for r in terms.select("token").distinct().limit(TERMS_SENT + 1).collect()]
+    few = len(asked) <= TERMS_SENT
     docs = spread(corpus.select("id", "text")).select("id", tokens(F.col("text")).alias("ts"))
-    kept = F.filter("ts", lambda t: t.isin(asked)) if len(asked) <= TERMS_SENT else F.col("ts")
-    posting = docs.select("id", F.size("ts").alias("dl"), F.explode(F.concat(F.array(F.lit("")), kept)).alias("t"))
-    tf = posting.groupBy(F.coalesce("t", F.lit("")).alias("token"), "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    kept = F.filter("ts", lambda t: t.isin(asked)) if few else F.col("ts")
+    # Dealt by text once its terms are picked: counts of a text, and its scores, then need no other shuffle.
+    picked = docs.select("id", F.size("ts").alias("dl"), F.concat(F.array(F.lit("")), kept).alias("ts")).repartition("id")
+    posting = picked.select("id", "dl", F.explode("ts").alias("t"))
+    tf = posting.groupBy("id", F.coalesce("t", F.lit("")).alias("token"), "dl").agg(F.count(F.lit(1)).alias("tf"))
     by_token = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("words"))
     # Not filtered by token, so that both uses read the same shuffle.
     size = lambda c: F.max(F.when(F.col("token") == "", F.col(c)))
     stats = by_token.agg(size("df").alias("n"), (size("words") / size("df")).alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = tf.join(by_token.drop("words"), "token").crossJoin(F.broadcast(stats)).select("token", "id", part.alias("part"))
-    return top_k(weighted.join(terms, "token").groupBy("qid", "id").agg(F.round(F.sum("part"), 9).alias("score")), k)
+    # A row for each term: sent to the postings where there are few, so that these stay spread as they are.
+    df = F.broadcast(by_token.drop("words")) if few else by_token.drop("words")
+    weighted = tf.join(df, "token").crossJoin(F.broadcast(stats)).select("token", "id", part.alias("part"))
+    asking = F.broadcast(terms) if few and terms.limit(PAIRS_SENT + 1).count() <= PAIRS_SENT else terms
+    return top_k(weighted.join(asking, "token").groupBy("qid", "id").agg(F.round(F.sum("part"), 9).alias("score")), k)
 
 
 def rrf(rankings: Iterable[DataFrame], k: int = 20, constant: int = RRF_K) -> DataFrame:
