@@ -7,13 +7,15 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import round_half_even
+
 PRICE_IN, PRICE_OUT = 0.4e-6, 1.2e-6
 
 
 def feedback_totals(feedback: DataFrame) -> DataFrame:
-    """total, praise (rating 1), negative (-1), neutral and the rates, 0 without rows; one pass."""
+    """total, praise (rating 1), negative (-1), neutral and the rates to 3 places, 0 without rows; one pass."""
     counts = feedback.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("rating") == 1).alias("praise"), F.count_if(F.col("rating") == -1).alias("negative"))
-    rate = lambda c: F.when(F.col("total") > 0, F.col(c) / F.col("total")).otherwise(F.lit(0.0))
+    rate = lambda c: round_half_even(F.when(F.col("total") > 0, F.col(c) / F.col("total")).otherwise(F.lit(0.0)), 3)
     return counts.select("*", (F.col("total") - F.col("praise") - F.col("negative")).alias("neutral"), rate("praise").alias("praise_rate"), rate("negative").alias("negative_rate"))
 
 

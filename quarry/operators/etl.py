@@ -261,6 +261,19 @@ def ingest_records(uploads: DataFrame) -> DataFrame:
     return uploads.withColumns({"doc_id": doc_id(F.col("doc_name")), "content_type": content_type(F.col("doc_name")), "status": F.lit("queued")})
 
 
+def registered(documents: DataFrame, uploads: DataFrame) -> DataFrame:
+    """Document records with those of uploads in place of older ones of the same name."""
+    fresh = ingest_records(uploads)
+    return documents.join(fresh.select("doc_id"), "doc_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
+def soft_deleted(documents: DataFrame, gone: DataFrame) -> DataFrame:
+    """Document records (doc_id, status, ...) with the status `deleted` for those of gone (doc_id); their chunks go for
+    good, by without_documents."""
+    told = gone.select("doc_id").distinct().withColumn("_gone", F.lit("deleted"))
+    return documents.join(told, "doc_id", "left").withColumn("status", F.coalesce("_gone", "status")).select(*documents.columns)
+
+
 def with_stage(jobs: DataFrame, stage: str, percent: int) -> DataFrame:
     return jobs.withColumns({"stage": F.lit(stage), "progress": F.lit(percent)})
 

@@ -177,7 +177,7 @@ def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FEEDBACK = "(SELECT doc_id AS id, CASE WHEN source = 'src1' THEN '' ELSE source END AS channel, 2 * quality - 1 AS rating FROM labels JOIN documents USING (doc_id)) f"
-_page("feedback_totals", f"SELECT count(*) AS total, count(*) FILTER (rating = 1) AS praise, count(*) FILTER (rating = -1) AS negative, count(*) - count(*) FILTER (rating = 1) - count(*) FILTER (rating = -1) AS neutral, count(*) FILTER (rating = 1) / count(*) AS praise_rate, count(*) FILTER (rating = -1) / count(*) AS negative_rate FROM {_FEEDBACK}",
+_page("feedback_totals", f"SELECT count(*) AS total, count(*) FILTER (rating = 1) AS praise, count(*) FILTER (rating = -1) AS negative, count(*) - count(*) FILTER (rating = 1) - count(*) FILTER (rating = -1) AS neutral, round_even(count(*) FILTER (rating = 1) / count(*), 3) AS praise_rate, round_even(count(*) FILTER (rating = -1) / count(*), 3) AS negative_rate FROM {_FEEDBACK}",
       lambda s, d: A.feedback_totals(_feedback(s, d)))
 _page("channel_stats", f"SELECT CASE WHEN channel = '' THEN 'unknown' ELSE channel END AS channel, count(*) AS total, count(*) FILTER (rating = 1) AS praise, count(*) FILTER (rating = 1) / count(*) AS praise_rate FROM {_FEEDBACK} GROUP BY channel",
       lambda s, d: A.channel_stats(_feedback(s, d)))
@@ -361,6 +361,9 @@ _page("catalog_key_columns", f"SELECT * FROM (VALUES {_COLUMNS}) v(table_name, n
 _page("catalog_columns", f"SELECT table_name || '.' || name AS id, table_name, role FROM (VALUES {_COLUMNS}) v(table_name, name, role)", lambda s, d: STAR.frames(s)["columns"].select("id", "table_name", "role"))
 _page("value_index", "SELECT 'customer.c_mktsegment.' || c_mktsegment AS id, 'customer' AS table_name, 'c_mktsegment' AS column_name, c_mktsegment AS value FROM customer GROUP BY c_mktsegment",
       lambda s, d: C.distinct_values(read(s, d, "customer"), "customer", "c_mktsegment"))
+_ALIASES = ", ".join(f"('{t}.{c.name}.{a}', '{t}', '{c.name}', '{a}')" for t, c in STAR.all_columns() if c.sync for a in c.aliases)
+_page("alias_index", f"SELECT * FROM (VALUES {_ALIASES}) v(id, table_name, column_name, value)", lambda s, d: C.value_index(STAR.frames(s)["columns"]))
+_page("metric_by_name", "SELECT 'cr_count' AS name, 'lineitem' AS table_name, 2 AS n_aliases", lambda s, d: C.metrics_of(STAR.frames(s)["metrics"], "cr_count").select("name", "table_name", F.size("aliases").alias("n_aliases")))
 _MERGE = """(SELECT coalesce(o.p_partkey, n.p_partkey) AS p_partkey, CASE WHEN o.p_partkey IS NULL THEN 'insert' WHEN n.p_partkey IS NULL THEN 'delete' WHEN o.p_brand <> n.p_brand THEN 'update' ELSE 'keep' END AS action
  FROM (SELECT * FROM part WHERE p_partkey % 7 <> 0) o FULL JOIN (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'new' ELSE p_brand END AS p_brand FROM part WHERE p_partkey % 11 <> 0) n USING (p_partkey))"""
 
@@ -547,3 +550,9 @@ def catalog_links_after_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT start, count(*) AS increase FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start FROM events WHERE event_type = 'error') GROUP BY 1 HAVING count(*) > 3""")
 def failures_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.increase(_events(spark, sf_dir), F.col("event_type") == "error", "2 hours", "1 hour").where("increase > 3")
+
+_page("soft_deleted", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'deleted' ELSE 'ready' END AS status FROM documents",
+      lambda s, d: etl.soft_deleted(read(s, d, "documents").select("doc_id", F.lit("ready").alias("status")), read(s, d, "labels").where("toxic = 1")))
+_page("registered_documents", """SELECT substring(md5('d' || p_partkey), 1, 16) AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 'queued' ELSE 'ready' END AS status, CASE WHEN p_partkey % 2 = 0 THEN 'd' || p_partkey END AS doc_name FROM part""",
+      lambda s, d: etl.registered(read(s, d, "part").select(X.doc_id(F.concat(F.lit("d"), "p_partkey")).alias("doc_id"), F.lit("ready").alias("status")),
+                                  read(s, d, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("d"), "p_partkey").alias("doc_name"))).select("doc_id", "status", "doc_name"))

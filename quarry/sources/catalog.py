@@ -125,6 +125,13 @@ def nested_table(tables: DataFrame, columns: DataFrame, name: str) -> DataFrame:
     return tables.where(F.col("name") == name).join(cols, F.col("name") == F.col("table_name"), "left").drop("table_name")
 
 
+def metrics_of(metrics: DataFrame, name: str | None = None) -> DataFrame:
+    """All metrics, or that of a name; absent lists are empty."""
+    rows = metrics if name is None else metrics.where(F.col("name") == name)
+    empty = F.array().cast("array<string>")
+    return rows.withColumns({c: F.coalesce(c, empty) for c in ("aliases", "relevant_columns")})
+
+
 def value_index(columns: DataFrame) -> DataFrame:
     """(id, table_name, column_name, value): a row for each alias of the columns that are kept in sync."""
     rows = columns.where("sync and size(aliases) > 0").select("id", "table_name", F.col("name").alias("column_name"), F.explode("aliases").alias("value"))
