@@ -18,13 +18,25 @@ from quarry.llm.common import WORD, clear, made_so_far, numbered, table, written
 from quarry.session import ship
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows in one struct `doc`, whatever their columns are called, but for the text, with the columns that stages work on
+    and `row`, what tells rows apart: a digest of all columns."""
+    row = F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), row.alias("row"), "doc_id", "text", "source")
+
+
+def _again(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of docs from the struct and the text, with new values for some."""
+    return rows.select(*[new.get(c, F.col("text") if c == "text" else F.col("doc").getField(c)).alias(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language stays ambiguous; fills in a missing lang."""
     ship(spark)
     model = language_id.learn(docs.where(F.col("doc_id").isNotNull() & ~language_id.held_out(F.col("doc_id"))))
-    found = language_id.predict(docs, model)
+    found = language_id.predict(_keyed(docs), model, "text", keep=["doc", "text"])
     kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous"))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return _again(kept, docs, lang=F.coalesce("doc.lang", "lang_pred"))
 
 
 #: A line goes if more than one in twenty distinct texts of its source hold it. Sources hold many sites and kinds of
@@ -32,21 +44,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 LINE_RATIO = 0.05
 
 
-def _row(docs: DataFrame) -> Column:
-    """What tells rows apart: a digest of all columns."""
-    return F.xxhash64(*[x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))])
-
-
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines out that a large share of a source's distinct texts hold; n_chars follows the text.
 
     Null is a source like any other; copies of a text count once, so they do not make their own lines boilerplate.
     """
-    keyed = docs.withColumn("_row", _row(docs))
-    source = F.coalesce(F.concat(F.lit("of "), F.col("source")), F.lit("none"))
-    cut = line_dedup.line_dedup(keyed, id_col="_row", host=source, text_col="text", max_ratio=LINE_RATIO, by_text=True)
-    n = F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", n).select(*docs.columns)
+    pages = _keyed(docs).withColumn("source", F.coalesce(F.concat(F.lit("of "), F.col("source")), F.lit("none")))
+    cut = line_dedup.line_dedup(pages, id_col="row", host=F.col("source"), text_col="text", max_ratio=LINE_RATIO, by_text=True)
+    n = F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("doc.n_chars"))
+    return _again(cut, docs, n_chars=n)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,26 +61,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship(spark)
     wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     # Equal rows are near-duplicates of each other; the first of them is found before texts are shuffled.
-    keyed = docs.where(~wordless).withColumn("_row", _row(docs))
-    groups = ngram_jaccard.ngram_jaccard_join(keyed.select("_row", "doc_id", "text"), id_col="_row", keep=["doc_id"])
+    keyed = _keyed(docs.where(~wordless))
+    groups = ngram_jaccard.ngram_jaccard_join(keyed, id_col="row", keep=["doc_id"])
     order = F.struct(F.col("kept.doc_id").isNull(), F.col("kept.doc_id"), F.col("doc_id"))
-    first = groups.groupBy("class").agg(F.min_by("doc_id", order).alias("_row")).select("_row")
-    kept = keyed.dropDuplicates(["_row"]).join(first, "_row", "left_semi").select(*docs.columns)
-    return kept.unionByName(docs.where(wordless))
+    first = groups.groupBy("class").agg(F.min_by("doc_id", order).alias("row")).select("row")
+    kept = keyed.select("doc", "row", "text").dropDuplicates(["row"]).join(first, "row", "left_semi")
+    return _again(kept, docs).unionByName(docs.where(wordless))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that the sources' words come near their targets."""
     ship(spark)
-    keyed = docs.withColumn("_row", _row(docs))
-    taken = mixing.mix(keyed, id_col="_row").groupBy(F.col("doc_id").alias("_row"))
-    taken = written(taken.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "copies")
-    due = keyed.join(taken, "_row")
+    keyed = _keyed(docs)
+    taken = mixing.mix(keyed, id_col="row").groupBy(F.col("doc_id").alias("row"))
+    taken = written(taken.agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")), "copies")
+    due = keyed.select("doc", "row", "text").join(taken, "row")
     # Equal rows share their copies, the first ones taking what is over.
-    again = numbered(due.where("_rows > 1"), ["_row"], "_nth")
-    due = due.where("_rows = 1").withColumn("_nth", F.lit(0).cast("long")).unionByName(again)
-    own = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_nth") < F.col("_copies") % F.col("_rows")).cast("long")
-    return due.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), own.cast("int")))).select(*docs.columns)
+    again = numbered(due.where("rows > 1"), ["row"])
+    due = due.where("rows = 1").withColumn("nth", F.lit(0).cast("long")).unionByName(again)
+    own = F.floor(F.col("copies") / F.col("rows")) + (F.col("nth") < F.col("copies") % F.col("rows")).cast("long")
+    return _again(due.select("doc", "text", F.explode(F.array_repeat(F.lit(1), own.cast("int")))), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
