@@ -580,6 +580,24 @@ def test_near_duplicates_keep_other_texts(spark):
     assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([(1, a), (1, b), (5, c), (6, ""), (6, ""), (7, None)], key=str)
 
 
+def test_stages_carry_columns_of_any_name(spark):
+    """Stages of the pipeline return an input's columns as they are, those included that they use names of inside."""
+    import corpus_pipeline as C
+
+    extra = {"row": "r", "doc": "d", "score": "0.5", "ambiguous": "yes", "lines_dropped": "7", "copies": "9", "host": "h", "kept": "k", "nth": "n"}
+    words = ["the", "cat", "and", "dog", "house", "wood", "in", "a", "of", "with"]
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30)) + f" {i}", "en", "s", 0, *extra.values()) for i in range(20)]
+    docs = spark.createDataFrame(rows, DOCS + ", " + ", ".join(f"{c} string" for c in extra))
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all({c: r[c] for c in extra} == extra for r in got)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert C.encode(spark, docs, SF).count() == 20
+
+
 def test_pipeline_mixing_counts_equal_rows(spark):
     import corpus_pipeline as C
 
