@@ -55,6 +55,8 @@ COMMON, COMMON_KEPT = 16, 200_000
 POOL = 2_000_000
 #: Pairs up to this number (8 MB) are sent to all tasks for the first half of a comparison; more are joined.
 PAIRS_SENT = 500_000
+#: Parts that the documents asking for one block are dealt into.
+SALTS = 16
 #: Size of the filter that tells tasks which documents are needed (1 MB); beyond its capacity it only lets more pass.
 FILTER_BITS = 1 << 23
 
@@ -326,24 +328,27 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = nodes.select("id", "sig", "node").join(members.select("node", "component"), "node")
     entries = prefixes.join(named, ["id", "sig"]).select(F.explode("prefix").alias("token"), "node", "component")
     shared = _in_several_components(entries)
-    shared = written(shared.join(members.select("node", "n", "group", "block"), "node"), "matrix")
+    # What a block's smallest set is travels with its members: a block has a bounded number of them, but not of askers.
+    smallest = members.groupBy("group", "block").agg(F.min("n").alias("smallest"))
+    told = members.select("node", "n", "group", "block").join(smallest, ["group", "block"])
+    shared = written(shared.join(told, "node"), "matrix")
 
     # 3: documents against blocks. Of two components, the one with the larger number sends its documents.
-    rows = shared.groupBy("token", "group", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"))
+    rows = shared.groupBy("token", "group", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.min("smallest").alias("smallest"))
     fits = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
     asked = shared.select("token", F.col("node").alias("q"), "n", F.col("component").alias("own"))
     met = asked.join(rows, "token").where((F.col("own") > F.col("low")) & fits).groupBy("q", "n", "group", "block")
-    met = met.agg(F.count(F.lit(1)).alias("shared"))
+    met = met.agg(F.count(F.lit(1)).alias("shared"), F.min("smallest").alias("smallest"))
     # k of the smaller set; with a percentage that low, what they have to share at least.
-    smallest = members.groupBy("group", "block").agg(F.min("n").alias("smallest"))
     k = F.floor(F.least("n", "smallest") * min(1 / SPARE, percent / 100))
-    could = written(met.join(smallest, ["group", "block"]).where(F.col("shared") >= k).select("q", "n", "group", "block"), "candidates")
+    could = written(met.where(F.col("shared") >= k).select("q", "n", "group", "block"), "candidates")
     blocks = could.select("group", "block").distinct()
     inside = members.join(blocks, ["group", "block"]).select("node", "n", "group", "block")
     asked_for = could.select(F.col("q").alias("node")).unionByName(inside.select("node")).distinct()
     bitmaps = written(source.data_of(asked_for, bitmaps=True), "bitmaps")
     unions = inside.join(bitmaps, "node").groupBy("group", "block").applyInArrow(_unite, "group long, block int, least int, most int, union binary")
-    bounds = could.join(bitmaps.withColumnRenamed("node", "q"), "q").join(unions, ["group", "block"]).where(fits)
+    asking = could.join(bitmaps.withColumnRenamed("node", "q"), "q").withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "q"), F.lit(SALTS)))
+    bounds = asking.join(unions.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["group", "block", "salt"]).where(fits)
     opened = written(bounds.select("q", "n", "group", "block", "data", "union").mapInArrow(_open_blocks(percent), "q long, group long, block int"), "opened")
 
     # 4: exact comparison with members of the blocks left. One link joins a document to a component, so its likeliest
