@@ -275,7 +275,7 @@ def test_language_decoding_equals_a_plain_version():
     texts = ["the dog", "Die Katze!", "le chien et une maison", "zz", "ab", "", "12   34", "and der le " * 100] + ["".join(rng.choice("abcdez é ") for _ in range(30)) for _ in range(40)]
     (_, _, buf, offs), *_ = shingles.slices(pa.array(texts))
     best, score, lead = model.decode(model.margins(buf, offs))
-    share = {k: [(c + 0.5) / (sum(counts[k]) + 0.5 * language_id.SLOTS) for c in counts[k]] for k in said}
+    share = {k: (counts[k] + 0.5) / (counts[k].sum() + 0.5 * language_id.SLOTS) for k in said}
     codes = {k: list(c) for k, c in zip(sorted(said), model.codes, strict=True)}
     for d, text in enumerate(texts):
         own = slots(text)
