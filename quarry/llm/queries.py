@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat_format, hash_forest, language_id, license_scan, line_dedup, mixing, ngram_jaccard, token_counts, topk_search
+from . import ball_kmeans, bpe, chat_format, hash_forest, language_id, license_scan, line_dedup, mixing, ngram_jaccard, secret_scan, token_counts, topk_search, vector_codes
 from .common import fresh_path, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,7 +64,66 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_topk_search, op2_ngram_jaccard, op3_license_scan, op4_language_id, op5_line_dedup, op6_chat_format, op7_token_counts, op8_mixing, op9_hash_forest, op10_bpe)}
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.cluster(table(spark, sf_dir, "embeddings")).drop("compared")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_topk_search, op2_ngram_jaccard, op3_license_scan, op4_language_id, op5_line_dedup, op6_chat_format, op7_token_counts,
+        op8_mixing, op9_hash_forest, op10_bpe, op11_secret_scan, op12_vector_codes, op13_ball_kmeans,
+    )
+}
+
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)"
+#: Exact floor of a quotient, for a negative sum too.
+_MEAN = "(sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*)"
+
+
+def _op12_sql() -> str:
+    """Each round's assignment and codebooks as tables of their own."""
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+    steps = [f"""k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND {_WHOLE})""",
+        f"p AS MATERIALIZED (SELECT r, j, v[j * len(v) // {parts} + 1 : (j + 1) * len(v) // {parts}] AS s FROM k, range({parts}) t(j))",
+        f"c0 AS (SELECT j, e, s FROM p JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k QUALIFY e < {entries}) USING (r))"]
+    for i in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, j, any_value(p.s) AS s, min({{'d': CAST(list_sum(list_transform(list_zip(p.s, c.s), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS BIGINT), 'e': e}}) AS m
+  FROM p JOIN c{i} c USING (j) GROUP BY r, j)""")
+        if i < vector_codes.ROUNDS:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT j, e, coalesce(n.s, c.s) AS s FROM c{i} c LEFT JOIN (SELECT j, e, list(y ORDER BY i) AS s
+  FROM (SELECT j, m.e AS e, i, CAST({_MEAN} AS BIGINT) AS y FROM (SELECT j, m, unnest(s) AS x, unnest(range(len(s))) AS i FROM a{i}) GROUP BY 1, 2, 3) GROUP BY 1, 2) n USING (j, e))""")
+    last = vector_codes.ROUNDS
+    return f"""WITH {", ".join(steps)},
+h AS (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY j, e)) AS codebooks_sha256 FROM c{last}),
+f AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY j) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{last} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM f JOIN k USING (r), h"""
+
+
+def _op13_sql() -> str:
+    width, last = ball_kmeans.WIDTH, ball_kmeans.ROUNDS
+    steps = [f"""k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({ball_kmeans.SCALE} * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {width} AND {_WHOLE})""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS e, v AS s FROM k QUALIFY e < {ball_kmeans.CLUSTERS})"]
+    for i in range(last + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, any_value(k.v) AS v, min({{'d': CAST(list_sum(list_transform(list_zip(k.v, c.s), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS BIGINT), 'e': e}}) AS m
+  FROM k, c{i} c GROUP BY r)""")
+        if i < last:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT e, coalesce(n.s, c.s) AS s FROM c{i} c LEFT JOIN (SELECT e, list(y ORDER BY i) AS s
+  FROM (SELECT m.e AS e, i, CAST({_MEAN} AS BIGINT) AS y FROM (SELECT m, unnest(v) AS x, unnest(range({width})) AS i FROM a{i}) GROUP BY 1, 2) GROUP BY 1) n USING (e))""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(m.e AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.e) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.s, ',')) AS centroid_sha256 FROM a{last} JOIN k USING (r) JOIN c{last} c ON c.e = m.e"""
+
 
 _HTML_LINES = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
   '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>', '', 'gis'),
@@ -110,4 +169,6 @@ k AS (SELECT w.conv_id, w.n_turns FROM w WHERE NOT EXISTS (SELECT 1 FROM s JOIN
   WHERE s.so_far = w.whole AND (o.n_turns > s.pos OR o.conv_id < w.conv_id)))
 SELECT conv_id, (pos - 1) // {chat_format.PIECE} AS part, n_turns, string_agg(said, '' ORDER BY pos) AS text
 FROM t JOIN k USING (conv_id) GROUP BY 1, 2, 3""",
+    "op12_vector_codes": _op12_sql(),
+    "op13_ball_kmeans": _op13_sql(),
 }
