@@ -1,7 +1,7 @@
 """License notices and whole licenses to look for. The wording of public licenses, whole in the folder
 `licenses`, and of the notices they ask for."""
 
-from pathlib import Path
+from importlib.resources import files
 
 NOTICES = {
     "Apache-2.0/line": "Licensed under the Apache License, Version 2.0.",
@@ -20,5 +20,11 @@ NOTICES = {
     "Unlicense/line": "This is free and unencumbered software released into the public domain.",
 }
 
-#: Read where the scan is planned, on the driver.
-TEMPLATES = NOTICES | {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+#: The whole licenses, by the names of their files.
+WHOLE = (
+    "Apache-2.0", "Artistic", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2", "GPL-3", "ISC", "LGPL-2.1", "LGPL-3", "MIT", "MPL-2.0",
+    "Unlicense", "Zlib",
+)
+
+#: Read from the package's files, packed or not; one that is missing is an error.
+TEMPLATES = NOTICES | {name: files(__package__).joinpath("licenses", f"{name}.txt").read_text(encoding="utf-8") for name in WHOLE}
