@@ -8,7 +8,8 @@ Descending: a query goes to its cell of each tree, and in the sorted array there
 longest prefix with its own, longer ones before shorter ones, until START vectors are seen. Ascending: in all trees a
 query starts at the same prefix length, that under which about START vectors lie or AHEAD bits more than its k-th score
 asks for, whichever is shorter, and gives up one bit a round, in all trees together; a round scores the vectors under
-the bit just given up, its sibling, so none is scored twice in a tree. The k-th best score so far tells
+the bit just given up, its sibling, so none is scored twice in a tree by the ascent. A tree whose descent saw all under
+a length takes part from there up only, so where neighbours stand out the descent is all. The k-th best score so far tells
 how alike the k nearest are at least, hence how likely each is to share a prefix of the length reached in some tree: a
 query stops at the first length at which that chance is SURE. There is no cap on candidates: where neighbours are
 hardly closer than the rest, queries ascend nearly to the root and many vectors are scored; where they stand out, few
@@ -26,11 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, written
-from .vectors import BLOCK, TILE, best_of, common_length, finite, matrix, packed, ranked, unpack
+from .vectors import BLOCK, TILE, best_of, finite, matrix, of_each_length, packed, ranked, unpack
 
 TREES, DEPTH = 16, 48
 #: Vectors that a query looks at in each tree before ascending.
-START = 64
+START = 32
 #: Least chance of a neighbour as far as the k-th so far to be met.
 SURE = 0.9
 #: Bits that the ascent starts below the length that the descent's k-th score asks for.
@@ -66,7 +67,7 @@ def _hashed(planes, most: float, trees: int, depth: int, bits: int, query: bool)
     return run
 
 
-_FOUND = "query_id long, vec_id long, score double"
+_FOUND = "query_id long, vec_id long, score double, tree int, reached int"
 
 
 def _rows(batches: Iterator[pa.RecordBatch]):
@@ -77,19 +78,28 @@ def _rows(batches: Iterator[pa.RecordBatch]):
             yield row, qs, q, np.frombuffer(row["string"], np.int64), ids, x.astype(np.float64), np.frombuffer(row["x_string"], np.int64)
 
 
-def _result(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], qs: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
-    """What was found, and a row without vec_id for the number of vectors that each query met."""
+def _result(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], qs: np.ndarray, met: np.ndarray, tree: int | None = None, reached: np.ndarray | None = None) -> pa.RecordBatch:
+    """What was found, and a row without vec_id for the number of vectors that each query met and the length reached."""
     q, ids, score = (np.concatenate(c) for c in zip(*found, strict=True))
-    none = pa.array([None] * len(qs), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate((q, qs))), pa.concat_arrays([pa.array(ids), none]), pa.array(np.concatenate((score, met.astype(float))))], names=["query_id", "vec_id", "score"])
+    nulls = lambda n, kind: pa.array([None] * n, kind)
+    last = nulls(len(qs), pa.int32()) if reached is None else pa.array(reached)
+    columns = [
+        pa.array(np.concatenate((q, qs))), pa.concat_arrays([pa.array(ids), nulls(len(qs), pa.int64())]), pa.array(np.concatenate((score, met.astype(float)))),
+        pa.array([tree] * (len(q) + len(qs)), pa.int32()), pa.concat_arrays([nulls(len(q), pa.int32()), last]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score", "tree", "reached"])
 
 
 def _descend(k: int, depth: int, start: int):
-    """In one block's sorted array, the `start` strings with the longest prefixes in common with each query's."""
+    """In one block's sorted array, the `start` strings with the longest prefixes in common with each query's.
+
+    Tells the length from which on the block's strings were all looked at. Of very many strings under one prefix those
+    around the query's place are taken; then none counts as done, and the ascent looks at all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, qs, q, qstring, ids, x, xstring in _rows(batches):
-            found, met = [], np.zeros(len(qs))
+        for row, qs, q, qstring, ids, x, xstring in _rows(batches):
+            found, met, reached = [], np.zeros(len(qs)), np.zeros(len(qs), np.int32)
             for j in range(len(qs)):
                 low, high = 0, len(ids)
                 for bits in range(1, depth + 1):  # while enough strings share one bit more
@@ -97,12 +107,13 @@ def _descend(k: int, depth: int, start: int):
                     a, b = np.searchsorted(xstring, [head, head + (1 << (depth - bits))])
                     if b - a < min(start, len(ids)):
                         break
-                    low, high = a, b
-                if high - low > 4 * start:  # equal strings: those around the query's place would do, all are as near
-                    high = low + 4 * start
+                    low, high, reached[j] = a, b, bits
+                if high - low > 4 * start:
+                    low = max(low, min(int(np.searchsorted(xstring, qstring[j])) - 2 * start, high - 4 * start))
+                    high, reached[j] = low + 4 * start, depth + 1
                 met[j] = high - low
                 found.append(best_of(q[j : j + 1] @ x[low:high].T, qs[j : j + 1], ids[low:high], k))
-            yield _result(found, qs, met)
+            yield _result(found, qs, met, row["tree"], reached)
 
     return run
 
@@ -164,20 +175,22 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     Queries: ids divisible by `every`; candidates: all rows but those with the query's id. Scores are those of the
     original vectors in double precision; ties go to the smaller vec_id. With fewer than k candidates all are
     returned. Rows with a null id, a null, empty or zero vector or a component that is null or not finite take no
-    part, nor do vectors of another length than the most common one. Repeated rows count once; of one id with several
-    vectors the best score counts. Every row is in the index; nothing is fitted. Other columns are not used. Empty
-    input gives an empty result.
+    part. Vectors compare with those of their length, each length is searched for itself. Repeated rows count once; of
+    one id with several vectors the best score counts. Every row is in the index; nothing is fitted. Other columns are
+    not used. Empty input gives an empty result.
     """
-    spark = vectors.sparkSession
     # Floats are kept as they are, in half the space; all sums are of doubles.
     kind, width_of = ("float", "<f4") if dict(vectors.dtypes)[vec_col] == "array<float>" else ("double", "<f8")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda x: x.cast(kind)).alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & finite(F.col("v")) & F.exists("v", lambda x: x != 0))
-    rows = written(common_length(rows), "vectors")
+    rows = written(rows, "vectors")
+    return of_each_length(rows, lambda r: _of_one_length(r, k, every, trees, depth, sure, kind, width_of), "query_id long, rank int, vec_id long, score double, scored long")
+
+
+def _of_one_length(rows: DataFrame, k: int, every: int, trees: int, depth: int, sure: float, kind: str, width_of: str) -> DataFrame:
+    spark = rows.sparkSession
     size = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, most, width = rows.agg(F.count(F.lit(1)), F.max(size), F.max(F.size("v"))).first()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, scored long")
     planes = spark.sparkContext.broadcast(_planes(width + 1, trees, depth))
     bits = int(min(depth // 2, max(0, np.ceil(np.log2(n / (2 * BLOCK))))))
     parts = max(shuffle_partitions(spark), n * trees // (16 * BLOCK))
@@ -198,11 +211,14 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     def meet(queries: DataFrame, step) -> None:
         nonlocal best
         met = _meetings(queries, index, many, bits, depth)
-        rounds.append(written(met.select(*[n for _, n, _ in _PACKED], "x_ids", "x_string", "x_data", "x_kind").mapInArrow(step, _FOUND), "found"))
-        found = rounds[-1].where("vec_id is not null")
+        rounds.append(written(met.select("tree", *[n for _, n, _ in _PACKED], "x_ids", "x_string", "x_data", "x_kind").mapInArrow(step, _FOUND), "found"))
+        found = rounds[-1].where("vec_id is not null").select("query_id", "vec_id", "score")
         best = written(ranked(found if best is None else found.unionByName(best.drop("rank")), k), "best")
 
     meet(asked.withColumns({"length": F.lit(bits).cast("long"), "least": F.lit(float("-inf"))}), _descend(k, depth, START))
+    # All strings under this length were seen in a tree; blocks of one cell share `bits` bits at least.
+    reached = rounds[0].where("vec_id is null").groupBy("tree", "query_id").agg(F.greatest(F.max("reached"), F.lit(bits)).alias("reached"))
+    asked = written(asked.join(reached, ["tree", "query_id"], "left").withColumn("reached", F.coalesce("reached", F.lit(depth + 1))), "reached")
     norms = asked.where("tree = 0").select("query_id", F.sqrt(size).alias("norm"))
     one_tree = 1 - (1 - sure) ** (1 / trees)
     lowest = int(min(depth, max(1, np.floor(np.log2(max(n / START, 2))))))
@@ -220,11 +236,14 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         rows = asked.join(queries.select("query_id", "least", "level"), "query_id")
         turned = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(depth) - F.col("level")).cast("int"))
         string = F.col("string").bitwiseXOR(turned) if sibling else F.col("string")
-        rows = rows.where("level > 1 or tree = 0") if sibling else rows  # at the root one tree has all
+        # Trees that the descent saw further up have nothing new; at the root one tree has all.
+        rows = rows.where("reached >= level and (level > 1 or tree = 0)" if sibling else "reached > level")
         return rows.select("tree", "query_id", string.alias("string"), F.col("level").cast("long").alias("length"), "v", "least")
 
-    # No query starts below the length that the descent's k-th asks for by more than AHEAD: it only gets longer.
-    started = written(so_far().withColumn("level", F.greatest(F.least(F.lit(lowest), F.col("enough") + AHEAD), F.lit(1)).cast("int")), "started")
+    # No query starts below the length that the descent's k-th asks for by more than AHEAD: it only gets longer. Where that
+    # is a long one, it is all that a query has to look under.
+    level = F.when(F.col("enough") >= lowest, F.col("enough")).otherwise(F.greatest(F.least(F.lit(lowest), F.col("enough") + AHEAD), F.lit(1)))
+    started = written(so_far().withColumn("level", F.least(level, F.lit(depth)).cast("int")), "started")
     meet(under(started, False), _under(k, depth))
     for up in range(lowest):
         level = started.select("query_id", (F.col("level") - up).alias("level"))

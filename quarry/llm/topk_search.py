@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, written
-from .vectors import BLOCK, TILE, best_of, common_length, finite, matrix, packed, ranked, unpack
+from .vectors import BLOCK, TILE, best_of, finite, matrix, of_each_length, packed, ranked, unpack
 
 #: Pivots come from about so many vectors, drawn by a hash of their id.
 SAMPLE = 20_000
@@ -188,18 +188,20 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "
 
     Components become floor(scale * x). Queries: ids divisible by `every`; candidates: all rows but those with the
     query's id. Ties go to the smaller vec_id; with fewer than k candidates all are returned. Rows with a null id, a
-    null or empty vector or a component that is null or not finite take no part, nor do vectors of another length
-    than the most common one. Repeated rows count once; of one id with several vectors the best score counts.
-    Components and inner products have to fit 64 bits: beyond, ArithmeticException. Empty input gives an empty result.
+    null or empty vector or a component that is null or not finite take no part. Vectors compare with those of their
+    length, each length is searched for itself. Repeated rows count once; of one id with several vectors the best score
+    counts. Components and inner products have to fit 64 bits: beyond, ArithmeticException. Empty input gives an empty
+    result.
     """
-    spark = vectors.sparkSession
-    result = "query_id long, rank int, vec_id long, score long, scored long"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).where(F.col("vec_id").isNotNull() & finite(F.col("v")))
-    rows = written(common_length(rows).select("vec_id", floored(F.col("v"), scale).alias("v")), "vectors")
+    rows = written(rows.select("vec_id", floored(F.col("v"), scale).alias("v")), "vectors")
+    return of_each_length(rows, lambda r: _of_one_length(r, k, every), "query_id long, rank int, vec_id long, score long, scored long")
+
+
+def _of_one_length(rows: DataFrame, k: int, every: int) -> DataFrame:
+    spark = rows.sparkSession
     size = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, most = rows.agg(F.count(F.lit(1)), F.max(size)).first()
-    if not n:
-        return spark.createDataFrame([], result)
     if most >= 2.0**62:
         raise ArithmeticError("inner products of these vectors do not fit 64 bits")
     drawn = rows.where(F.pmod(F.xxhash64(F.lit("pivot"), "vec_id"), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, SAMPLE / n)))).orderBy("vec_id").limit(2 * SAMPLE).toPandas()

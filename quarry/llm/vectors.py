@@ -6,7 +6,8 @@ large rows, and their scores are one matrix product.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Vectors in a block of an index, and in a tile of queries.
 BLOCK, TILE = 1024, 256
+#: Lengths of vectors in one table.
+MAX_LENGTHS = 64
 
 
 def finite(vector: Column) -> Column:
@@ -23,10 +26,14 @@ def finite(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ok, F.lit(False))
 
 
-def common_length(rows: DataFrame) -> DataFrame:
-    """Rows (vec_id, v) of the length that most have (of equally common ones the largest), as no others compare."""
-    top = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.where(F.size("v") == (top["d"] if top else 0))
+def of_each_length(rows: DataFrame, search: Callable[[DataFrame], DataFrame], empty: str) -> DataFrame:
+    """What `search` finds among the rows (vec_id, v) of each length, as no others compare; without rows, an empty
+    DataFrame of the schema `empty`."""
+    lengths = [r["d"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.lit(1)).orderBy("d").limit(MAX_LENGTHS + 1).collect()]
+    if len(lengths) > MAX_LENGTHS:
+        raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths: each length is an index of its own")
+    found = [search(rows.where(F.size("v") == d) if len(lengths) > 1 else rows) for d in lengths]
+    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], empty)
 
 
 def matrix(column: pa.Array, dtype: type = np.float64) -> np.ndarray:
