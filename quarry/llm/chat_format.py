@@ -30,10 +30,19 @@ def prefix_digests(turns: DataFrame, piece: int = PIECE) -> DataFrame:
     """turns (conv_id, turn, role, text) with pos (1, 2, ...), d1, d2 (digest of the turns up to it) and part (from 0).
 
     Turns go in the order of turn (null first), then role and text; pos counts them. Positions and digests come
-    from two levels, inside pieces of turn numbers and across pieces, so a very long conversation is spread out.
+    from two levels, inside pieces of turn numbers and across pieces, so a very long conversation is spread out. Where a
+    piece of turn numbers holds many more rows, as turns without a number or under one number do, these rows are
+    sorted over all tasks, equal ones in any order, and cut by their running number.
     """
-    t = turns.withColumn("_piece", F.coalesce(F.floor(F.col("turn") / piece), F.lit(-(2**62))))
-    inner = Window.partitionBy("conv_id", "_piece").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    t = turns.withColumn("_slot", F.coalesce(F.floor(F.col("turn") / piece), F.lit(-(2**62))))
+    large = written(t.groupBy("conv_id", "_slot").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 4 * piece).drop("_n"), "chat-large")
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
+    many = t.join(large, ["conv_id", "_slot"], "left_semi").withColumn("_tie", F.monotonically_increasing_id())
+    many = many.repartitionByRange("conv_id", *order, "_tie").sortWithinPartitions("conv_id", *order, "_tie")
+    many = written(many.withColumn("_tie", F.monotonically_increasing_id()), "chat-many")
+    few = t.join(large, ["conv_id", "_slot"], "left_anti").withColumn("_tie", F.lit(0).cast("long"))
+    t = few.unionByName(many).withColumn("_piece", F.struct("_slot", F.floor(F.col("_tie") / piece).alias("cut"))).drop("_slot")
+    inner = Window.partitionBy("conv_id", "_piece").orderBy(*order, "_tie")
     t = t.withColumn("_k", F.row_number().over(inner))
     sizes = t.groupBy("conv_id", "_piece").agg(F.max("_k").alias("_m"))
     across = Window.partitionBy("conv_id").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -51,8 +60,6 @@ def prefix_digests(turns: DataFrame, piece: int = PIECE) -> DataFrame:
     return t.select("conv_id", "turn", "role", "text", "pos", "d1", "d2", "part")
 
 
-
-
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns of the conversations that stay, from the output of prefix_digests.
 
