@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -380,7 +380,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _in_several_components(entries: DataFrame) -> DataFrame:
-    """Entries (token, node, component) of the tokens that more than one component has; one shuffle of the entries."""
-    of_token = Window.partitionBy("token")
-    wide = entries.withColumns({"low": F.min("component").over(of_token), "high": F.max("component").over(of_token)})
-    return wide.where("low < high").select("token", "node", "component")
+    """Entries (token, node, component) of the tokens that more than one component has; one shuffle of the entries, in
+    which a token's are dealt by salt."""
+    dealt = entries.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "node"), F.lit(SALTS)).cast("int")).repartition("token", "salt")
+    of_part = dealt.groupBy("token", "salt").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    several = of_part.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_set("salt").alias("salts")).where("low < high")
+    return dealt.join(several.select("token", F.explode("salts").alias("salt")), ["token", "salt"]).select("token", "node", "component")
