@@ -118,12 +118,15 @@ class Model:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the rows whose lang is not null."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = rows.mapInArrow(_counts, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES * SLOTS + 1).toPandas()
-    found = {lang: np.zeros(SLOTS) for lang in counts["lang"].unique()}
-    if len(found) > MAX_LANGUAGES:
+    counts = rows.mapInArrow(_counts, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    # A row for each language, with up to SLOTS numbers.
+    listed = counts.groupBy("lang").agg(F.collect_list("slot").alias("slot"), F.collect_list("n").alias("n")).limit(MAX_LANGUAGES + 1).toArrow()
+    if listed.num_rows > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
-    for lang, part in counts.groupby("lang"):
-        found[lang][part["slot"].to_numpy()] = part["n"].to_numpy()
+    found = {}
+    for i, lang in enumerate(listed.column("lang").to_pylist()):
+        found[lang] = np.zeros(SLOTS)
+        found[lang][listed.column("slot")[i].values.to_numpy()] = listed.column("n")[i].values.to_numpy()
     return Model(found)
 
 
