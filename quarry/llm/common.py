@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 from operator import and_
 
@@ -16,7 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 PIECE_BITS = 12
 
 _own_dir: dict[str, str] = {}
-_made: dict[str, list[str]] = {}
+#: Where fresh_path lists what it names, in this thread.
+_run: ContextVar[list[str] | None] = ContextVar("_run", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if (made := _run.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -52,20 +57,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def made_so_far(spark: SparkSession) -> int:
-    """A mark for clear()."""
-    return len(_made.get(spark.sparkContext.applicationId, []))
+@contextmanager
+def intermediates() -> Iterator[list[str]]:
+    """The paths of the tables that this thread writes inside: those of one run, whatever else runs in the application."""
+    made: list[str] = []
+    token = _run.set(made)
+    try:
+        yield made
+    finally:
+        _run.reset(token)
 
 
-def clear(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
-    """Deletes the intermediate tables written after a mark, but for the files that `but` reads. Results that are not
-    written yet cannot be computed any more."""
-    kept = but.inputFiles() if but is not None else []
-    paths = _made.get(spark.sparkContext.applicationId, [])
-    for path in [p for p in paths[since:] if not any(p.rsplit("/", 1)[-1] in f for f in kept)]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+def clear(spark: SparkSession, made: list[str]) -> None:
+    """Deletes a run's intermediate tables. Results of them that are not written yet cannot be computed any more."""
+    while made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(made.pop())
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        paths.remove(path)
 
 
 def digest(*cols: Column) -> list[Column]:

@@ -34,7 +34,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text lines of every page, without its host's boilerplate."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", line_dedup.html_lines(F.col("html")).alias("text"))
-    return line_dedup.line_dedup(written(pages, "page-lines"), text_col="text").drop("url")
+    return line_dedup.line_dedup(written(pages, "page-lines"), text_col="text", min_pages=line_dedup.MIN_PAGES).drop("url")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
