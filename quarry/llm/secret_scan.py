@@ -7,7 +7,8 @@ are log10 of guesses and add up, with a charge for each segment, so the least su
 over places, linear in the value's length. A value of STRONG or more is a secret; "token: authentication" is not.
 
 The dictionary is the corpus' own: all words of all texts but those in credential values, by how often they occur; the
-WORDS most frequent ones are broadcast with their ranks, whatever the corpus' size. Texts are read twice, by the task that
+WORDS most frequent ones are broadcast with their ranks, whatever the corpus' size, and a few words that are COMMON in
+passwords. Texts are read twice, by the task that
 reads them, and never shuffled: only counts of words are, added up in each task before.
 """
 
@@ -46,6 +47,12 @@ _CONTEXT = re.compile(
 #: One of these is in every lower-cased text that has an `assign` or a context.
 _HINTS = ("pass", "secret", "token", "key", "credential", "pwd", "bearer", "://")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Words that people choose for passwords and writers of examples for secrets, likely ones first.
+COMMON = (
+    "password", "admin", "welcome", "letmein", "qwerty", "dragon", "monkey", "master", "login", "secret", "changeme", "default", "example", "test",
+    "guest", "root", "user", "token", "sunshine", "princess", "football", "shadow", "superman", "iloveyou", "abc", "your", "key", "value",
+    "placeholder", "none", "null", "undefined", "hidden", "redacted", "private", "public", "server", "database", "temp", "hello", "trustno",
+)
 
 
 class Found(NamedTuple):
@@ -217,7 +224,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     A null or empty text holds nothing. Repeated rows are all scanned. Values of any length are scored whole. An input's
     column named `found` is left out; other names do not clash. Empty input gives an empty result.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(dictionary(docs, F.col(f"`{text_col}`"), words))
+    own = dictionary(docs, F.col(f"`{text_col}`"), words)
+    ranks = docs.sparkSession.sparkContext.broadcast({**own, **{w: min(i, own.get(w, i)) for i, w in enumerate(COMMON, 1)}})
     rows, back = carried(docs, F.col(f"`{text_col}`"), keep, ["found"])
     kind = rows.schema["kept"].dataType.simpleString()
     found_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("guesses", pa.float64())]))
