@@ -14,15 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, language_id, line_dedup, mixing, ngram_jaccard
-from quarry.llm.common import WORD, clear, made_so_far, numbered, table, written
+from quarry.llm.common import WORD, clear, digest, intermediates, numbered, table, written
 from quarry.session import ship
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows in one struct `doc`, whatever their columns are called, but for the text, with the columns that stages work on
-    and `row`, what tells rows apart: a digest of all columns."""
-    row = F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), row.alias("row"), "doc_id", "text", "source")
+    and what tells rows apart: `row` and `row2`, together a 128-bit digest of all columns."""
+    row, row2 = digest(*[x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), row.alias("row"), row2.alias("row2"), "doc_id", "text", "source")
 
 
 def _again(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
@@ -62,22 +62,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     # Equal rows are near-duplicates of each other; the first of them is found before texts are shuffled.
     keyed = _keyed(docs.where(~wordless))
-    groups = ngram_jaccard.ngram_jaccard_join(keyed, id_col="row", keep=["doc_id"])
-    order = F.struct(F.col("kept.doc_id").isNull(), F.col("kept.doc_id"), F.col("doc_id"))
-    first = groups.groupBy("class").agg(F.min_by("doc_id", order).alias("row")).select("row")
-    kept = keyed.select("doc", "row", "text").dropDuplicates(["row"]).join(first, "row", "left_semi")
+    groups = ngram_jaccard.ngram_jaccard_join(keyed, id_col="row", keep=["doc_id", "row2"])
+    order = F.struct(F.col("kept.doc_id").isNull(), F.col("kept.doc_id"), F.col("doc_id"), F.col("kept.row2"))
+    first = groups.groupBy("class").agg(F.min_by(F.struct(F.col("doc_id").alias("row"), F.col("kept.row2").alias("row2")), order).alias("f")).select("f.*")
+    kept = keyed.select("doc", "row", "row2", "text").dropDuplicates(["row", "row2"]).join(first, ["row", "row2"], "left_semi")
     return _again(kept, docs).unionByName(docs.where(wordless))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that the sources' words come near their targets."""
     ship(spark)
-    keyed = _keyed(docs)
-    taken = mixing.mix(keyed, id_col="row").groupBy(F.col("doc_id").alias("row"))
+    keyed = _keyed(docs).withColumn("key", F.concat_ws(" ", "row", "row2"))
+    taken = mixing.mix(keyed, id_col="key").groupBy(F.col("doc_id").alias("key"))
     taken = written(taken.agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")), "copies")
-    due = keyed.select("doc", "row", "text").join(taken, "row")
+    due = keyed.select("doc", "key", "text").join(taken, "key")
     # Equal rows share their copies, the first ones taking what is over.
-    again = numbered(due.where("rows > 1"), ["row"])
+    again = numbered(due.where("rows > 1"), ["key"])
     due = due.where("rows = 1").withColumn("nth", F.lit(0).cast("long")).unionByName(again)
     own = F.floor(F.col("copies") / F.col("rows")) + (F.col("nth") < F.col("copies") % F.col("rows")).cast("long")
     return _again(due.select("doc", "text", F.explode(F.array_repeat(F.lit(1), own.cast("int")))), docs)
@@ -105,7 +105,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        mark = made_so_far(spark)
-        docs = written(stage(spark, docs, sf_dir), name)
-        clear(spark, mark, but=docs)  # what the stage wrote on its way
+        with intermediates() as made:
+            staged = stage(spark, docs, sf_dir)
+        docs = written(staged, name)
+        clear(spark, made)  # what the stage wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
