@@ -20,7 +20,7 @@ def ship(spark: SparkSession) -> None:
     path = Path(tempfile.mkdtemp(prefix="quarry-")) / "quarry.zip"
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(root.rglob("*")):
-            if p.suffix in (".py", ".json") and "__pycache__" not in p.parts:
+            if p.suffix in (".py", ".json", ".txt") and "__pycache__" not in p.parts:
                 z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
