@@ -5,6 +5,8 @@ Queries are a DataFrame. A ranking is rows (qid, id, score), a fused one has the
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import reduce
 from operator import and_
@@ -19,10 +21,14 @@ from quarry.functions.text import tokens
 
 RRF_K = 60
 K1, B = 1.2, 0.75
-#: Query vectors that are sent to all tasks at once, and terms that are.
-BROADCAST_ROWS, TERMS_SENT = 10_000, 5_000
+#: Vectors of the corpus, and of queries, in a tile: their products have a million cells, 8 MB.
+CORPUS_TILE, QUERY_TILE = 4096, 256
+#: Terms of queries that are sent to all tasks at once.
+TERMS_SENT = 5_000
 #: Pairs of query and term that are.
 PAIRS_SENT = 200_000
+#: Bytes of files that are one partition, about; counted tokens in one batch of rows.
+SPLIT_BYTES, ROWS_OUT = 64 << 20, 50_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -45,76 +51,167 @@ def top_k(ranking: DataFrame, k: int) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores, if it has fewer: a small file is one partition, whatever its rows
-    cost to work on."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df in as many partitions as there are cores, if the files it reads are so small that they may be fewer: a small
+    file is one partition, whatever its rows cost to work on. Tells by sizes, without a job; large inputs stay as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 
-def _nearest(asked, width: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The k best of each query in each batch of the corpus, by one matrix product."""
+def tiles(rows: DataFrame, id_col: str, vector_col: str, size: int, prefix: str) -> DataFrame:
+    """Vectors as unit vectors in tiles of up to `size`, made where they are: rows ({prefix}ids array, {prefix}width int,
+    {prefix}data binary). Null and zero vectors, and those with a null or non-finite component, are in none."""
+    ids = rows.schema[id_col].dataType
+    schema = T.StructType([T.StructField(f"{prefix}ids", T.ArrayType(ids)), T.StructField(f"{prefix}width", T.IntegerType()), T.StructField(f"{prefix}data", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[pa.Array, np.ndarray]]] = {}
+
+        def cut(width: int, end: bool) -> Iterator[pa.RecordBatch]:
+            own = held.get(width, [])
+            if not own or (not end and sum(len(x) for _, x in own) < size):
+                return
+            keys, x = pa.concat_arrays([k for k, _ in own]), np.concatenate([v for _, v in own])
+            whole = len(x) if end else len(x) // size * size
+            for i in range(0, whole, size):
+                n = min(size, whole - i)
+                lists = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), keys.slice(i, n))
+                yield pa.RecordBatch.from_arrays([lists, pa.array([width], pa.int32()), pa.array([x[i : i + n].tobytes()], pa.binary())], names=schema.names)
+            held[width] = [(keys.slice(whole), x[whole:])]
+
+        for batch in batches:
+            for width, at, x in unit_vectors(batch.column("v")):
+                held.setdefault(width, []).append((batch.column("id").take(pa.array(at)), x))
+                yield from cut(width, False)
+        for width in list(held):
+            yield from (t for t in cut(width, True) if len(t.column(0)[0]))
+
+    return rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, schema)
+
+
+def unit_vectors(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, matrix) of the vectors of each length in a list column that have a direction."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    ends = np.cumsum(lengths)
+    for width in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == width)
+        x = flat[(ends[at] - width)[:, None] + np.arange(width)]
+        norm = np.sqrt((x * x).sum(axis=1))
+        ok = np.isfinite(norm) & (norm > 0)
+        yield int(width), at[ok], x[ok] / norm[ok, None]
+
+
+def best_in_tile(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k best of each row of scores, with all that tie at the end of k."""
+    n = scores.shape[1]
+    low = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+    return np.nonzero(scores >= low[:, None])
+
+
+def _nearest(k: int):
+    """The k best of each query of a tile in a tile of the corpus: one matrix product of a bounded number of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = asked.value
         for batch in batches:
-            x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-            norm = np.sqrt((x * x).sum(axis=1))
-            at = np.flatnonzero(norm > 0)
-            if not len(at) or not len(qids):
-                continue
-            scores = np.round(q @ (x[at] / norm[at, None]).T, 12)  # equal vectors tie, wherever they stand
-            low = np.partition(scores, max(len(at) - k, 0), axis=1)[:, max(len(at) - k, 0)]
-            r, c = np.nonzero(scores >= low[:, None])
-            yield pa.RecordBatch.from_arrays([qids.take(pa.array(r)), batch.column("id").take(pa.array(at[c])), pa.array(scores[r, c])], names=["qid", "id", "score"])
+            for i in range(len(batch)):
+                width, qwidth = batch.column("width")[i].as_py(), batch.column("qwidth")[i].as_py()
+                if width != qwidth:
+                    continue
+                q, x = (np.frombuffer(batch.column(c)[i].as_buffer(), "<f8").reshape(-1, width) for c in ("qdata", "data"))
+                scores = np.round(q @ x.T, 12)  # equal vectors tie, wherever they stand
+                r, c = best_in_tile(scores, k)
+                yield pa.RecordBatch.from_arrays([batch.column("qids")[i].values.take(pa.array(r)), batch.column("ids")[i].values.take(pa.array(c)), pa.array(scores[r, c])], names=["qid", "id", "score"])
 
     return run
 
 
+def ranking_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", corpus.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+
+
 def dense_search(corpus: DataFrame, queries: DataFrame, k: int = 20, filters: Mapping[str, object] | None = None) -> DataFrame:
     """Exact cosine top-k. corpus: id, vector and what filters name; queries: qid, qvector. Filters go to the scan.
 
-    Queries are sent to the corpus as one matrix, in portions of BROADCAST_ROWS if there are more, and meet it where it
-    is read: no pair is a row before its score is among the k best of its batch. Null and zero vectors, and those of
-    another length than the queries', have no score.
+    Both sides become tiles where they are read, QUERY_TILE queries and CORPUS_TILE vectors at most, and every tile of
+    queries meets every tile of the corpus: a query set against all rows, in blocks, of which Spark sends the
+    smaller side or deals pairs out. Nothing goes through the driver, a product has a bounded number of cells,
+    and no pair is a row before its score is among the k best of its tile. Null and zero vectors have no score, nor do
+    vectors of another length than the query's.
     """
-    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("qvector"))).first()
-    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", corpus.schema["id"].dataType), T.StructField("score", T.DoubleType())])
-    whole = lambda v: F.coalesce((F.size(v) == (width or 0)) & F.forall(v, lambda x: x.isNotNull()), F.lit(False))
-    rows = spread(corpus.where(scalar_filter(filters or {})).where(whole(F.col("vector"))).select("id", "vector"))
-    portions = max(1, -(-n // BROADCAST_ROWS))
-    found = []
-    for i in range(portions):
-        part = queries.where(whole(F.col("qvector")) & (F.pmod(F.xxhash64("qid"), F.lit(portions)) == i)).select("qid", "qvector").toArrow()
-        q = np.array(part.column("qvector").to_pylist(), float).reshape(-1, width or 1)
-        norm = np.sqrt((q * q).sum(axis=1))
-        sent = (part.column("qid").combine_chunks().filter(pa.array(norm > 0)), q[norm > 0] / norm[norm > 0, None])
-        found.append(rows.mapInArrow(_nearest(rows.sparkSession.sparkContext.broadcast(sent), width, k), schema))
-    return top_k(reduce(DataFrame.unionByName, found), k)
+    rows = spread(corpus.where(scalar_filter(filters or {})).select("id", "vector"))
+    told = tiles(rows, "id", "vector", CORPUS_TILE, "")
+    asked = tiles(queries.select("qid", "qvector"), "qid", "qvector", QUERY_TILE, "q")
+    return top_k(told.crossJoin(asked).mapInArrow(_nearest(k), ranking_schema(queries, corpus)), k)
+
+
+_RUNS = re.compile(r"[^\W_]+")
+
+
+def term_counts(corpus: DataFrame, asked: list[str] | None = None) -> DataFrame:
+    """(id, dl, token, tf): how often each text has each of its tokens, or each of `asked`, and its number of tokens; and
+    a row of token "" for each text. Tokens are those of functions.text.tokens, counted where the text is read."""
+    schema = T.StructType([T.StructField("id", corpus.schema["id"].dataType), *T.StructType.fromDDL("dl int, token string, tf int")])
+    sent = corpus.sparkSession.sparkContext.broadcast(None if asked is None else frozenset(asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = sent.value
+        for batch in batches:
+            at, dl, token, tf = [], [], [], []
+
+            def out(ids: pa.Array) -> pa.RecordBatch:
+                columns = [ids.take(pa.array(at, pa.int64())), pa.array(dl, pa.int32()), pa.array(token, pa.string()), pa.array(tf, pa.int32())]
+                return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+            for i, text in enumerate(batch.column("text")):
+                runs = _RUNS.findall((text.as_py() or "").lower())
+                n = Counter(runs if kept is None else filter(kept.__contains__, runs))
+                n[""] = 1
+                at += [i] * len(n)
+                dl += [len(runs)] * len(n)
+                token += n.keys()
+                tf += n.values()
+                if len(at) > ROWS_OUT:
+                    yield out(batch.column("id"))
+                    at, dl, token, tf = [], [], [], []
+            yield out(batch.column("id"))
+
+    return corpus.select("id", "text").mapInArrow(run, schema)
+
+
+def bm25_part(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
+    """What a token that a text has tf times gives to its score."""
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
+def asked_terms(queries: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """(qid, token) of the queries' distinct tokens; and these tokens, unless they are more than TERMS_SENT."""
+    terms = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("qtext")))).alias("token"))
+    asked = [r[0] for r in terms.select("token").distinct().limit(TERMS_SENT + 1).collect()]
+    return terms, asked if len(asked) <= TERMS_SENT else None
 
 
 def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B) -> DataFrame:
     """BM25 top-k. corpus: id, text; queries: qid, qtext.
 
-    Texts are cut into tokens once. Of each only the queries' terms go on, and one row, of token "", that counts the text
-    and its length: so one table by token holds document frequencies and, there, the corpus' size.
+    Texts are read and counted once. Only the counts of the queries' terms go on, with one row of token "" for each text,
+    so one table by token holds document frequencies and, there, the corpus' size. For many searches over one corpus
+    see text_index, which reads no text.
     """
-    terms = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("qtext")))).alias("token"))
-    asked = [r[0] for r in terms.select("token").distinct().limit(TERMS_SENT + 1).collect()]
-    few = len(asked) <= TERMS_SENT
-    docs = spread(corpus.select("id", "text")).select("id", tokens(F.col("text")).alias("ts"))
-    kept = F.filter("ts", lambda t: t.isin(asked)) if few else F.col("ts")
-    # Dealt by text once its terms are picked: counts of a text, and its scores, then need no other shuffle.
-    picked = docs.select("id", F.size("ts").alias("dl"), F.concat(F.array(F.lit("")), kept).alias("ts")).repartition("id")
-    posting = picked.select("id", "dl", F.explode("ts").alias("t"))
-    tf = posting.groupBy("id", F.coalesce("t", F.lit("")).alias("token"), "dl").agg(F.count(F.lit(1)).alias("tf"))
+    terms, asked = asked_terms(queries)
+    few = asked is not None
+    # Dealt by text: the frequencies and the scores read the same shuffle.
+    tf = term_counts(spread(corpus.select("id", "text")), asked).repartition("id")
     by_token = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("words"))
     # Not filtered by token, so that both uses read the same shuffle.
     size = lambda c: F.max(F.when(F.col("token") == "", F.col(c)))
     stats = by_token.agg(size("df").alias("n"), (size("words") / size("df")).alias("avgdl"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     # A row for each term: sent to the postings where there are few, so that these stay spread as they are.
     df = F.broadcast(by_token.drop("words")) if few else by_token.drop("words")
+    part = bm25_part(*map(F.col, ("tf", "dl", "df", "n", "avgdl")), k1, b)
     weighted = tf.join(df, "token").crossJoin(F.broadcast(stats)).select("token", "id", part.alias("part"))
     asking = F.broadcast(terms) if few and terms.limit(PAIRS_SENT + 1).count() <= PAIRS_SENT else terms
     return top_k(weighted.join(asking, "token").groupBy("qid", "id").agg(F.round(F.sum("part"), 9).alias("score")), k)

@@ -246,7 +246,7 @@ _BM25 = r"""(WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(tex
 _page("dense_top_k", f"SELECT qid, id, rank, round(score, 6) AS score FROM {_DENSE.format('')}", lambda s, d: R.dense_search(*_vectors(s, d)).withColumn("score", F.round("score", 6)))
 _page("dense_filtered", f"SELECT qid, id, rank, round(score, 6) AS score FROM {_DENSE.format(' AND e.label IN (1, 2, 3)')}", lambda s, d: R.dense_search(*_vectors(s, d), filters={"label": [1, 2, 3]}).withColumn("score", F.round("score", 6)))
 _page("bm25_top_k", f"SELECT qid, id, round(score, 9) AS score FROM {_BM25} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 20",
-      lambda s, d: R.top_k(R.bm25_search(*_texts(s, d), k=60).withColumn("score", F.round("score", 9)), 20).select("qid", "id", "score"))
+      lambda s, d: R.bm25_search(*_texts(s, d)).select("qid", "id", "score"))
 _page("rrf_fusion", f"""WITH a AS (SELECT qid, id, rank FROM {_DENSE.format('')}), b AS (SELECT qid, id, rank FROM {_DENSE.format(' AND e.label IN (1, 2, 3)')}),
 f AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2)
 SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS rank FROM f QUALIFY rank <= 20""",
@@ -556,3 +556,6 @@ _page("soft_deleted", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM la
 _page("registered_documents", """SELECT substring(md5('d' || p_partkey), 1, 16) AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 'queued' ELSE 'ready' END AS status, CASE WHEN p_partkey % 2 = 0 THEN 'd' || p_partkey END AS doc_name FROM part""",
       lambda s, d: etl.registered(read(s, d, "part").select(X.doc_id(F.concat(F.lit("d"), "p_partkey")).alias("doc_id"), F.lit("ready").alias("status")),
                                   read(s, d, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("d"), "p_partkey").alias("doc_name"))).select("doc_id", "status", "doc_name"))
+
+
+from quarry.plans import stored_queries  # noqa: E402, F401  registers its queries too

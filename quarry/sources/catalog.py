@@ -144,6 +144,17 @@ def distinct_values(rows: DataFrame, table: str, column: str) -> DataFrame:
     return value.select(F.concat_ws(".", F.lit(table), F.lit(column), "value").alias("id"), F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "value")
 
 
+def profile(catalog: Catalog, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(id, n_rows, n_values, n_distinct) of every column of the catalog whose table is given, in one pass over each."""
+    found = []
+    for t in catalog.tables:
+        if t.name not in tables:
+            continue
+        figures = [F.struct(F.lit(f"{t.name}.{c.name}").alias("id"), F.count(F.lit(1)).alias("n_rows"), F.count(c.name).alias("n_values"), F.count_distinct(c.name).alias("n_distinct")) for c in t.columns]
+        found.append(tables[t.name].agg(F.array(*figures).alias("f")).select(F.inline("f")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def embedding_text(name: SparkColumn, description: SparkColumn, aliases: SparkColumn) -> SparkColumn:
     """The text that stands for a column or metric in a vector index."""
     return F.concat_ws("; ", name, F.nullif(description, F.lit("")), F.nullif(F.array_join(aliases, ", "), F.lit("")))

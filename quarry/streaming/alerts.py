@@ -55,6 +55,21 @@ def histogram_quantile(hist: DataFrame, q: float, bounds: tuple[float, ...] = BU
     return hist.select("start", F.when(F.col("total") > 0, F.coalesce(value, F.lit(bounds[-1]))).alias("value"))
 
 
+def sketches(events: DataFrame, value: str, width: str, *labels: str, k: int = 400) -> DataFrame:
+    """(start, labels..., n, sketch): a quantile sketch of each window, which can be merged with others. Nulls do not
+    count."""
+    by = events.where(F.col(value).isNotNull()).groupBy(F.window("ts", width).alias("w"), *labels)
+    return by.agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch")).select(F.col("w.start").alias("start"), *labels, "n", "sketch")
+
+
+def sliding_quantiles(rows: DataFrame, q: list[float], width: str, slide: str, *labels: str) -> DataFrame:
+    """(start, labels..., n, values): quantiles over sliding windows from the sketches of short ones (see sketches), whose
+    width divides slide and width. A short window's sketch goes to each sliding window that holds it; events do not."""
+    by = rows.groupBy(F.window("start", width, slide).alias("w"), *labels).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    values = F.array(*[F.kll_sketch_get_quantile_double("sketch", F.lit(float(x))) for x in q])
+    return by.select(F.col("w.start").alias("start"), *labels, "n", values.alias("values"))
+
+
 def firing(windows: DataFrame, condition: Column, width: str, at_least: str, *labels: str) -> DataFrame:
     """(labels..., since, until): runs of windows, one after the other, in which a condition holds for `at_least`.
 
