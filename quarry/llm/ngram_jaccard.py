@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -57,6 +57,8 @@ POOL = 2_000_000
 PAIRS_SENT = 500_000
 #: Parts that the documents asking for one block are dealt into.
 SALTS = 16
+#: The most frequent tokens, whose entries are dealt into parts too.
+HOT = 2000
 #: Size of the filter that tells tasks which documents are needed (1 MB); beyond its capacity it only lets more pass.
 FILTER_BITS = 1 << 23
 
@@ -327,7 +329,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prefixes = source.rows.select("id", "text").where("id is not null").mapInArrow(_prefixes(common, percent), "id long, sig binary, prefix array<bigint>")
     named = nodes.select("id", "sig", "node").join(members.select("node", "component"), "node")
     entries = prefixes.join(named, ["id", "sig"]).select(F.explode("prefix").alias("token"), "node", "component")
-    shared = _in_several_components(entries)
+    hot = spark.createDataFrame(often[["common"]].head(HOT).rename(columns={"common": "token"}), "token long")
+    shared = _in_several_components(entries, hot)
     # What a block's smallest set is travels with its members: a block has a bounded number of them, but not of askers.
     smallest = members.groupBy("group", "block").agg(F.min("n").alias("smallest"))
     told = members.select("node", "n", "group", "block").join(smallest, ["group", "block"])
@@ -379,10 +382,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "class", "kept")
 
 
-def _in_several_components(entries: DataFrame) -> DataFrame:
-    """Entries (token, node, component) of the tokens that more than one component has; one shuffle of the entries, in
-    which a token's are dealt by salt."""
-    dealt = entries.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "node"), F.lit(SALTS)).cast("int")).repartition("token", "salt")
-    of_part = dealt.groupBy("token", "salt").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    several = of_part.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_set("salt").alias("salts")).where("low < high")
-    return dealt.join(several.select("token", F.explode("salts").alias("salt")), ["token", "salt"]).select("token", "node", "component")
+def _in_several_components(entries: DataFrame, often: DataFrame) -> DataFrame:
+    """Entries (token, node, component) of the tokens that more than one component has; one shuffle of the entries.
+
+    often: the HOT tokens that most documents have, in which case their entries are dealt by salt, and their components
+    are found by an aggregate; every other token has a share below 1 / HOT.
+    """
+    hot = F.broadcast(often.withColumn("hot", F.lit(True)))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(F.lit("salt"), "node"), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = entries.join(hot, "token", "left").withColumn("salt", salt).repartition("token", "salt")
+    ends = dealt.where("hot").groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("last"))
+    of_part = Window.partitionBy("token", "salt")
+    wide = dealt.withColumns({"low": F.min("component").over(of_part), "high": F.max("component").over(of_part)})
+    wide = wide.join(F.broadcast(ends), "token", "left")
+    return wide.where(F.coalesce("first", "low") < F.coalesce("last", "high")).select("token", "node", "component")
