@@ -41,10 +41,10 @@ def trace_stats(feedback: DataFrame) -> DataFrame:
 
 def linked_feedback(feedback: DataFrame, trace: str, rating: int, comment: str) -> DataFrame:
     """feedback with the first row of a trace patched: a rating other than 0 replaces, a comment is appended after ` | `."""
-    first = F.row_number().over(Window.partitionBy("trace").orderBy("id")) == 1
-    hit = (F.col("trace") == trace) & F.col("_first")
+    first = feedback.where(F.col("trace") == trace).agg(F.min("id").alias("_first"))  # one row, found by a filter
+    hit = (F.col("trace") == trace) & (F.col("id") == F.col("_first"))
     joined = F.concat_ws(" | ", F.nullif("comment", F.lit("")), F.nullif(F.lit(comment), F.lit("")))
-    out = feedback.withColumn("_first", first)
+    out = feedback.crossJoin(F.broadcast(first))
     out = out.withColumn("rating", F.when(hit & (F.lit(rating) != 0), F.lit(rating)).otherwise(F.col("rating")))
     return out.withColumn("comment", F.when(hit, F.nullif(joined, F.lit(""))).otherwise(F.col("comment"))).drop("_first")
 

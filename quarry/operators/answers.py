@@ -6,13 +6,20 @@ record) with JSON records, and SQL answers (qid, answer).
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import score_in, tokens
+from quarry.sources.store import fresh_folder
+from quarry.streaming.limits import with_retry
 
 from .retrieval import overlap_score, parent_context
 
@@ -27,15 +34,43 @@ CHANNEL_FILTERS: Mapping[str, Mapping[str, object]] = {"doc_rag": {}, "change_re
 Channel = Callable[[], DataFrame]
 
 
-def run_channels(channels: Mapping[str, Channel]) -> dict[str, DataFrame | None]:
-    """What each channel gives; None for one that fails, which leaves the others as they are."""
-    found: dict[str, DataFrame | None] = {}
-    for name, channel in channels.items():
+def run_channels(channels: Mapping[str, Channel], attempts: int = 1, timeout: float | None = None, sleep: Callable[[float], None] = time.sleep) -> dict[str, DataFrame | None]:
+    """What each channel gives, as written tables; None for one that fails, which leaves the others as they are.
+
+    Channels run at the same time. A channel's result is written where it is asked for, so what goes wrong in its jobs
+    is seen as well as what goes wrong while it is planned. A channel is tried `attempts` times with growing pauses; one
+    that takes longer than `timeout` seconds in all has its jobs cancelled.
+    """
+    sc = SparkContext.getOrCreate()
+
+    def one(channel: Channel) -> DataFrame | None:
+        tag = f"channel-{uuid.uuid4().hex}"
+        sc.addJobTag(tag)
+        late = threading.Event()
+        timer = threading.Timer(timeout, lambda: (late.set(), sc.cancelJobsWithTag(tag))) if timeout else None
+        if timer:
+            timer.start()
+
+        def written() -> DataFrame:
+            if late.is_set():
+                raise TimeoutError
+            df = channel()
+            path = fresh_folder(df.sparkSession, "channel")
+            df.write.parquet(path)
+            return df.sparkSession.read.schema(df.schema).parquet(path)
+
         try:
-            found[name] = channel()
+            return with_retry(written, attempts, sleep=sleep)  # type: ignore[return-value]
         except Exception:  # noqa: BLE001  whatever a channel fails of, its status says so
-            found[name] = None
-    return found
+            return None
+        finally:
+            if timer:
+                timer.cancel()
+            sc.removeJobTag(tag)
+
+    with ThreadPoolExecutor(max(1, len(channels))) as pool:
+        running = {name: pool.submit(one, channel) for name, channel in channels.items()}
+        return {name: r.result() for name, r in running.items()}
 
 
 def channel_status(found: Mapping[str, DataFrame | None], queries: DataFrame, texts: tuple[str, ...] = ("nl2sql",)) -> DataFrame:

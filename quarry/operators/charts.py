@@ -89,14 +89,59 @@ def serializable(df: DataFrame) -> DataFrame:
     return df.select(*map(shown, df.schema))
 
 
-def option(df: DataFrame, kind: str, x: str | None = None, y: str | None = None, rows: int = 1000) -> dict:
-    """A chart description with its data, of at most `rows` rows."""
+def number(value: object) -> float | int:
+    """A value as a number, a whole one as an int; 0 for what reads as none."""
+    try:
+        x = float(value)  # type: ignore[arg-type]
+    except (TypeError, ValueError):
+        return 0
+    return int(x) if x.is_integer() else x
+
+
+def _lines(kind: str):
+    """One series, or one for each value of `by`: the first row of a category counts, a missing one is 0."""
+
+    def build(data: list[dict], x: str, y: str, by: str | None) -> dict:
+        if by is None:
+            return {"type": kind, "x": [r[x] for r in data], "series": [{"name": y, "data": [number(r[y]) for r in data]}]}
+        names = list(dict.fromkeys(r[x] for r in data))
+        values: dict = {}
+        for r in data:
+            values.setdefault(r[by], {}).setdefault(r[x], number(r[y]))
+        return {"type": kind, "x": names, "series": [{"name": g, "data": [v.get(n, 0) for n in names]} for g, v in values.items()]}
+
+    return build
+
+
+def _heatmap(data: list[dict], x: str, y: str, by: str | None) -> dict:
+    """Cells (place of x, place of y, value) over the categories of x and `by`, and the greatest value."""
+    if by is None:
+        return _table(data, x, y, by) | {"type": "heatmap"}
+    xs, ys = ({v: i for i, v in enumerate(dict.fromkeys(r[c] for r in data))} for c in (x, by))
+    cells: dict[tuple[int, int], float] = {}
+    for r in data:
+        at = xs[r[x]], ys[r[by]]
+        cells[at] = cells.get(at, 0) + number(r[y])
+    return {"type": "heatmap", "x": list(xs), "y": list(ys), "data": [[i, j, number(v)] for (i, j), v in cells.items()], "max": number(max(cells.values(), default=0))}
+
+
+def _table(data: list[dict], x: str, y: str, by: str | None) -> dict:
+    return {"type": "table", "columns": list(data[0]) if data else [], "rows": data}
+
+
+#: Builders of descriptions by kind of chart; unknown kinds are tables.
+BUILDERS = {
+    "bar": _lines("bar"), "line": _lines("line"), "heatmap": _heatmap, "table": _table,
+    "pie": lambda data, x, y, by: {"type": "pie", "data": [{"name": r[x], "value": number(r[y])} for r in data]},
+    "scatter": lambda data, x, y, by: {"type": "scatter", "data": [[number(r[x]), number(r[y])] for r in data]},
+}
+
+
+def option(df: DataFrame, kind: str, x: str | None = None, y: str | None = None, rows: int = 1000, by: str | None = None) -> dict:
+    """A chart description with its data, the rows in their order. by: a column whose values are series of their own, or the
+    other axis of a heatmap. More than `rows` rows are an error: a chart of that many is to be aggregated first."""
     x, y = axis(df, x, y)
-    data = [r.asDict() for r in serializable(df).limit(rows).collect()]
-    if kind == "pie":
-        return {"type": "pie", "data": [{"name": r[x], "value": r[y]} for r in data]}
-    if kind in ("bar", "line"):
-        return {"type": kind, "x": [r[x] for r in data], "series": [{"name": y, "data": [r[y] for r in data]}]}
-    if kind == "scatter":
-        return {"type": "scatter", "data": [[r[x], r[y]] for r in data]}
-    return {"type": kind, "columns": df.columns, "rows": data}
+    data = [r.asDict() for r in serializable(df).limit(rows + 1).collect()]
+    if len(data) > rows:
+        raise ValueError(f"more than {rows} rows to draw")
+    return BUILDERS.get(kind, _table)(data, x, y, by if by in df.columns else None)

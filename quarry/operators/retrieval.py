@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.text import tokens
+from quarry.functions.text import first_json_object, tokens
 
 RRF_K = 60
 K1, B = 1.2, 0.75
 #: Vectors of the corpus, and of queries, in a tile: their products have a million cells, 8 MB.
 CORPUS_TILE, QUERY_TILE = 4096, 256
-#: Terms of queries that are sent to all tasks at once.
-TERMS_SENT = 5_000
+#: Query vectors that are sent to all tasks at once, and terms of queries that are.
+BROADCAST_ROWS, TERMS_SENT = 10_000, 5_000
 #: Pairs of query and term that are.
 PAIRS_SENT = 200_000
 #: Bytes of files that are one partition, about; counted tokens in one batch of rows.
@@ -117,9 +117,7 @@ def _nearest(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                width, qwidth = batch.column("width")[i].as_py(), batch.column("qwidth")[i].as_py()
-                if width != qwidth:
-                    continue
+                width = batch.column("width")[i].as_py()
                 q, x = (np.frombuffer(batch.column(c)[i].as_buffer(), "<f8").reshape(-1, width) for c in ("qdata", "data"))
                 scores = np.round(q @ x.T, 12)  # equal vectors tie, wherever they stand
                 r, c = best_in_tile(scores, k)
@@ -136,15 +134,24 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int = 20, filters: Ma
     """Exact cosine top-k. corpus: id, vector and what filters name; queries: qid, qvector. Filters go to the scan.
 
     Both sides become tiles where they are read, QUERY_TILE queries and CORPUS_TILE vectors at most, and every tile of
-    queries meets every tile of the corpus: a query set against all rows, in blocks, of which Spark sends the
-    smaller side or deals pairs out. Nothing goes through the driver, a product has a bounded number of cells,
-    and no pair is a row before its score is among the k best of its tile. Null and zero vectors have no score, nor do
-    vectors of another length than the query's.
+    queries meets every tile of the corpus: a query set against all rows, in blocks. Up to BROADCAST_ROWS queries are sent
+    to all tasks; of more, every part of the corpus gets the tiles through a shuffle. No vector goes through the driver, a
+    product has a bounded number of cells, and no pair is a row before its score is among the k best of its tile. Null
+    and zero vectors have no score, nor do vectors of another length than the query's.
     """
+    spark = corpus.sparkSession
     rows = spread(corpus.where(scalar_filter(filters or {})).select("id", "vector"))
     told = tiles(rows, "id", "vector", CORPUS_TILE, "")
     asked = tiles(queries.select("qid", "qvector"), "qid", "qvector", QUERY_TILE, "q")
-    return top_k(told.crossJoin(asked).mapInArrow(_nearest(k), ranking_schema(queries, corpus)), k)
+    alike = F.col("width") == F.col("qwidth")
+    if queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        pairs = told.join(F.broadcast(asked), alike)
+    else:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        told = told.withColumn("part", F.pmod(F.xxhash64("data"), F.lit(parts)).cast("int"))
+        every = asked.withColumn("qpart", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = told.join(every.hint("merge"), (F.col("part") == F.col("qpart")) & alike)
+    return top_k(pairs.select("ids", "data", "qids", "qdata", "width").mapInArrow(_nearest(k), ranking_schema(queries, corpus)), k)
 
 
 _RUNS = re.compile(r"[^\W_]+")
@@ -331,6 +338,15 @@ def cache_key(question: Column, channels: Column, doc_type: Column, model_code:
     return F.md5(F.concat_ws("|", text(question), F.array_join(F.array_sort(channels), ","), text(doc_type), text(model_code), text(hyde), text(role)))
 
 
+def grounding(reply: Column, least: float = 0.7) -> Column:
+    """(is_grounded, confidence) from a checking model's reply: grounded if it says so with enough confidence. A reply that
+    cannot be read lets the answer pass, with full confidence."""
+    parsed = F.from_json(F.nullif(first_json_object(F.coalesce(reply, F.lit(""))), F.lit("")), "is_grounded boolean, confidence double")
+    known = parsed.isNotNull() & (parsed["is_grounded"].isNotNull() | parsed["confidence"].isNotNull())
+    sure = F.coalesce(parsed["is_grounded"], F.lit(False)) & (F.coalesce(parsed["confidence"], F.lit(0.0)) >= least)
+    return F.struct(F.when(known, sure).otherwise(F.lit(True)).alias("is_grounded"), F.when(known, F.coalesce(parsed["confidence"], F.lit(0.0))).otherwise(F.lit(1.0)).alias("confidence"))
+
+
 def grounded(answer: Column, context: Column, least: float = 0.7) -> Column:
     """Whether enough of an answer's tokens occur in its context; an empty answer passes."""
     a = F.array_distinct(tokens(answer))

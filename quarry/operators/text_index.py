@@ -73,7 +73,9 @@ def change(store: Store, upserts: DataFrame | None = None, deletes: DataFrame |
     Only the blocks of these documents are read and written; postings of theirs that were there go.
     """
     based_on = store.version()
-    ids = [d.select("id") for d in (upserts, deletes) if d is not None]
+    kind = store.read("documents").schema["id"].dataType  # blocks are told by a hash of the id, which depends on its type
+    upserts = None if upserts is None else upserts.select(F.col("id").cast(kind).alias("id"), "text")
+    ids = [d.select(F.col("id").cast(kind).alias("id")) for d in (upserts, deletes) if d is not None]
     gone = (ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])).distinct()
     block = F.pmod(F.xxhash64("id"), F.lit(store.buckets)).cast("int")
     touched = [r[0] for r in gone.select(block).distinct().collect()]  # the store's number of buckets at most

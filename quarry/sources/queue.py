@@ -5,13 +5,15 @@
 
 Entries have numbers in the order of their commit. A commit renames the files that tasks wrote into place, so what an
 aborted job wrote is never seen. Each consumer group has its own place: the entries that a micro-batch was done with are
-acknowledged when Spark commits it, and a query without a checkpoint starts after the group's last acknowledgement.
+acknowledged when Spark commits it, which it does before the next one; `settle` does so for the last one of a query that
+has stopped. A query without a checkpoint starts after the group's last acknowledgement.
 The queue keeps its last `most` entries; what a slow group has not read by then is lost to it. One writer commits at a
 time. Files are reached through Arrow's file systems.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +23,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs as afs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 #: Entries that a queue keeps, and that a consumer takes at once, at most.
@@ -160,6 +163,16 @@ def rows(folder: Folder, part: Range) -> Iterator[pa.RecordBatch]:
         yield from pq.read_table(f).slice(part.low, part.high - part.low).to_batches()
 
 
+def settle(query: StreamingQuery, path: str, group: str = "default") -> None:
+    """Acknowledges what the last batch of a stopped query was done with."""
+    done = [p for p in query.recentProgress if p.sources and p.sources[0].endOffset]
+    if done:
+        end = json.loads(done[-1].sources[0].endOffset)["next"]
+        folder = Folder({"path": path})
+        if end > folder.group(group):
+            folder.put_number(f"groups/{group}", end)
+
+
 class QueueSource(DataSource):
     @classmethod
     def name(cls) -> str:

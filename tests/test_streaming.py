@@ -97,14 +97,14 @@ def test_ingestion_is_idempotent(spark, tmp_path):
     job = lambda d, t: spark.createDataFrame([(d, t)], "doc_id string, text string")
     for k, (d, t) in enumerate([("d1", "one"), ("d2", "two"), ("d1", "one again")]):
         assert ingest.enqueue(job(d, t), queue)
-        ingest.run(ingest.jobs(spark, queue), lambda df: df.select("doc_id", "text"), index, str(tmp_path / "dead"), str(tmp_path / "ck")).awaitTermination(60)
+        ingest.drained(ingest.run(ingest.jobs(spark, queue), lambda df: df.select("doc_id", "text"), index, str(tmp_path / "dead"), str(tmp_path / "ck")))
     assert sorted((r.doc_id, r.text) for r in ingest.current(spark, index).collect()) == [("d1", "one again"), ("d2", "two")]
 
 
 def test_failures_are_set_aside(spark, tmp_path):
     queue, dead = str(tmp_path / "q"), tmp_path / "dead"
     ingest.enqueue(spark.createDataFrame([("d", "x")], "doc_id string, text string"), queue)
-    ingest.run(ingest.jobs(spark, queue), lambda df: df.select(F.raise_error(F.lit("no"))), str(tmp_path / "i"), str(dead), str(tmp_path / "ck"), attempts=1).awaitTermination(60)
+    ingest.drained(ingest.run(ingest.jobs(spark, queue), lambda df: df.select(F.raise_error(F.lit("no"))), str(tmp_path / "i"), str(dead), str(tmp_path / "ck"), attempts=1))
     assert spark.read.json(f"{dead}/0").count() == 1
 
 
