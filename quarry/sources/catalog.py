@@ -15,6 +15,8 @@ from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import Store
+
 TABLE_SCHEMA = "name string, role string, description string"
 COLUMN_SCHEMA = "id string, table_name string, name string, role string, type string, description string, aliases array<string>, examples array<string>, sync boolean, ref_table string, ref_column string, label_column string"
 METRIC_SCHEMA = "name string, table_name string, expression string, description string, aliases array<string>, relevant_columns array<string>"
@@ -191,6 +193,43 @@ def applied(old: Mapping[str, DataFrame], new: Mapping[str, DataFrame], keys: Ma
     return after, reduce(DataFrame.unionByName, plans).select("table", "action", "n")
 
 
+#: Key columns of a catalog's tables, and those that tell whether a row has changed.
+KEYS = {"tables": ["name"], "columns": ["id"], "metrics": ["name"], "links": ["metric", "column_id"]}
+
+
+def compatible(stored: DataFrame, wanted: DataFrame, key: Iterable[str]) -> bool:
+    """Whether stored rows can take wanted ones: the same key types, and all columns of these there with their types."""
+    have, need = dict(stored.dtypes), dict(wanted.dtypes)
+    return all(have.get(k) == need.get(k) for k in key) and all(have.get(c) == t for c, t in need.items())
+
+
+def committed(store: Store, new: Mapping[str, DataFrame], rebuild: bool = False, dry_run: bool = False) -> DataFrame:
+    """(table, action, n): brings a stored catalog (tables, columns, metrics, links) to `new` in one commit.
+
+    Incremental by default: rows that are new, changed or gone are written, by the buckets they are in, and links follow
+    their metrics and columns. A store without a catalog, or with tables of another form, is built whole, as with
+    rebuild. A dry run tells what would happen. Readers see all four tables of one version, whatever happens half-way.
+    """
+    based_on = store.version()
+    links = cascaded(cascaded(new["links"].distinct(), new["metrics"], "metric", "name"), new["columns"], "column_id", "id")
+    after = {**{t: new[t] for t in KEYS if t != "links"}, "links": links}
+    there = set(KEYS) <= set(store.tables())
+    if rebuild or not there or not all(compatible(store.read(t), after[t], KEYS[t]) for t in KEYS):
+        counts = reduce(DataFrame.unionByName, [after[t].agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table"), F.lit("rebuild").alias("action"), "n") for t in KEYS])
+        changes = [] if dry_run else [store.replaced(t, after[t], KEYS[t]) for t in KEYS]
+    else:
+        plans = {t: merge_plan(store.read(t, based_on), after[t], KEYS[t], [c for c in after[t].columns if c not in KEYS[t]] or KEYS[t]) for t in KEYS}
+        counts = reduce(DataFrame.unionByName, [merge_counts(p).select(F.lit(t).alias("table"), "action", "n") for t, p in plans.items()])
+        changes = []
+        for t, plan in plans.items() if not dry_run else ():
+            fresh = after[t].join(plan.where("action in ('insert', 'update')").select(*KEYS[t]), KEYS[t], "left_semi")
+            changes.append(store.upserted(t, fresh.select(*after[t].columns), plan.where("action <> 'keep'").select(*KEYS[t]), based_on))
+    counts = counts.sparkSession.createDataFrame(counts.collect(), "table string, action string, n long")  # before it changes
+    if changes:
+        store.commit(changes, based_on)
+    return counts
+
+
 def merge_counts(plan: DataFrame) -> DataFrame:
     return plan.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
