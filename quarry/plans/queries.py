@@ -453,7 +453,10 @@ def json_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, len(list_distinct(flatten(list(string_split(lower(text), ' '))))) AS words FROM conversations GROUP BY 1")
 def keyword_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.flatten(F.collect_list(F.split(F.lower("text"), " "))).alias("w"))
-    return words.select("conv_id", F.size(F.array_distinct("w")).alias("words"))
+    from quarry.plans.recall import keyword_union as union
+
+    # Empty words count here, as the SQL's do; the function drops them.
+    return words.select("conv_id", (F.size(union("w")) + F.array_contains("w", "").cast("int")).alias("words"))
 
 
 @query(r"""WITH t AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM benchmark), tf AS (SELECT id, token, count(*) AS tf FROM t GROUP BY 1, 2),

@@ -30,6 +30,18 @@ def question_keywords(question: Column) -> Column:
     return F.array_distinct(F.concat(F.array(question), words))
 
 
+def keyword_union(*lists: Column) -> Column:
+    """The keywords of several lists, each once, in order of first sight."""
+    return F.array_distinct(F.filter(F.concat(*lists), lambda w: w.isNotNull() & (w != "")))
+
+
+def extracted_keywords(texts: DataFrame, n: int = 10) -> DataFrame:
+    """(id, keywords) of questions (id, text): the question itself first, then its n tokens of the largest weight."""
+    listed = tfidf_keywords(texts, n).groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "token")))["token"].alias("ts"))
+    none = F.array().cast("array<string>")
+    return texts.join(listed, "id", "left").select("id", keyword_union(F.array("text"), F.coalesce("ts", none)).alias("keywords"))
+
+
 def _recalled(keywords: DataFrame, items: DataFrame, k: int, least: float) -> DataFrame:
     """For each item the best place and score among the keywords that recall it among their k nearest."""
     asked = keywords.select(F.col("pos").alias("qid"), hashed_embedding(F.col("keyword")).alias("qvector"))

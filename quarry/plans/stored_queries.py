@@ -125,6 +125,34 @@ def value_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [C.distinct_values(read(spark, sf_dir, t), t, c) for t, c in _SYNCED])
 
 
+_RUNS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_VALUES = " UNION ALL ".join(f"SELECT DISTINCT '{t}.{c}.' || {c} AS id, {c} AS value FROM {t} WHERE {c} IS NOT NULL" for t, c in _SYNCED)
+
+
+@query(f"""WITH v AS ({_VALUES}), d AS (SELECT id, {_RUNS.format('value')} AS ts FROM v), t AS (SELECT id, unnest(ts) AS token FROM d), tf AS (SELECT id, token, count(*) AS tf FROM t GROUP BY 1, 2),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), s AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM d), q AS (SELECT k, unnest(list_distinct({_RUNS.format('k')})) AS token FROM (SELECT DISTINCT c_mktsegment AS k FROM customer)),
+r AS (SELECT k, tf.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ts) / a))), 9) AS score FROM q JOIN tf USING (token) JOIN df USING (token) JOIN d ON d.id = tf.id, s GROUP BY 1, 2)
+SELECT id, max(score) AS score FROM r GROUP BY 1""")
+def value_recall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of all synced columns that share a word with a business line."""
+    from quarry.plans.recall import recall_values
+
+    lines = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("keyword")).distinct()
+    return recall_values(lines.withColumn("pos", F.xxhash64("keyword")), value_index(spark, sf_dir))
+
+
+@query(f"""WITH t AS (SELECT item_id AS id, unnest({_RUNS.format('text')}) AS token FROM benchmark), tf AS (SELECT id, token, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT id, token, round(tf * ln((SELECT count(*) FROM benchmark) / df), 6) AS weight FROM tf JOIN df USING (token) QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(tf * ln((SELECT count(*) FROM benchmark) / df), 6) DESC, token) <= 10),
+l AS (SELECT id, list(token ORDER BY weight DESC, token) AS ts FROM w GROUP BY 1)
+SELECT item_id AS id, text || ' | ' || array_to_string(list_filter(ts, lambda x: x <> text), ' | ') AS keywords FROM benchmark LEFT JOIN l ON id = item_id""")
+def question_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question with its keywords, the question first."""
+    from quarry.plans.recall import extracted_keywords
+
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return extracted_keywords(asked).select("id", F.array_join("keywords", " | ").alias("keywords"))
+
+
 _PROFILED = [(t.name, c.name, c.role) for t in STAR.tables for c in t.columns]
 
 
