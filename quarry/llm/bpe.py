@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import carried
+from .common import carried, tidied
 
 #: Bytes of text that are encoded at once, and the cells of a matrix.
 CHUNK_BYTES, CELLS = 4 << 20, 1 << 20
@@ -335,7 +335,7 @@ def _run(docs: DataFrame, path: str, pattern: str, text_col: str, keep: list[str
     new = ["n_tokens", *(x.split()[0] for x in added.split(", "))]
     rows, kept = carried(docs, docs[text_col].cast("string"), keep, new)
     schema = T.StructType([rows.schema["kept"], *T.StructType.fromDDL(f"n_tokens long, {added}")])
-    return rows.mapInArrow(_encoded(path, pattern, digests), schema).select(*kept, *new)
+    return rows.mapInArrow(tidied(_encoded(path, pattern, digests)), schema).select(*kept, *new)
 
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str, tokens_col: str = "tokens") -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +77,21 @@ def clear(spark: SparkSession, made: list[str]) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """An Arrow function that gives memory back when its task ends: a worker lives on between tasks, and what it has freed
+    counts for its executor until then."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return task
+
+
 def digest(*cols: Column) -> list[Column]:
     """Two 64-bit digests under different seeds: together a 128-bit key for grouping by long values."""
     return [F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit("second"), *cols, F.lit(2)).alias("h2")]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried
+from .common import carried, tidied
 from .shingles import mix, slices
 
 SLOTS = 1 << 15
@@ -118,7 +118,7 @@ class Model:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the rows whose lang is not null."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = rows.mapInArrow(_counts, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidied(_counts), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     # A row for each language, with up to SLOTS numbers.
     listed = counts.groupBy("lang").agg(F.collect_list("slot").alias("slot"), F.collect_list("n").alias("n")).limit(MAX_LANGUAGES + 1).toArrow()
     if listed.num_rows > MAX_LANGUAGES:
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     rows, kept = carried(docs, F.col(text_col), keep, list(PREDICTED))
     rows = rows.withColumn("letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     schema = T.StructType([rows.schema["kept"], *T.StructType.fromDDL("lang_pred string, score double, ambiguous boolean")])
-    return rows.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model), ambiguous), schema).select(*kept, *PREDICTED)
+    return rows.mapInArrow(tidied(_predicted(docs.sparkSession.sparkContext.broadcast(model), ambiguous)), schema).select(*kept, *PREDICTED)
 
 
 def held_out(id_: Column) -> Column:

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidied, written
 from .components import connected_components
 from .shingles import K, mix, shingle_sets, slices
 
@@ -268,7 +268,7 @@ class _Documents:
         for r in pages.collect():  # 256 pages of 4 KB at most
             bits[r["page"] - 1] = np.frombuffer(r["bits"], np.uint8)
         rows = self.rows.select("id", "text").where("id is not null").withColumn("slot", slot)
-        found = rows.mapInArrow(_fetch(self.spark.sparkContext.broadcast(bits.ravel()), bitmaps), "id long, sig binary, data binary")
+        found = rows.mapInArrow(tidied(_fetch(self.spark.sparkContext.broadcast(bits.ravel()), bitmaps)), "id long, sig binary, data binary")
         return found.join(wanted, (F.col("id") == F.col("_id")) & (F.col("sig") == F.col("_sig"))).select("node", "data")
 
 
@@ -280,7 +280,7 @@ def _verified(pairs: DataFrame, source: _Documents, percent: int) -> DataFrame:
     sent = F.broadcast if few else (lambda df: df)
     left = sets.select(F.col("node").alias("a"), F.col("data").alias("left"))
     right = sets.join(sent(pairs.select(F.col("b").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("b"), F.col("data").alias("right"))
-    return left.join(sent(pairs), "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_links(percent), "a long, b long")
+    return left.join(sent(pairs), "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(tidied(_links(percent)), "a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, keep: list[str] | None = None) -> DataFrame:
@@ -297,7 +297,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     source = _Documents(docs, id_col, text_col, keep or [])
     kind = source.rows.schema["kept"].dataType.simpleString()
-    features = written(source.rows.mapInArrow(_features, _FEATURES.format(kind)), "features")
+    features = written(source.rows.mapInArrow(tidied(_features), _FEATURES.format(kind)), "features")
     sets = features.where("sig is not null and n > 0 and id is not null")
     # A node is a set, numbered as it is written: an id may have several.
     nodes = sets.groupBy("sig").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("keys").alias("keys"))
@@ -326,7 +326,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     often = seen.where(F.col("c") >= COMMON).orderBy(F.desc("c"), "common").limit(COMMON_KEPT).toPandas()
     order = np.argsort(often["common"].to_numpy(np.int64).view(np.uint64))
     common = spark.sparkContext.broadcast((often["common"].to_numpy(np.int64).view(np.uint64)[order], 1 + np.log2(often["c"].to_numpy(float)[order]).astype(np.int64)))
-    prefixes = source.rows.select("id", "text").where("id is not null").mapInArrow(_prefixes(common, percent), "id long, sig binary, prefix array<bigint>")
+    prefixes = source.rows.select("id", "text").where("id is not null").mapInArrow(tidied(_prefixes(common, percent)), "id long, sig binary, prefix array<bigint>")
     named = nodes.select("id", "sig", "node").join(members.select("node", "component"), "node")
     entries = prefixes.join(named, ["id", "sig"]).select(F.explode("prefix").alias("token"), "node", "component")
     hot = spark.createDataFrame(often[["common"]].head(HOT).rename(columns={"common": "token"}), "token long")
@@ -352,7 +352,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     unions = inside.join(bitmaps, "node").groupBy("group", "block").applyInArrow(_unite, "group long, block int, least int, most int, union binary")
     asking = could.join(bitmaps.withColumnRenamed("node", "q"), "q").withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "q"), F.lit(SALTS)))
     bounds = asking.join(unions.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["group", "block", "salt"]).where(fits)
-    opened = written(bounds.select("q", "n", "group", "block", "data", "union").mapInArrow(_open_blocks(percent), "q long, group long, block int"), "opened")
+    opened = written(bounds.select("q", "n", "group", "block", "data", "union").mapInArrow(tidied(_open_blocks(percent)), "q long, group long, block int"), "opened")
 
     # 4: exact comparison with members of the blocks left. One link joins a document to a component, so its likeliest
     # members come first, and the others only for documents that these do not link.
