@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import layout, metrics, patterns, text_index, vector_index
-from quarry.operators import retrieval as R
-from quarry.plans.queries import _BM25, _DENSE, _events, _logged, _page, _texts, _vectors, query
+from quarry.plans.queries import _BM25, _DENSE, _events, _logged, _texts, _vectors, query
 from quarry.sources import cache, paged, queue
 from quarry.sources import catalog as C
 from quarry.sources.star import STAR, read

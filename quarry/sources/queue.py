@@ -14,6 +14,7 @@ time. Files are reached through Arrow's file systems.
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as afs
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.streaming import StreamingQuery
@@ -32,6 +34,9 @@ FORMAT = "quarry_queue"
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known. Its classes travel whole: the process that plans a stream on the driver knows nothing of the
+    packages that were sent to executors."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(QueueSource)
 
 

@@ -8,10 +8,12 @@ read back through Spark's state source.
 from __future__ import annotations
 
 import datetime as dt
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,9 @@ KEPT_TURNS, KEPT_SECONDS = 10, 1800
 
 
 def configured(spark: SparkSession) -> None:
+    """State in RocksDB, as transformWithState asks for. Processors travel whole: the process that starts them on the
+    driver knows nothing of the packages that were sent to executors."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
