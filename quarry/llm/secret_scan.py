@@ -14,7 +14,6 @@ reads them, and never shuffled: only counts of words are, added up in each task
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
