@@ -317,9 +317,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     group = F.when(F.col("size") * 2 >= BLOCK, F.col("component")).otherwise(F.coalesce("near", "component"))
     grouped = written(grouped.select("node", "n", "component", group.alias("group")), "grouped")
     # Written, so that the join with them is a stage of its own and Spark can split a large group's partition.
-    blocks = written(grouped.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1"), "blocks")
-    block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.coalesce(F.col("blocks"), F.lit(1))).cast("int")
-    members = written(grouped.join(blocks, "group", "left").select("node", "n", "component", "group", block.alias("block")), "members")
+    shared_groups = written(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("together")).where("together > 1"), "groups")
+    size = F.coalesce("together", F.lit(1))
+    block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.ceil(size / BLOCK)).cast("int")
+    # Components are numbered anew, those of large groups first.
+    number = F.shiftleft(F.lit(31).cast("long") - F.floor(F.log2(size)), 57) + F.col("component")
+    members = written(grouped.join(shared_groups, "group", "left").select("node", "n", number.alias("component"), "group", block.alias("block")), "members")
 
     # 2: tokens that several components have in their prefixes.
     seen = features.where("sig is null").select(F.inline(F.arrays_zip("common", "seen"))).groupBy("common").agg(F.sum("seen").alias("c"))
@@ -336,7 +339,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     told = members.select("node", "n", "group", "block").join(smallest, ["group", "block"])
     shared = written(shared.join(told, "node"), "matrix")
 
-    # 3: documents against blocks. Of two components, the one with the larger number sends its documents.
+    # 3: documents against blocks. Of two components, the one with the larger number sends its documents: that of the
+    # smaller group, so that a few single documents meet a large group's blocks, not all its documents each of them.
     rows = shared.groupBy("token", "group", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.min("smallest").alias("smallest"))
     fits = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
     asked = shared.select("token", F.col("node").alias("q"), "n", F.col("component").alias("own"))

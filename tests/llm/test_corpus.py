@@ -103,6 +103,22 @@ def test_ngram_jaccard_edges(spark):
     assert out == [(3, 3), (7, 3), (7, 3), (None, None)]
 
 
+def test_ngram_jaccard_lets_small_groups_ask_large_ones(spark, monkeypatch):
+    made, real = {}, ngram_jaccard.written
+    monkeypatch.setattr(ngram_jaccard, "written", lambda df, name: made.setdefault(name, real(df, name)) if name == "members" else real(df, name))
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(f"x{rng.random()}" for _ in range(30))) for i in range(20)]
+    # Most share a key with many others, some with none.
+    rows += [(100 + i, " ".join(w if rng.random() > 0.03 else f"y{rng.random()}" for w in base)) for i in range(120)]
+    out = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == _jaccard_brute(rows)
+    sizes = made["members"].groupBy("group").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).collect()
+    sizes.sort(key=lambda r: -r["size"])
+    assert sizes[0]["size"] >= 4 and sizes[-1]["size"] == 1
+    assert all(a["high"] < b["low"] for a in sizes for b in sizes if a["size"] >= 2 * b["size"])
+
+
 def test_ngram_jaccard_of_repeated_ids(spark):
     """An id with two texts is two documents; neither lends the other its links."""
     a, b = "a b c d e f g", "q r s t u v w"
