@@ -242,6 +242,34 @@ def test_semantic_chunks_equal_a_plain_version(spark):
     assert len(got & set(want)) >= 0.99 * len(want)  # distances that tie but for rounding may fall on either side
 
 
+def test_semantic_chunks_stay_in_their_rows(spark):
+    docs = spark.createDataFrame([(1, "One two. One two. Three four. Five"), (2, None), (3, "  "), (4, "\u3000! A b. A b. C d.")], "doc_id long, text string")
+    out = etl.semantic_chunks(docs)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.doc_id, r.chunk_index): r.text for r in out.collect()}
+    assert {k for k in got if k[0] in (2, 3)} == set() and got[1, 0] == "One two. One two." and got[1, 1] == "Three four." and got[1, 2] == "Five"
+    assert out.dtypes == [("doc_id", "bigint"), ("chunk_index", "bigint"), ("text", "string")]
+
+
+def test_chunks_leave_a_task_in_small_batches():
+    held = []
+
+    class Rows:  # what mapInArrow is given
+        def __init__(self, schema):
+            self.schema = schema
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            held.append(run)
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    etl._pieces(Rows(T.StructType.fromDDL("doc_id long, text string")), lambda c, known: ([(0, x)] * 3 for x in c[0]), "int")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(["x"] * 2000)], names=["doc_id", "text"])
+    sizes = [len(b) for b in held[0](iter([batch]))]
+    assert sum(sizes) == 6000 and max(sizes) <= 3 * etl.EMBED_ROWS
+
+
 def test_dense_search_equals_brute_force(spark):
     import numpy as np
 
