@@ -11,15 +11,26 @@ of the others only those that could still beat the k-th score found: the rest is
 
 from __future__ import annotations
 
+from array import array
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.sources.store import Store
 
-from .retrieval import B, K1, PAIRS_SENT, asked_terms, bm25_part, spread, term_counts, top_k
+from .retrieval import _RUNS, B, K1, PAIRS_SENT, ROWS_OUT, asked_terms, bm25_part, spread, term_counts, top_k
 
 #: Documents in a block, about.
 PER_BLOCK = 4096
+#: Parts that blocks are dealt into, at most.
+MOST_PARTS = 4000
 #: Blocks that each query opens before it skips any.
 FIRST = 1
 #: Added to what a block could give, for rounding.
@@ -28,19 +39,105 @@ MARGIN = 1e-6
 COLUMNS = {"postings": ["block", "token", "df", "most", "least", "hits"], "documents": ["block", "id", "dl"]}
 
 
-def postings(counts: DataFrame) -> DataFrame:
-    """(block, token, df, most, least, hits) of counts (block, id, dl, token, tf)."""
-    hit = F.struct("id", "dl", "tf")
-    return counts.where("token <> ''").groupBy("block", "token").agg(
-        F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.collect_list(hit).alias("hits"),
-    )
+class _Block:
+    """Counts of one block's texts, and its postings by token in order."""
+
+    def __init__(self, schema: pa.Schema):
+        self.schema, self.kind = schema, schema.field("hits").type.value_type
+        self.known: dict[str, int] = {}
+        self.ids: list = []
+        self.dl, self.token, self.at, self.tf = (array("i") for _ in range(4))
+
+    def add(self, key, text: str | None) -> None:
+        runs = _RUNS.findall((text or "").lower())
+        counts = Counter(runs)
+        self.token.extend([self.known.setdefault(w, len(self.known)) for w in counts])
+        self.at.extend([len(self.ids)] * len(counts))
+        self.tf.extend(counts.values())
+        self.ids.append(key)
+        self.dl.append(len(runs))
+
+    def add_hits(self, tokens: list[str], lengths: np.ndarray, ids: pa.Array, dl: np.ndarray, tf: np.ndarray, kept: np.ndarray) -> None:
+        """Postings that were there, those that are kept."""
+        of = np.repeat(np.array([self.known.setdefault(w, len(self.known)) for w in tokens], np.int32), lengths)[kept]
+        self.token.frombytes(of.tobytes())
+        self.at.frombytes(np.arange(len(self.ids), len(self.ids) + len(of), dtype=np.int32).tobytes())
+        self.tf.frombytes(tf[kept].astype(np.int32).tobytes())
+        self.dl.frombytes(dl[kept].astype(np.int32).tobytes())
+        self.ids += ids.filter(pa.array(kept)).to_pylist()
+
+    def batches(self, block: int) -> Iterator[pa.RecordBatch]:
+        words = sorted(self.known)
+        place = np.empty(len(words), np.int64)
+        place[[self.known[w] for w in words]] = np.arange(len(words))
+        token, at, tf = place[np.array(self.token, np.int64)], np.array(self.at, np.int64), np.array(self.tf, np.int32)
+        order = np.argsort(token, kind="stable")
+        at, tf, dl = at[order], tf[order], np.array(self.dl, np.int32)[at[order]]
+        df = np.bincount(token, minlength=len(words))
+        words, df = [w for w, n in zip(words, df, strict=True) if n], df[df > 0]
+        ends = np.cumsum(df)
+        ids = pa.array(self.ids, self.kind.field("id").type)
+        i = 0
+        while i < len(words):
+            low = ends[i] - df[i]
+            j = max(i + 1, int(np.searchsorted(ends, low + ROWS_OUT, side="right")))
+            part, begins = slice(low, ends[j - 1]), (ends[i:j] - df[i:j] - low).astype(np.int64)
+            hits = pa.StructArray.from_arrays([ids.take(pa.array(at[part])), pa.array(dl[part]), pa.array(tf[part])], fields=list(self.kind))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begins, ends[j - 1] - low).astype(np.int32)), hits)
+            figures = [pa.array(df[i:j], pa.int64()), pa.array(np.maximum.reduceat(tf[part], begins)), pa.array(np.minimum.reduceat(dl[part], begins))]
+            columns = [pa.array(np.full(j - i, block, np.int32)), pa.array(words[i:j], pa.string()), *figures, lists]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema)
+            i = j
+
+
+def _schema(kind: T.DataType) -> T.StructType:
+    hit = T.StructType([T.StructField("id", kind), *T.StructType.fromDDL("dl int, tf int")])
+    return T.StructType([*T.StructType.fromDDL("block int, token string, df long, most int, least int"), T.StructField("hits", T.ArrayType(hit))])
 
 
 def _tables(store: Store, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings and documents of a corpus (id, text). Texts are read once for each of the two."""
+    """Postings and documents of a corpus (id, text). Texts are dealt by block, and a task counts one block at a time, so
+    no posting is shuffled; they are read once more for their lengths."""
     block = F.pmod(F.xxhash64("id"), F.lit(store.buckets)).cast("int")
-    counts = term_counts(spread(corpus.select("id", "text"))).withColumn("block", block)
-    return postings(counts), term_counts(spread(corpus.select("id", "text")), []).select(block.alias("block"), "id", "dl")
+    schema = _schema(corpus.schema["id"].dataType)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, _Block(arrow)
+        for batch in batches:
+            for b, key, text in zip(batch.column("block").to_pylist(), batch.column("id").to_pylist(), batch.column("text"), strict=True):
+                if b != now:
+                    yield from held.batches(now) if now is not None else ()
+                    now, held = b, _Block(arrow)
+                held.add(key, text.as_py())
+        yield from held.batches(now) if now is not None else ()
+
+    parts = min(2 * max(store.buckets, store.spark.sparkContext.defaultParallelism), MOST_PARTS)
+    dealt = corpus.select(block.alias("block"), "id", "text").repartition(parts, "block").sortWithinPartitions("block")
+    return dealt.mapInArrow(run, schema), term_counts(spread(corpus.select("id", "text")), []).select(block.alias("block"), "id", "dl")
+
+
+def _changed(old: DataFrame, new: DataFrame, kind: T.DataType) -> DataFrame:
+    """Postings of blocks without the ids of new (block, id, text, comes), and with its texts that come. A task works on one
+    block, whose postings travel as three arrays."""
+    schema = _schema(kind)
+    arrow = to_arrow_schema(schema)
+
+    def merge(before: pa.Table, named: pa.Table) -> pa.Table:
+        held, gone = _Block(arrow), named.column("id")
+        for part in before.to_batches(ROWS_OUT):
+            ids = part.column("ids").flatten()
+            kept = ~pc.is_in(ids, value_set=gone.combine_chunks()).to_numpy(zero_copy_only=False)
+            dl, tf = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("dls", "tfs"))
+            held.add_hits(part.column("token").to_pylist(), part.column("ids").value_lengths().to_numpy(zero_copy_only=False), ids, dl, tf, kept)
+        for key, text, comes in zip(*(named.column(c).to_pylist() for c in ("id", "text", "comes")), strict=True):
+            if comes:
+                held.add(key, text)
+        block = (before if len(before) else named).column("block")[0].as_py()
+        return pa.Table.from_batches(held.batches(block), arrow)
+
+    flat = old.select("block", "token", *[F.col(f"hits.{c}").alias(f"{c}s") for c in ("id", "dl", "tf")])
+    return flat.groupBy("block").cogroup(new.groupBy("block")).applyInArrow(merge, schema)
 
 
 def build(corpus: DataFrame, path: str, blocks: int | None = None) -> Store:
@@ -49,7 +146,7 @@ def build(corpus: DataFrame, path: str, blocks: int | None = None) -> Store:
     store = Store(spark, path, blocks or max(1, round(corpus.count() / PER_BLOCK)))
     based_on = store.version()
     rows, documents = _tables(store, corpus)
-    store.commit([store.replaced("postings", rows, ["block"]), store.replaced("documents", documents, ["block"])], based_on)
+    store.commit([store.replaced("postings", rows, ["block"], dealt=True), store.replaced("documents", documents, ["block"])], based_on)
     return store
 
 
@@ -81,13 +178,13 @@ def change(store: Store, upserts: DataFrame | None = None, deletes: DataFrame |
     touched = [r[0] for r in gone.select(block).distinct().collect()]  # the store's number of buckets at most
     blocks = store.spark.createDataFrame([(b,) for b in touched], "block int")
     numbers = sorted({r[0] for r in blocks.select(store.bucket(store.manifest()["tables"]["postings"])).collect()})
-    old = store.read("postings", buckets=numbers).join(F.broadcast(blocks), "block", "left_semi").select("block", "token", F.inline("hits"))
+    old = store.read("postings", buckets=numbers).join(F.broadcast(blocks), "block", "left_semi")
     documents = store.read("documents", buckets=numbers).join(F.broadcast(blocks), "block", "left_semi").join(gone, "id", "left_anti").select("block", "id", "dl")
-    counts = old.join(gone, "id", "left_anti").select("block", "id", "dl", "token", "tf")
+    named = gone.select(block.alias("block"), "id", F.lit(None).cast("string").alias("text"), F.lit(False).alias("comes"))
     if upserts is not None:
-        counts = counts.unionByName(term_counts(spread(upserts.select("id", "text"))).select(block.alias("block"), "id", "dl", "token", "tf"))
-        documents = documents.unionByName(term_counts(upserts.select("id", "text"), []).select(block.alias("block"), "id", "dl"))
-    changes = [store.upserted("postings", postings(counts), blocks), store.upserted("documents", documents, blocks)]
+        named = named.unionByName(upserts.select(block.alias("block"), "id", "text", F.lit(True).alias("comes")))
+        documents = documents.unionByName(term_counts(spread(upserts.select("id", "text")), []).select(block.alias("block"), "id", "dl"))
+    changes = [store.upserted("postings", _changed(old, named, kind), blocks, dealt=True), store.upserted("documents", documents, blocks)]
     return store.commit(changes, based_on)
 
 

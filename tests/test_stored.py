@@ -180,6 +180,15 @@ def test_text_index_skips_blocks_and_changes(spark, tmp_path):
     assert store.read("documents").count() == now.count() and store.read("documents", before).count() == corpus.count()
 
 
+def test_text_index_shuffles_texts_not_postings(spark, tmp_path, monkeypatch):
+    plans = []
+    real = Store._written
+    monkeypatch.setattr(Store, "_written", lambda self, rows, table, dealt=False: plans.append((dealt, rows._jdf.queryExecution().executedPlan().toString())) or real(self, rows, table, dealt))
+    text_index.build(_texts(spark, 50), str(tmp_path / "t"), blocks=3)
+    dealt, plan = plans[0]
+    assert dealt and plan.count("Exchange") == 1 and plan.index("MapInArrow") < plan.index("Exchange")  # counted after the shuffle
+
+
 def test_text_index_that_lacks_a_column_is_built_again(spark, tmp_path):
     corpus, path = _texts(spark, 50), str(tmp_path / "t")
     with pytest.raises(FileNotFoundError):
