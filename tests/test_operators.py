@@ -295,6 +295,22 @@ def test_search_in_portions(spark, monkeypatch):
     assert sorted(map(tuple, R.dense_search(corpus, queries, 3).collect())) == want
 
 
+@pytest.mark.parametrize("sent", [10_000, 1])
+def test_texts_are_embedded_and_compared_in_one_worker(spark, monkeypatch, sent):
+    monkeypatch.setattr(R, "BROADCAST_ROWS", sent)
+    monkeypatch.setattr(R, "TEXTS_AT_ONCE", 3)
+    monkeypatch.setattr(R, "CORPUS_TILE", 7)
+    texts = [(i, " ".join(f"w{i % j}" for j in range(2, 9))) for i in range(60)] + [(60, None), (61, ""), (62, "...")]
+    corpus = spark.createDataFrame(texts, "id long, text string").repartition(2)
+    queries = spark.createDataFrame([(1, "w1 w2 w0"), (2, "w5"), (3, "")], "qid long, qtext string")
+    vectors = corpus.withColumn("vector", etl.hashed_embedding(F.col("text"), most=None))
+    want = R.dense_search(vectors, queries.withColumn("qvector", etl.hashed_embedding(F.col("qtext"), most=None)), 9)
+    out = R.dense_search(corpus, queries, 9, embed=etl.whole_texts())
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and out.count() == 18
+    plan = R.dense_search(corpus, queries, 9, embed=etl.whole_texts())._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and (sent == 1 or plan.count("MapInArrow") == 1)
+
+
 def test_hybrid_search_degrades(spark):
     corpus = spark.createDataFrame([(1, "red apple", [1.0, 0.0]), (2, "green pear", [0.0, 1.0])], "id long, text string, vector array<double>")
     queries = spark.createDataFrame([(9, "apple", [0.1, 1.0])], "qid long, qtext string, qvector array<double>")
