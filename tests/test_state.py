@@ -3,11 +3,13 @@
 import datetime as dt
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import layout, metrics, patterns
+from quarry.operators import retrieval as R
 from quarry.streaming import alerts, state
 
 T0 = dt.datetime(2024, 1, 1)
@@ -104,6 +106,29 @@ def test_paths_do_not_repeat_a_node(spark):
     assert [tuple(r) for r in back.collect()] == [(101, 3, 2)]
 
 
+@pytest.mark.parametrize("sent", [0, 4 << 20])
+def test_edges_are_dealt_by_their_bytes(spark, tmp_path, monkeypatch, sent):
+    rng = random.Random(3)
+    tables = {"knows": [(rng.randrange(400), rng.randrange(400)) for _ in range(900)] * 3, "owns": [(rng.randrange(400), rng.randrange(50)) for _ in range(200)] * 2}
+    for name, rows in tables.items():
+        spark.createDataFrame(rows, "src int, dst int").coalesce(1).write.parquet(str(tmp_path / name))
+    edges = {name: spark.read.parquet(str(tmp_path / name)) for name in tables}
+    nodes = {"person": spark.createDataFrame([(i, f"n{i % 7}") for i in range(400)], "id int, name string")}
+    monkeypatch.setattr(patterns, "SENT_BYTES", sent)
+    monkeypatch.setattr(patterns, "PART_BYTES", R.read_bytes(edges["knows"]) // 20)
+    steps = (patterns.Step("knows", "person"), patterns.Step("knows", "person"), patterns.Step("owns", "thing"))
+    out = patterns.match(patterns.Graph(edges, nodes), patterns.Pattern("person", steps), {0: F.col("name") == "n1"})
+    knows, owns = set(tables["knows"]), set(tables["owns"])
+    want = {(a, b, d, t) for a, b in knows if a % 7 == 1 and b != a for c, d in knows if c == b and d not in (a, b) for p, t in owns if p == d}
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want) > 20
+    if not sent:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert {int(n) for n in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", plan)} == {-(-R.read_bytes(edges["knows"]) // patterns.PART_BYTES)}
+        scans = [p.split("FileScan")[0].rsplit("Exchange", 1)[-1] for p in plan.split("Batched: ")[:-1]]
+        assert scans and not any("HashAggregate" in p for p in scans)  # nothing is made distinct before it is dealt
+
+
 def test_the_first_pattern_with_an_answer(spark):
     g, p = _graph(spark), lambda label: patterns.Pattern("person", (patterns.Step(label, "thing"),))
     which, rows = patterns.first_answer(g, [(p("unknown"), {}), (p("owns"), {0: F.col("name") == "n9"}), (p("owns"), {})], listed=1)
