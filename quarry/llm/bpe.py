@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import carried, tidied
 
 #: Bytes of text that are encoded at once, and the cells of a matrix.
-CHUNK_BYTES, CELLS = 4 << 20, 1 << 20
+CHUNK_BYTES, CELLS = 1 << 20, 1 << 18
 #: Bytes of the widest row of a matrix.
 WIDE = 512
 #: The rank of a pair that does not merge.
@@ -309,7 +309,11 @@ def _encoded(path: str, pattern: str, digests: bool) -> Callable[[Iterator[pa.Re
                         same.append(vocabulary.decode(ids) == (text or "").encode("utf-8"))
                 columns = {"kept": part.column("kept"), "n_tokens": pa.array(n, pa.int64())}
                 columns |= {"ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())} if digests else {"tokens": pa.array(tokens, pa.list_(pa.int32())), "round_trip": pa.array(same, pa.bool_())}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                out = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                del part, texts, text, ids, n, a, b, tokens, same, columns
+                yield out
+                del out
+            del batch  # before the next one is read
 
     return run
 

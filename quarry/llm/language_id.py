@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, tidied
+from .common import carried, small_batches, tidied
 from .shingles import mix, slices
 
 SLOTS = 1 << 15
@@ -117,6 +117,7 @@ class Model:
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the rows whose lang is not null."""
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = rows.mapInArrow(tidied(_counts), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     # A row for each language, with up to SLOTS numbers.

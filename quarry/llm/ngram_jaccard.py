@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tidied, written
+from .common import small_batches, tidied, written
 from .components import connected_components
 from .shingles import K, mix, shingle_sets, slices
 
@@ -295,6 +295,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     source = _Documents(docs, id_col, text_col, keep or [])
     kind = source.rows.schema["kept"].dataType.simpleString()
     features = written(source.rows.mapInArrow(tidied(_features), _FEATURES.format(kind)), "features")

@@ -1,10 +1,14 @@
 """Rows that few tables have: very long texts, repeated rows, ties, labels that must not be learned."""
 
 import random
+import weakref
 
+import public_tokenizers
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import language_id, mixing
+from quarry.llm import bpe, common, language_id, mixing, ngram_jaccard
 from tests.conftest import SF
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -52,3 +56,41 @@ def test_pipeline_of_very_long_texts(spark):
         lengths = {r.doc_id: len(r.text) for r in docs.collect()}
         assert max(lengths.values()) == len(long) + (5 if name != "ngram_jaccard" else 0)
     assert 0 in lengths and 1 not in lengths and len(lengths) == 39
+
+
+@pytest.mark.parametrize("start", ["encode", "learn", "ngrams"])
+def test_texts_go_to_python_in_small_batches(spark, start):
+    """Under Spark's own bound, 2,500 texts of 4,000 bytes are one batch of 10 MB; a lower bound of the user's stays."""
+    docs = spark.range(0, 2500, 1, 1).selectExpr("id AS doc_id", "repeat('ab c ', 800) AS text", "'en' AS lang")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    begin = {"encode": lambda: bpe.bpe_encode(docs, path, public_tokenizers.PATTERN), "learn": lambda: language_id.learn(docs.limit(2)), "ngrams": lambda: ngram_jaccard.ngram_jaccard_join(docs.limit(2))}[start]
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    before = spark.conf.get(common.BATCH_CONF)
+    try:
+        for bound, most in (("64m", common.BATCH_BYTES), ("1m", 1 << 20)):
+            spark.conf.set(common.BATCH_CONF, bound)
+            begin()
+            got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+            assert sum(r.n for r in got) == 2500 and max(r.bytes for r in got) <= 1.1 * most
+    finally:
+        spark.conf.set(common.BATCH_CONF, before)
+
+
+def test_encoding_lets_a_batch_go_before_the_next(spark):
+    alive = []
+
+    def batches():
+        for i in range(3):
+            assert not [r for r in alive if r() is not None]
+            batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array([f"text {i} {k}" for k in range(1500)])], names=["kept", "text"])
+            alive.append(weakref.ref(batch))
+            held = [batch]
+            del batch
+            yield held.pop()
+
+    run = bpe._encoded(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, False)
+    assert sum(out.num_rows for out in run(batches())) == 4500 and len(alive) == 3
