@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding in padded numpy matrices.
 
-A batch of texts is cut into the pattern's matches. Each distinct match is encoded once a batch; matches are put
-into buckets by length, and a bucket is one matrix of token ids, a row for each match. In every round each row merges
+Texts are cut into chunks at spaces, and chunks into the pattern's matches. A chunk's ids are kept for the texts to come,
+in bounded number; each distinct match of a batch's new chunks is encoded once. Matches are put into buckets by length, and a bucket is one matrix of token ids, a row for each match. In every round each row merges
 its leftmost pair of minimum rank, found in a hash table of pairs, and closes the gap. A row of more than WIDE bytes would
 be moved once for each of its merges, so such matches (a page without a space, an encoded blob) merge the same pairs in
 the same order from a heap instead, in time that grows little faster than their length.
@@ -13,10 +13,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,6 +26,8 @@ from .common import carried, tidied
 
 #: Bytes of text that are encoded at once, and the cells of a matrix.
 CHUNK_BYTES, CELLS = 1 << 20, 1 << 18
+#: Chunks whose ids a worker keeps (about 20 MB), and the characters of the longest.
+MEMO, KEPT_CHARS = 100_000, 64
 #: Bytes of the widest row of a matrix.
 WIDE = 512
 #: The rank of a pair that does not merge.
@@ -35,6 +37,10 @@ NONE = np.iinfo(np.int32).max
 SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+# White space as str.isspace() has it: a space inside white space or at the end after some, and one between other characters.
+IN_SPACE, LONE_SPACE = re.compile(r"\s (?:\s|\Z)"), re.compile(r"(?<=\S) (?=\S)")
+
+
 def load_ranks(path: str) -> list[tuple[bytes, int]]:
     with open(path, "rb") as f:
         return [(base64.b64decode(a), int(b)) for a, b in (line.split() for line in f if line.strip())]
@@ -179,33 +185,35 @@ class Vocabulary:
 
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces one after the other, number of ids of each)."""
-        out: list[np.ndarray | None] = [None] * len(pieces)
-        for k, p in enumerate(pieces):
-            rank = self.whole.get(p)
-            if rank is not None:
-                out[k] = np.array([rank], np.int32)
-            elif len(p) > WIDE:
-                out[k] = self.merge_wide(p)
-        rest = np.array([k for k, x in enumerate(out) if x is None], np.int64)
-        if len(rest):
-            size = np.array([len(pieces[k]) for k in rest])
-            order = np.argsort(size, kind="stable")
-            rest, size = rest[order], size[order]
-            i = 0
-            while i < len(rest):
-                # A bucket: lengths that are alike, and as many rows as fit into CELLS.
-                j = int(np.searchsorted(size, max(size[i] + 1, size[i] * 1.25), "right"))
-                j = min(j, i + max(1, CELLS // int(size[min(j, len(size)) - 1])))
-                width = int(size[j - 1])
-                flat = np.frombuffer(b"".join(pieces[k] for k in rest[i:j]), np.uint8)
-                rows = np.full((j - i, width), -1, np.int32)
-                rows[np.arange(width) < size[i:j, None]] = self.first[flat]
-                ids, n = self.merge(rows)
-                for k, row, m in zip(rest[i:j], ids, n, strict=True):
-                    out[k] = row[:m]
-                i = j
-        n = np.array([len(x) for x in out], np.int64)
-        return (np.concatenate(out) if out else np.zeros(0, np.int32)), n
+        ranks = np.fromiter((self.whole.get(p, -1) for p in pieces), np.int32, len(pieces))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        known, wide = np.flatnonzero(ranks >= 0), np.flatnonzero((ranks < 0) & (sizes > WIDE))
+        rest = np.flatnonzero((ranks < 0) & (sizes <= WIDE))
+        # Ids in the order in which they are found: which pieces, how many of each, and the ids.
+        which, counts, found = [known], [np.ones(len(known), np.int64)], [ranks[known]]
+        for k in wide.tolist():
+            found.append(self.merge_wide(pieces[k]))
+            which.append(np.array([k]))
+            counts.append(np.array([len(found[-1])]))
+        rest = rest[np.argsort(sizes[rest], kind="stable")]
+        size = sizes[rest]
+        i = 0
+        while i < len(rest):
+            # A bucket: lengths that are alike, and as many rows as fit into CELLS.
+            j = int(np.searchsorted(size, max(size[i] + 1, size[i] * 1.25), "right"))
+            j = min(j, i + max(1, CELLS // int(size[min(j, len(size)) - 1])))
+            width = int(size[j - 1])
+            flat = np.frombuffer(b"".join([pieces[k] for k in rest[i:j].tolist()]), np.uint8)
+            rows = np.full((j - i, width), -1, np.int32)
+            rows[np.arange(width) < size[i:j, None]] = self.first[flat]
+            ids, n = self.merge(rows)
+            which.append(rest[i:j])
+            counts.append(n)
+            found.append(ids[np.arange(width) < n[:, None]])
+            i = j
+        place = np.argsort(np.concatenate(which))
+        n = np.concatenate(counts)
+        return _gathered(np.concatenate(found), np.cumsum(n) - n, n, place)[0], n[place]
 
     def decode(self, ids: np.ndarray) -> bytes:
         n = self.offsets[ids + 1] - self.offsets[ids]
@@ -214,66 +222,93 @@ class Vocabulary:
 
 
 class Splitter:
-    """Cuts texts into the matches of a pattern.
+    """Cuts texts into chunks that no match of a pattern crosses, and chunks into the matches.
 
-    Words between single spaces repeat a lot, so texts are first cut before each space and only distinct chunks
-    meet the pattern. That gives the same matches unless a space stands between other white space and white space or
-    the end: those texts meet the pattern whole. It holds for SPACED_PATTERN; with another one all texts meet it whole.
+    Words between single spaces repeat a lot, so texts are cut before each space. No match crosses that unless a space
+    stands between other white space and white space or the end: those texts are cut before spaces between other
+    characters only. It holds for SPACED_PATTERN; with another one a text is one chunk.
     """
 
     def __init__(self, pattern: str):
         self.spaced = pattern == SPACED_PATTERN
         self.find = regex.compile(pattern).findall
 
-    def cut(self, texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
-        """(distinct matches, for each text the index of each of its matches)."""
+    def cut(self, text: str) -> list[str]:
+        """The chunks, all but the first without the space they begin with."""
         if not self.spaced:
-            seen: dict[str, int] = {}
-            cut = [np.array([seen.setdefault(x, len(seen)) for x in self.find(t)], np.int64) for t in texts]
-            return list(seen), cut
-        parts = [t.split(" ") for t in texts]
-        ends = np.cumsum([len(p) for p in parts])
-        codes, chunks = pd.factorize(np.array([x for p in parts for x in p], object)) if len(ends) and ends[-1] else (np.zeros(0, np.int64), [])
-        del parts
-        starts = np.array([not c or c[0].isspace() for c in chunks], bool)
-        stops = np.array([not c or c[-1].isspace() for c in chunks], bool)
+            return [text]
+        return LONE_SPACE.split(text) if IN_SPACE.search(text) else text.split(" ")
+
+
+class Encoder:
+    """Ids of texts by a vocabulary and a pattern. Those of short chunks are kept for the texts to come, MEMO at most."""
+
+    def __init__(self, path: str, pattern: str):
+        self.vocabulary, self.splitter = Vocabulary(load_ranks(path)), Splitter(pattern)
+        #: Ids of chunks at the start of a text, and of those after a space, as bytes of int32.
+        self.first: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.first) + len(self.spaced) > MEMO:
+            self.first.clear()
+            self.spaced.clear()
+        cut = [self.splitter.cut(t) for t in texts]
+        first = {c[0] for c in cut}.difference(self.first)
+        spaced = set().union(*(c[1:] for c in cut)).difference(self.spaced)
+        long = self._learn(list(first), self.first, "") + self._learn(list(spaced), self.spaced, " ")
+        out = [np.frombuffer(self.first[c[0]] + b"".join(map(self.spaced.__getitem__, c[1:])), np.int32) for c in cut]
+        for memo, chunk in long:
+            del memo[chunk]
+        return out
+
+    def _learn(self, chunks: list[str], memo: dict[str, bytes], before: str) -> list[tuple[dict[str, bytes], str]]:
+        """Adds the chunks to memo; those too long to be kept."""
+        # Chunks that white space does not begin or end meet the pattern together: no match crosses the spaces between them.
+        plain = [before and c != "" and not c[0].isspace() and not c[-1].isspace() for c in chunks]
+        chunks = [c for c, p in zip(chunks, plain, strict=True) if p] + [c for c, p in zip(chunks, plain, strict=True) if not p]
+        together = sum(map(bool, plain))
+        found = self.splitter.find(" " + " ".join(chunks[:together])) if together else []
+        stop = np.searchsorted(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), np.cumsum([len(c) + 1 for c in chunks[:together]])) + 1
+        stops = stop.tolist() if together else []
+        for chunk in chunks[together:]:
+            found += self.splitter.find(before + chunk)
+            stops.append(len(found))
         pieces: dict[str, int] = {}
-        number = lambda found: np.array([pieces.setdefault(x, len(pieces)) for x in found], np.int64)
-        first: dict[int, np.ndarray] = {}  # chunks at the start of a text, without a space before
-        spaced: list[np.ndarray | None] = [None] * len(chunks)
-        out = []
-        begin = 0
-        for text, end in zip(texts, ends, strict=True):
-            c = codes[begin:end]
-            begin = end
-            odd = stops[c[:-1]] & starts[c[1:]]
-            if len(odd) and not chunks[c[0]]:  # the text starts with a space: nothing is before it
-                odd[0] = False
-            if odd.any():
-                out.append(number(self.find(text)))
-                continue
-            for k in np.unique(c[1:]):
-                if spaced[k] is None:
-                    spaced[k] = number(self.find(" " + chunks[k]))
-            if c[0] not in first:
-                first[c[0]] = number(self.find(chunks[c[0]]))
-            out.append(np.concatenate([first[c[0]], *[spaced[k] for k in c[1:]]]))
-        return list(pieces), out
-
-
-_loaded: dict[tuple[str, str], tuple[Vocabulary, Splitter]] = {}
+        of = np.array([pieces.setdefault(x, len(pieces)) for x in found], np.int64)
+        ids, n = self.vocabulary.encode_pieces([p.encode("utf-8") for p in pieces])
+        flat, ends = _gathered(ids, np.cumsum(n) - n, n, of)
+        flat, ends = flat.tobytes(), (4 * np.append(0, ends)[stops]).tolist()
+        for chunk, i, j in zip(chunks, [0, *ends], ends):
+            memo[chunk] = flat[i:j]
+        return [(memo, chunk) for chunk in chunks if len(chunk) > KEPT_CHARS]
 
 
-def encoder(path: str, pattern: str) -> tuple[Vocabulary, Splitter]:
+def _gathered(ids: np.ndarray, at: np.ndarray, n: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs `of` of ids one after the other, run k being the n[k] from at[k], and where each of them ends."""
+    m = n[of]
+    ends = np.cumsum(m)
+    return ids[np.repeat(at[of] - ends + m, m) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+_loaded: dict[tuple[str, str], Encoder] = {}
+
+
+def _encoder(path: str, pattern: str) -> Encoder:
     """Kept for the life of the Python worker."""
     if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = Vocabulary(load_ranks(path)), Splitter(pattern)
+        _loaded[path, pattern] = Encoder(path, pattern)
     return _loaded[path, pattern]
 
 
+def encoder(path: str, pattern: str) -> tuple[Vocabulary, Splitter]:
+    own = _encoder(path, pattern)
+    return own.vocabulary, own.splitter
+
+
 def encode_texts(texts: list[str], path: str, pattern: str) -> Iterator[np.ndarray]:
     """The token ids of each text. A null text is an empty one."""
-    vocabulary, splitter = encoder(path, pattern)
+    own = _encoder(path, pattern)
     texts = [t or "" for t in texts]
     i = 0
     while i < len(texts):
@@ -281,13 +316,7 @@ def encode_texts(texts: list[str], path: str, pattern: str) -> Iterator[np.ndarr
         while j < len(texts) and size + len(texts[j]) < CHUNK_BYTES:
             size += len(texts[j])
             j += 1
-        pieces, cut = splitter.cut(texts[i:j])
-        ids, n = vocabulary.encode_pieces([p.encode("utf-8") for p in pieces])
-        at = np.concatenate(([0], np.cumsum(n)))[:-1]
-        for c in cut:
-            m = n[c]
-            where = np.repeat(at[c] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum()) if len(c) else np.zeros(0, np.int64)
-            yield ids[where]
+        yield from own.encode(texts[i:j])
         i = j
 
 

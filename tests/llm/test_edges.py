@@ -94,3 +94,18 @@ def test_encoding_lets_a_batch_go_before_the_next(spark):
 
     run = bpe._encoded(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, False)
     assert sum(out.num_rows for out in run(batches())) == 4500 and len(alive) == 3
+
+
+def test_words_met_before_are_not_merged_again(monkeypatch):
+    path, merged = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), []
+    encode = bpe.Vocabulary.encode_pieces
+    monkeypatch.setattr(bpe.Vocabulary, "encode_pieces", lambda self, pieces: merged.append(len(pieces)) or encode(self, pieces))
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 100)
+    texts = [" ".join(["qzxwv", f"qzxwv{k % 3}.", f"vwxzq\n\n  {k % 2}"] * 5) for k in range(200)]
+    ids = list(bpe.encode_texts(texts, path, public_tokenizers.PATTERN))
+    assert sum(merged) < 100 and bytes(bpe.encoder(path, public_tokenizers.PATTERN)[0].decode(ids[7])).decode() == texts[7]
+    monkeypatch.setattr(bpe, "MEMO", 3)  # what is kept is bounded, and forgotten chunks give the same ids
+    again = list(bpe.encode_texts([*texts, "z" * 1000], path, public_tokenizers.PATTERN))
+    assert [x.tolist() for x in again[:-1]] == [x.tolist() for x in ids]
+    kept = bpe._encoder(path, public_tokenizers.PATTERN)
+    assert len(kept.first) + len(kept.spaced) < 20 and "z" * 1000 not in kept.first
