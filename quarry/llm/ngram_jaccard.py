@@ -209,15 +209,16 @@ def _open_blocks(percent: int):
             union = np.frombuffer(b"".join(batch.column("union").to_pylist()), np.uint8).reshape(-1, BITS // 8)
             n = batch.column("n").to_numpy().astype(np.int64)
             bound = n - np.bitwise_count(own & ~union).sum(axis=1, dtype=np.int64)
-            yield batch.select(["q", "group", "block"]).filter(pa.array(bound >= _needed(n, percent)))
+            yield batch.select(["q", "n", "own", "group", "block"]).filter(pa.array(bound >= _needed(n, percent)))
 
     return run
 
 
-def _alike(asking: DataFrame, members: DataFrame, percent: int, most: int | None) -> DataFrame:
+def _alike(asking: DataFrame, members: DataFrame, bitmaps: DataFrame, percent: int, most: int | None) -> DataFrame:
     """(q, node, component, group): members of a block that may link to a document as far as their bitmaps tell, or the
     `most` likeliest of each component in it. Only components smaller than the document's own count, so that a pair
-    of components meets from one side. Documents meet a block in tiles of about TILE, however many ask."""
+    of components meets from one side. Documents meet a block in tiles of about TILE, however many ask. Bitmaps (node, data)
+    come last, so tiles are dealt, and blocks that nobody asks for left out, without them."""
     tiles = asking.groupBy("group", "block").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     left = asking.join(tiles, ["group", "block"]).withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), "q"), F.col("tiles")).cast("int"))
     right = members.join(tiles, ["group", "block"]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -243,6 +244,7 @@ def _alike(asking: DataFrame, members: DataFrame, percent: int, most: int | None
         return pa.table({"q": pa.array(q), "node": pa.array(i), "component": pa.array(c), "group": pa.array([group] * len(q), pa.int64())})
 
     # toDF gives the columns identities of their own: both sides come from the same tables.
+    left, right = left.join(bitmaps.withColumnRenamed("node", "q"), "q"), right.join(bitmaps, "node")
     asked = left.select(*keys, "q", "n", "own", "data").toDF(*keys, "q", "n", "own", "data")
     told = right.select(*keys, "node", "n", "component", "data").toDF(*keys, "node", "n", "component", "data")
     return asked.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInArrow(compare, "q long, node long, component long, group long")
@@ -345,11 +347,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = shared.groupBy("token", "group", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.min("smallest").alias("smallest"))
     fits = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
     asked = shared.select("token", F.col("node").alias("q"), "n", F.col("component").alias("own"))
-    met = asked.join(rows, "token").where((F.col("own") > F.col("low")) & fits).groupBy("q", "n", "group", "block")
+    met = asked.join(rows, "token").where((F.col("own") > F.col("low")) & fits).groupBy("q", "n", "own", "group", "block")
     met = met.agg(F.count(F.lit(1)).alias("shared"), F.min("smallest").alias("smallest"))
     # k of the smaller set; with a percentage that low, what they have to share at least.
     k = F.floor(F.least("n", "smallest") * min(1 / SPARE, percent / 100))
-    could = written(met.where(F.col("shared") >= k).select("q", "n", "group", "block"), "candidates")
+    could = written(met.where(F.col("shared") >= k).select("q", "n", "own", "group", "block"), "candidates")
     blocks = could.select("group", "block").distinct()
     inside = members.join(blocks, ["group", "block"]).select("node", "n", "group", "block")
     asked_for = could.select(F.col("q").alias("node")).unionByName(inside.select("node")).distinct()
@@ -357,18 +359,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     unions = inside.join(bitmaps, "node").groupBy("group", "block").applyInArrow(_unite, "group long, block int, least int, most int, union binary")
     asking = could.join(bitmaps.withColumnRenamed("node", "q"), "q").withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "q"), F.lit(SALTS)))
     bounds = asking.join(unions.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["group", "block", "salt"]).where(fits)
-    opened = written(bounds.select("q", "n", "group", "block", "data", "union").mapInArrow(tidied(_open_blocks(percent)), "q long, group long, block int"), "opened")
+    opened = written(bounds.select("q", "n", "own", "group", "block", "data", "union").mapInArrow(tidied(_open_blocks(percent)), "q long, n int, own long, group long, block int"), "opened")
 
     # 4: exact comparison with members of the blocks left. One link joins a document to a component, so its likeliest
     # members come first, and the others only for documents that these do not link.
-    asking = opened.join(bitmaps.withColumnRenamed("node", "q"), "q").join(members.select(F.col("node").alias("q"), "n", F.col("component").alias("own")), "q")
-    inner = members.join(opened.select("group", "block").distinct(), ["group", "block"]).select("node", "n", "component", "group", "block").join(bitmaps, "node")
-    tried = written(_alike(asking, inner, percent, most=LIKELIEST), "likeliest")
+    tried = written(_alike(opened, members, bitmaps, percent, most=LIKELIEST), "likeliest")
+    # What is linked so far is told by its components: stars, which are found to be done at once if nothing joins them.
+    links = components.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     later: DataFrame | None = None
     for pairs in (tried, None):
         if pairs is None:
             open_yet = tried.join(later, ["q", "component"], "left_anti").select("q", "group").distinct()
-            rest = _alike(asking.join(open_yet, ["q", "group"], "left_semi"), inner, percent, most=None)
+            rest = _alike(opened.join(open_yet, ["q", "group"], "left_semi"), members, bitmaps, percent, most=None)
             pairs = written(rest.join(tried.select("q", "node"), ["q", "node"], "left_anti").join(later, ["q", "component"], "left_anti"), "others")
         pairs = pairs.select(F.col("q").alias("a"), F.col("node").alias("b"), "component")
         if pairs.isEmpty():

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, common, language_id, mixing, ngram_jaccard
+from quarry.llm.components import connected_components
 from tests.conftest import SF
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -109,3 +110,13 @@ def test_words_met_before_are_not_merged_again(monkeypatch):
     assert [x.tolist() for x in again[:-1]] == [x.tolist() for x in ids]
     kept = bpe._encoder(path, public_tokenizers.PATTERN)
     assert len(kept.first) + len(kept.spaced) < 20 and "z" * 1000 not in kept.first
+
+
+def test_stars_take_no_step(spark):
+    """Each step is a table and seven jobs of the driver; op2's links are stars in most runs."""
+    for edges, tables in (([(1, 0), (2, 0), (3, 1), (9, 5)], 2), ([(1, 0), (2, 0), (9, 5)], 1), ([], 1)):
+        with common.intermediates() as made:
+            out = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert {r.id: r.component for r in out} == {x: 5 if x in (5, 9) else 0 for e in edges for x in e}
+        assert (len(made) == 1) == (tables == 1)
+        common.clear(spark, made)
